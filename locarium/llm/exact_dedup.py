@@ -43,7 +43,7 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
         for batch in batches:
             rows += len(batch)
             counts = _summarise(counts.add(batch["digest"].value_counts(), fill_value=0).astype("int64"), counters)
-        yield pd.DataFrame({"digest": [None, *counts.index], "low": [rows, *counts]})
+        yield pd.DataFrame({"digest": pd.Series([None, *counts.index], dtype=object), "low": [rows, *counts]})
 
     merged = digests.select("digest").mapInPandas(summaries, "digest string, low long").groupBy("digest").agg(F.sum("low").alias("low"))
     merged = stored(merged)

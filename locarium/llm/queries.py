@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash
+from . import exact_dedup, html_extract, license_scan, mixing, packing, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,11 +39,53 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document stands in its source's directory, a hundred ids to each below it."""
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    found = license_scan.license_scan(_read(spark, sf_dir, "documents"), path)
+    return found.select(F.col("id").alias("doc_id"), "path", "license", F.round("cosine", 6).alias("cosine"), "basis", "origin")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return q.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(_read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[count(k).alias(f"n_{secret_scan.KINDS[k]}") for k in range(3)],
+        F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash": op3_simhash,
     "op4_source_mixing": op4_source_mixing,
+    "op5_license_scan": op5_license_scan,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {}
