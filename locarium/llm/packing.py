@@ -9,8 +9,8 @@ their bins by their rank within their length.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +22,17 @@ from pyspark.sql import functions as F
 from .common import single_threaded, stored
 
 CAPACITY = 2048
-#: Distinct chunks of text whose ids a task remembers.
-REMEMBERED = 300_000
-_ODD = re.compile(r" (?:\s|$)|[\x1c-\x1f]")
+#: Distinct words whose ids a worker process remembers: some 250 MB.
+REMEMBERED = 1_200_000
 
 
 class Encoder:
     """Token ids of texts, with those of recurring words remembered.
 
     Byte-level BPE first splits a text where a single space precedes a word
-    and never merges across, so the ids of a text are those of its pieces
-    one after another. Texts in which white space runs on are encoded whole.
+    and never merges across, so the ids of a text are those of its words, each
+    with the space before it, one after another. Texts in which white space
+    follows a space or ends the text on one are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -44,24 +44,36 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if _ODD.search(text):
-            return self._encode([text])[0]
-        first, *others = text.split(" ")
-        pieces = [first, *[" " + x for x in others]] if first else [" " + x for x in others]
+        first, *words = text.split(" ")
         known = self.known
-        new = [x for x in dict.fromkeys(pieces) if x not in known]
-        if new:
+        try:
+            tail = b"".join([known[x] for x in words])
+        except KeyError:
+            new = [x for x in dict.fromkeys(words) if x not in known]
+            if any(not x or x[0].isspace() for x in new):
+                return self._encode([text])[0]
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = list(dict.fromkeys(pieces))
-            known.update(zip(new, self._encode(new), strict=True))
-        return b"".join([known[x] for x in pieces])
+                new = list(dict.fromkeys(words))
+            known.update(zip(new, self._encode([" " + x for x in new]), strict=True))
+            tail = b"".join([known[x] for x in words])
+        return self._encode([first])[0] + tail if first else tail
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder: later tasks of a worker find what earlier ones learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -73,13 +85,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        ids_of = encoder(tokenizer_path).ids
         seen = np.zeros(capacity + 1, np.int64)
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             source, cols = [], ([], [], [], [], [])
             for k, text in enumerate(b.column(1)):
-                ids = encoder.ids(text.as_py() or "") + end
+                ids = ids_of(text.as_py() or "") + end
                 n = len(ids) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n, capacity), n]
                 for piece, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
