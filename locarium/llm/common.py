@@ -55,7 +55,7 @@ def stored(df: DataFrame) -> DataFrame:
     if not _WRITTEN:
         atexit.register(_clean)
     _WRITTEN[path] = spark
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

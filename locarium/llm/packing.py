@@ -191,14 +191,15 @@ def _smallest(left: dict[int, int], lengths: list[int], j: int, n: int) -> list[
 
 def _best_pair(left: dict[int, int], lengths: list[int], j: int, rest: int) -> int:
     """The most that two pieces besides one ``j`` take of ``rest``."""
+    have = {x: left[x] - (x == j) for x in lengths}
+    lengths = [x for x in lengths if have[x]]
     lo, hi, best = 0, len(lengths) - 1, 0
-    have = lambda x: left[x] - (x == j)
     while lo <= hi:
         total = lengths[lo] + lengths[hi]
         if total > rest:
             hi -= 1
             continue
-        if have(lengths[lo]) and have(lengths[hi]) and (lo != hi or have(lengths[lo]) > 1):
+        if lo != hi or have[lengths[lo]] > 1:
             best = max(best, total)
         lo += 1
     return best

@@ -1,8 +1,8 @@
 """Secret scans by patterns and by character Markov models, in DataFrame functions only.
 
 Three fixed patterns find the plain cases. Their values are the labelled
-samples of random strings, and other long tokens those of ordinary
-identifiers: a first-order Markov model of each gives every remaining token a
+samples of random strings, and other long tokens made of words those of
+ordinary identifiers: a first-order Markov model of each gives every remaining token a
 log-likelihood ratio, and tokens far on the random side are added.
 """
 
@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _N = len(ALPHABET) + 1  # the last symbol stands before a token
+#: Tokens that are samples of ordinary identifiers: words, joined in any usual way.
+ORDINARY = "^(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}|[-_/=+])+$"
 #: Log-likelihood ratio from which a token counts as random: odds of a secret of one in some 20,000 before, evens after.
 RATIO = 10.0
 
@@ -81,19 +83,22 @@ def markov_ratios(tokens: DataFrame) -> list[float]:
     ``tokens`` has ``said`` and ``random``. At most n x n counts of each kind
     come to the driver. The random model is half the learned one and half
     uniform, so that random strings of an alphabet not seen among the samples
-    count too.
+    count too. The ordinary one falls back on the symbols' own shares.
     """
     counts = {True: [0.0] * (_N * _N), False: [0.0] * (_N * _N)}
     for r in tokens.select("random", F.explode(_steps(F.col("said"))).alias("step")).groupBy("random", "step").agg(F.count("*").alias("n")).collect():
         counts[r["random"]][r["step"]] = float(r["n"])
     out = []
     chance = 1 / (_N - 1)
+    # how common each symbol is in ordinary tokens, whatever stands before it
+    seen = [sum(counts[False][b::_N]) for b in range(_N)]
+    alone = [(n + 0.5) / (sum(seen) + 0.5 * _N) for n in seen]
     for a in range(_N):
         rows = {k: c[a * _N : (a + 1) * _N] for k, c in counts.items()}
         total = {k: sum(c) for k, c in rows.items()}
         for b in range(_N):
             p = {k: (rows[k][b] + 20 * chance) / (total[k] + 20) for k in rows}
-            ordinary = (rows[False][b] + 0.5) / (total[False] + 0.5 * _N)
+            ordinary = (rows[False][b] + 20 * alone[b]) / (total[False] + 20)
             out.append(math.log((0.5 * p[True] + 0.5 * chance) / ordinary))
     return out
 
@@ -110,7 +115,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = F.array_sort(F.concat("assign", "access", "hex"))
     table = spans.select("id", *keep, base.alias("base"), "tokens")
     judged = table.where(F.size("tokens") > 0).select(F.explode("tokens").alias("t"), "base").select(F.col("t.said").alias("said"), _overlaps(F.col("t"), F.col("base")).alias("random"))
-    ratios = F.array(*[F.lit(float(x)) for x in markov_ratios(judged.where(~F.col("said").rlike("^[0-9]+$")))])
+    ratios = F.array(*[F.lit(float(x)) for x in markov_ratios(judged.where(F.col("random") | F.col("said").rlike(ORDINARY)))])
 
     def score(token: Column) -> Column:
         return F.aggregate(_steps(token), F.lit(0.0), lambda acc, s: acc + F.element_at(ratios, (s + 1).cast("int")))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.995
 #: Words of a paragraph that takes part, at least; of a line left whole, at most.
-MIN_WORDS = 10
+MIN_WORDS = 14
 WHOLE = 64
 #: A long line is cut after words that end a sentence or whose hash is divisible by this, once a piece has MIN_WORDS.
 CUT = 16
@@ -136,11 +137,13 @@ def min_hashes(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, min_words: int) -> DataFrame:
+def _pieces(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Paragraphs of all documents; only the first of equal ones in a task brings its shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cutter = Cutter(min_words)
+        seen: set[int] = set()
         for b in batches:
             at = 0
             while at < len(b):
@@ -156,20 +159,63 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
                     at += 1
                 if not ids:
                     continue
-                values, first = shingle_sets(words)
-                low = min_hashes(values, first, bands * rows).reshape(len(ids), bands, rows)
-                keys = np.zeros((len(ids), bands), np.uint64)
-                for r in range(rows):
-                    keys = (keys ^ low[:, :, r]) * _MIX
-                    keys ^= keys >> np.uint64(31)
-                keys += np.arange(bands, dtype=np.uint64)[None]
                 item = np.array([xxhash.xxh3_64_intdigest(w.tobytes()) for w in words], np.uint64).view(np.int64)
-                yield pd.DataFrame({"id": ids, "start": starts, "end": ends, "n_words": [len(w) for w in words], "item": item, "keys": list(keys.view(np.int64)), "shingles": np.split(values.view(np.int32), first[1:])})
-
-    schema = f"id {kind}, start int, end int, n_words int, item long, keys array<long>, shingles array<int>"
+                if len(seen) > 2_000_000:
+                    seen.clear()
+                new = [k for k, i in enumerate(item.tolist()) if not (i in seen or seen.add(i))]
+                shingles: list[np.ndarray | None] = [None] * len(ids)
+                if new:
+                    values, first = shingle_sets([words[k] for k in new])
+                    for k, v in zip(new, np.split(values.view(np.int32), first[1:]), strict=True):
+                        shingles[k] = v
+                yield pd.DataFrame({"id": ids, "start": starts, "end": ends, "n_words": [len(w) for w in words], "item": item, "shingles": shingles})
+
+    schema = f"id {kind}, start int, end int, n_words int, item long, shingles array<int>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
 
 
+def _banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``(bucket, item)`` of every band of every paragraph ``(item, shingles)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            item, lists = b.column(0), b.column(1)
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32)
+            low = min_hashes(values, offsets[:-1] - offsets[0], bands * rows).reshape(b.num_rows, bands, rows)
+            keys = np.zeros((b.num_rows, bands), np.uint64)
+            for r in range(rows):
+                keys = (keys ^ low[:, :, r]) * _MIX
+                keys ^= keys >> np.uint64(31)
+            keys += np.arange(bands, dtype=np.uint64)[None]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(item.to_numpy(), bands))], ["bucket", "item"])
+
+    return sets.mapInArrow(run, "bucket long, item long")
+
+
+def _meeting(banded: DataFrame) -> DataFrame:
+    """The rows of buckets that have two rows or more, by one pass over rows sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None  # the row before, if it hasn't been given out
+        before: int | None = None
+        for b in batches:
+            bucket, item = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(bucket):
+                continue
+            same = np.concatenate(([before is not None and bucket[0] == before], bucket[1:] == bucket[:-1]))
+            keep = same | np.concatenate((same[1:], [False]))
+            if last is not None and same[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["bucket", "item"])
+            last = None if keep[-1] else (int(bucket[-1]), int(item[-1]))
+            before = int(bucket[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(item[keep])], ["bucket", "item"])
+
+    return dealt(banded, "bucket").mapInArrow(run, "bucket long, item long")
+
+
 def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
     """Spanning forests of the links within each cell; rows come sorted by cell."""
     rest: pd.DataFrame | None = None
@@ -233,20 +279,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have no link are not returned.
     """
     bands, rows = tune_bands(similarity, recall)
-    found = stored(_pieces(docs, id_col, text_col, bands, rows, min_words))
-    # One node per distinct paragraph; its shingles and band keys are the same wherever it stands.
-    nodes = stored(found.groupBy("item").agg(F.count("*").alias("copies"), F.first("keys").alias("keys")))
-    banded = nodes.select(F.explode("keys").alias("bucket"), "item")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    meeting = stored(banded.join(shared, "bucket", "left_semi"))
-    sets = found.join(meeting.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.first("shingles").alias("shingles"))
-    compared = cells(meeting.distinct()).join(stored(sets), "item")
-    links = dealt(compared, "bucket", "a", "b").mapInPandas(lambda it: _verified(it, similarity), "u long, v long")
-    components = connected_components(links)
-    repeated = nodes.join(components.withColumnRenamed("node", "item"), "item", "left").where("component is not null or copies > 1").select("item", F.coalesce("component", "item").alias("component"))
+    found = stored(_pieces(docs, id_col, text_col, min_words))
+    sets = found.where("shingles is not null").select("item", "shingles")
+    meeting = stored(_meeting(_banded(sets, bands, rows)).groupBy("bucket", "item").agg(F.count("*").alias("n")))
+    # Equal paragraphs meet each other in every band, or their task left out their shingles.
+    again = meeting.where("n > 1").select("item").unionByName(found.where("shingles is null").select("item")).distinct()
+    # Buckets of the same items, as a near copy makes in most bands, are compared once: their number, bounds and hash sum agree.
+    met = meeting.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.count("*").alias("items"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("sum")).where("lo < hi")
+    different = met.groupBy("lo", "hi", "items", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
+    compared = stored(meeting.select("bucket", "item").join(different, "bucket", "left_semi"))
+    needed = sets.join(compared.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.first("shingles").alias("shingles"))
+    rows_of_cells = cells(compared).join(stored(needed), "item")
+    links = dealt(rows_of_cells, "bucket", "a", "b").mapInPandas(lambda it: _verified(it, similarity), "u long, v long")
+    components = connected_components(links).withColumnRenamed("node", "item")
+    repeated = stored(components.join(again, "item", "full").select("item", F.coalesce("component", "item").alias("component")))
     places = stored(found.select("id", "start", "end", "n_words", "item").join(repeated, "item").withColumn("row", F.monotonically_increasing_id()))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "start", "row")
-    best = places.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("copies"))
+    best = stored(places.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("copies")))
     out = places.join(best, "component")
     return out.select("id", "start", "end", "n_words", "component", F.col("best.id").alias("component_id"), "copies", (F.col("row") == F.col("best.row")).alias("kept"))
 

@@ -24,8 +24,8 @@ from .common import stored
 #: Labelled rows that the classifier is fitted on, at most; those of least hash are taken.
 MAX_LABELLED = 20_000
 #: Word features considered, and those that enter the logistic model, at most.
-MAX_CANDIDATES = 60_000
-MAX_FEATURES = 400
+MAX_CANDIDATES = 30_000
+MAX_FEATURES = 300
 THRESHOLD = 0.7
 FOLD = 1
 
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     sample = sample.where(fold_of("id") != FOLD).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     # At most max_labelled rows of two numbers.
-    train = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(stored(sample)), "id"))
+    train = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(stored(sample)), "id").select("text", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)"))
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows, toxic = sum(size.values()), size.get(1, 0)
     if not toxic or toxic == rows:
@@ -284,44 +284,51 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         f = train.where("toxic = 1").select("text").mapInPandas(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
         return [r["feature"] for r in f.where("n >= 4").orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()]
 
-    def occurrences(candidates: list[str], decoder: Decoder | None, whole_words: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Labels and candidate features of the sample's rows."""
+    def found(shared, whole_words: bool, batch: pd.DataFrame) -> Iterator[tuple[int, list[int]]]:
+        """Label and sorted places of the features of each row."""
+        decoder, index = shared.value
+        for label, t in zip(batch["toxic"], batch["text"], strict=True):
+            words = decoder.words(t or "") if decoder else set(_WORDS.findall((t or "").lower()))
+            yield label, sorted(index[f] for f in (words if whole_words else features(words)) if f in index)
+
+    def telling(candidates: list[str], decoder: Decoder | None, whole_words: bool, least: float, most: int) -> list[str]:
+        """Candidates that speak for label 1, by the likelihood-ratio statistic."""
         shared = sc.broadcast((decoder, {f: i for i, f in enumerate(candidates)}))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            decoder, index = shared.value
+            counts = np.zeros((2, len(candidates)), np.int64)
             for b in batches:
-                out = []
-                for t in b["text"]:
-                    words = decoder.words(t or "") if decoder else set(_WORDS.findall((t or "").lower()))
-                    out.append(sorted(index[f] for f in (words if whole_words else features(words)) if f in index))
-                yield pd.DataFrame({"toxic": b["toxic"], "at": out})
-
-        got = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(run, "toxic int, at array<int>").collect()
-        return np.array([r["toxic"] for r in got], float), [np.array(r["at"], np.int64) for r in got]
-
-    def telling(candidates: list[str], y: np.ndarray, sets: list[np.ndarray], least: float, most: int) -> list[int]:
-        ones, all_ = np.zeros(len(candidates)), np.zeros(len(candidates))
-        for label, s in zip(y, sets, strict=True):
-            all_[s] += 1
-            if label:
-                ones[s] += 1
-        z = _signed_deviance(ones, all_ - ones, toxic, rows - toxic)
-        best = sorted(np.flatnonzero(z > least).tolist(), key=lambda i: (-z[i], candidates[i]))
-        return best[:most]
-
-    first = common(None, True)
-    y, sets = occurrences(first, None, True)
-    lexicon = [first[i] for i in telling(first, y, sets, 5.0, 200)]
+                for label, at in found(shared, whole_words, b):
+                    counts[int(label), at] += 1
+            at = np.flatnonzero(counts.sum(axis=0))
+            yield pd.DataFrame({"at": at, "zeros": counts[0, at], "ones": counts[1, at]})
+
+        got = np.zeros((2, len(candidates)))
+        for r in train.mapInPandas(run, "at long, zeros long, ones long").groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect():
+            got[:, r["at"]] = r["zeros"], r["ones"]
+        z = _signed_deviance(got[1], got[0], toxic, rows - toxic)
+        return [candidates[i] for i in sorted(np.flatnonzero(z > least).tolist(), key=lambda i: (-z[i], candidates[i]))[:most]]
+
+    def occurrences(chosen: list[str], decoder: Decoder) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Labels and chosen features of the sample's rows: at most max_labelled short byte strings."""
+        shared = sc.broadcast((decoder, {f: i for i, f in enumerate(chosen)}))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                pairs = list(found(shared, False, b))
+                yield pd.DataFrame({"toxic": [int(p[0]) for p in pairs], "at": [np.array(p[1], np.int32).tobytes() for p in pairs]})
+
+        got = train.mapInPandas(run, "toxic int, at binary").groupBy("toxic", "at").agg(F.count("*").alias("n")).collect()
+        y = np.concatenate([np.full(r["n"], r["toxic"], float) for r in got])
+        return y, [np.frombuffer(bytes(r["at"]), np.int32) for r in got for _ in range(r["n"])]
+
+    lexicon = telling(common(None, True), None, True, 5.0, 200)
     decoder = Decoder(character_counts(docs, text_col), lexicon)
-    second = common(decoder, False)
-    y, sets = occurrences(second, decoder, False)
-    chosen = telling(second, y, sets, 4.4, MAX_FEATURES)
-    place = np.full(len(second), -1)
-    place[chosen] = np.arange(len(chosen))
-    w = _logistic([place[s][place[s] >= 0] for s in sets], y, len(chosen))
+    chosen = telling(common(decoder, False), decoder, False, 4.4, MAX_FEATURES)
+    y, sets = occurrences(chosen, decoder)
+    w = _logistic(sets, y, len(chosen))
     decoder.known.clear()
-    return ToxicityModel(decoder, {second[i]: float(w[k]) for k, i in enumerate(chosen)}, float(w[-1]))
+    return ToxicityModel(decoder, {f: float(x) for f, x in zip(chosen, w, strict=False)}, float(w[-1]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -68,15 +68,15 @@ def allocate_quotas(counts: DataFrame, group: str, size: int) -> DataFrame:
     return base.withColumn("quota", F.col("__low") + F.when(nth <= size - given, 1).otherwise(0)).select(group, "n", "quota")
 
 
-def greedy_spacing(x: np.ndarray, y: np.ndarray, radius: float, strict: bool = True, most: int | None = None) -> list[int]:
-    """Places, in the given order, that are farther than ``radius`` from all places kept; with ``strict`` False exactly at it will do."""
+def greedy_spacing(distances: np.ndarray, radius: float, most: int) -> list[int]:
+    """Places, in the given order, farther than ``radius`` from all places kept; at most ``most``."""
     kept: list[int] = []
-    for i in range(len(x)):
-        if most is not None and len(kept) >= most:
-            break
-        d = np.sqrt((x[kept] - x[i]) ** 2 + (y[kept] - y[i]) ** 2)
-        if (d > radius).all() if strict else (d >= radius).all():
-            kept.append(i)
+    free = np.ones(len(distances), bool)
+    while len(kept) < most and free.any():
+        i = int(free.argmax())
+        kept.append(i)
+        free &= distances[i] > radius
+        free[i] = False
     return kept
 
 
@@ -93,7 +93,7 @@ def spacing_select(x: np.ndarray, y: np.ndarray, quota: int) -> tuple[list[int],
         return list(range(len(x))), 0.0
     d = np.sqrt((x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2)
     for radius in [*np.unique(d[np.triu_indices(len(x), 1)])[::-1], 0.0]:
-        if len(got := greedy_spacing(x, y, float(radius), most=quota)) == quota:
+        if len(got := greedy_spacing(d, float(radius), quota)) == quota:
             return got, float(radius)
     return list(range(quota)), 0.0
 
