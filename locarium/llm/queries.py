@@ -88,4 +88,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extract": op10_html_extract,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others read tokens, XXH64, a trained model, binomial bounds or markup; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": """WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256 FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    # The clamped sources are the first by cap over weight; the level is that before the first one which it doesn't reach.
+    "op4_source_mixing": r"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('20240917:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+        totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),
+        weighed AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM totals),
+        levels AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS level, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS nth
+            FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        final AS (SELECT arg_min(level, nth) AS level FROM levels WHERE weight * level < cap),
+        targets AS (SELECT source, source_size, CASE WHEN f.level IS NULL OR weight * f.level >= cap THEN CAST(cap AS DOUBLE) ELSE weight * f.level END AS target FROM weighed, final f),
+        parts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
+        placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || substr(digest, 1, 8) AS BIGINT) % 4096, digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized)
+        SELECT doc_id, size, source_size, target, CAST(whole * size + least(size, greatest(0, greatest(CAST(floor(target + 0.5) AS BIGINT) - whole * source_size, 0) - before)) AS BIGINT) AS taken
+        FROM placed JOIN parts ON placed.source IS NOT DISTINCT FROM parts.source""",
+}
