@@ -1,7 +1,8 @@
 """Licence scans by sparse TF-IDF cosine, and inheritance along directories.
 
-Every line that shares a telling term with the templates is compared with
-them; idf counts all documents. A file that says its own licence keeps it.
+Every line, and every sentence of it, is compared with the templates; idf
+counts all documents and is a weight only. A file that says its own licence
+keeps it.
 Others take that of the nearest directory above them that has a licence file,
 found by joins on path prefixes.
 """
@@ -42,8 +43,8 @@ COSINE = 0.7
 NOTICE_SHARE = 0.5
 _FILE = re.compile(r"(?i)^(un)?licen[cs]e|^copying|^notice")
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: Terms of a template's line that are in at most so many of a hundred documents make a line worth comparing.
-TELLING = 0.2
+_SENTENCE = re.compile(r"(?<=[.;!?])\s+")
+_CLAUSE = re.compile(r"(?<=:)\s+")
 
 
 def terms(line: str) -> Counter[str]:
@@ -56,53 +57,89 @@ class Matcher:
     def __init__(self, documents: int, df: dict[str, int]):
         self.idf = {t: math.log((1 + documents) / (1 + df.get(t, 0))) + 1 for line in _lines() for t in terms(line)}
         self.unknown = math.log(1 + documents) + 1
-        self.telling = {t for t in self.idf if df.get(t, 0) <= TELLING * documents or documents < 20}
         self.vectors = [(name, {t: n * self.idf[t] for t, n in terms(line).items()}) for name, lines in TEMPLATES.items() for line in lines]
         self.norms = [math.sqrt(sum(x * x for x in v.values())) for _, v in self.vectors]
         self.posting: dict[str, list[tuple[int, float]]] = {}
         for i, (_, v) in enumerate(self.vectors):
             for t, x in v.items():
                 self.posting.setdefault(t, []).append((i, x / self.norms[i]))
-        self.known: dict[str, tuple[str, float] | None] = {}
-        self.any = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(self.telling))) + r")\b")
-
-    def line(self, line: str) -> tuple[str, float] | None:
-        """The best template of a line, at least at COSINE; ties go to the first template."""
-        if line in self.known:
-            return self.known[line]
-        v = terms(line)
+        self.known: dict[str, tuple[tuple[str, float] | None, int, int]] = {}
+
+    def match(self, words: list[str]) -> tuple[str, float] | None:
+        """The best template of a run of terms, at least at COSINE; ties go to the first template."""
+        idf = self.idf
+        shared = [t for t in words if t in idf]
+        if not shared:
+            return None
+        inside = 0.0
+        v = Counter(shared)
+        for t, n in v.items():
+            inside += (n * idf[t]) ** 2
+        others = len(words) - len(shared)
+        # the cosine to any template is at most the share of the norm in shared terms, and n terms of weight u have at least n u^2 of it
+        if inside < COSINE**2 * (inside + others * self.unknown**2) - 1e-9:
+            return None
         dots: dict[int, float] = {}
-        norm = 0.0
         for t, n in v.items():
-            x = n * self.idf.get(t, self.unknown)
-            norm += x * x
-            for i, y in self.posting.get(t, ()):
-                dots[i] = dots.get(i, 0.0) + x * y
-        best = max(dots.items(), key=lambda d: (d[1], -d[0]), default=None)
-        out = None
-        if best is not None and (c := best[1] / math.sqrt(norm)) >= COSINE:
-            out = self.vectors[best[0]][0], min(1.0, c)
-        if len(self.known) > 50_000:
-            self.known.clear()
-        self.known[line] = out
+            for i, y in self.posting[t]:
+                dots[i] = dots.get(i, 0.0) + n * idf[t] * y
+        norm = inside + sum((n * self.unknown) ** 2 for n in Counter(t for t in words if t not in idf).values())
+        best = max(dots.items(), key=lambda d: (d[1], -d[0]))
+        c = best[1] / math.sqrt(norm)
+        return (self.vectors[best[0]][0], min(1.0, c)) if c >= COSINE else None
+
+    def line(self, line: str) -> tuple[tuple[str, float] | None, int, int]:
+        """The best match of a lower-cased line, its sentences and their clauses after colons; words in notices, and words in all.
+
+        A clause of one term (the name before a colon) isn't a notice.
+        """
+        if line in self.known:
+            return self.known[line]
+        best: tuple[str, float] | None = None
+        all_words: list[str] = []
+        said = size = 0
+        sentences = _SENTENCE.split(line)
+        for sentence in sentences:
+            clauses = _CLAUSE.split(sentence) if ":" in sentence else [sentence]
+            found = [_TERM.findall(c) for c in clauses]
+            # terms hold no white space: those of the parts are those of the whole
+            words = found[0] if len(found) == 1 else [t for f in found for t in f]
+            n = len(sentence.split())
+            got, held = self.match(words) if len(words) > 1 or len(sentences) == 1 else None, n
+            parts = [got]
+            if len(found) > 1:
+                of = [self.match(f) if len(set(f)) > 1 else None for f in found]
+                parts += of
+                if got is None:
+                    held = sum(len(c.split()) for c, g in zip(clauses, of, strict=True) if g)
+            said += held if any(parts) else 0
+            size += n
+            for g in parts:
+                if g and (best is None or g[1] > best[1] + 1e-12):
+                    best = g
+            all_words += words
+        if len(sentences) > 1 and (got := self.match(all_words)):
+            said = size
+            if best is None or got[1] > best[1] + 1e-12:
+                best = got
+        out = best, said, size
+        if len(line) <= 1000:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[line] = out
         return out
 
     def scan(self, text: str | None) -> tuple[str | None, float, float]:
         """``(licence, cosine, share of words in notices)``; the best line decides, then the first."""
-        best, share = (None, 0.0), 0
-        if not text:
-            return None, 0.0, 0.0
-        low = text.lower()
-        if not self.any.search(low):
-            return None, 0.0, 0.0
-        for line in low.split("\n"):
-            # a line longer than any notice can't reach the cosine; its sentences may
-            for part in [line] if len(line) <= 400 else re.split(r"(?<=[.;:])\s+", line):
-                if part and self.any.search(part) and (got := self.line(part)):
-                    share += len(part.split())
-                    if got[1] > best[1] + 1e-12:
-                        best = got
-        return *best, share / max(1, len(low.split()))
+        best, share, size = (None, 0.0), 0, 0
+        for line in text.lower().split("\n") if text else ():
+            if line:
+                got, said, n = self.line(line)
+                share += said
+                size += n
+                if got and got[1] > best[1] + 1e-12:
+                    best = got
+        return *best, share / max(1, size)
 
 
 def _lines() -> list[str]:
@@ -142,9 +179,10 @@ def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast((documents, df))
 
     @F.pandas_udf("license string, cosine double, share double")
-    def scan(texts: pd.Series) -> pd.DataFrame:
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(*shared.value)
-        return pd.DataFrame([matcher.scan(t) for t in texts], columns=["license", "cosine", "share"])
+        for texts in batches:
+            yield pd.DataFrame([matcher.scan(t) for t in texts], columns=["license", "cosine", "share"])
 
     base = docs.select(F.col(id_col).alias("id"), path.cast("string").alias("path"), scan(F.col(text_col).cast("string")).alias("s")).select("id", "path", "s.*")
     files = stored(base.withColumn("directory", _parent(F.col("path"))))

@@ -88,6 +88,18 @@ def test_toxicity_on_held_out_and_disguised_texts(spark, none, odd):
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_licences_of_common_notices_and_of_sentences(spark):
+    notice = "Released under the MIT License."
+    inside = f"{prose(7, 12)}. {notice} {prose(8, 20)}."
+    assert 150 < len(inside) < 400
+    rows = [(i, f"/d{i}/x.txt", prose(i, 20) + (f"\n{notice}" if i % 2 else "")) for i in range(60)]
+    rows += [(100, "/e/LICENSE", notice), (101, "/e/f/x.txt", prose(101, 9)), (102, "/g/x.txt", inside), (103, "/h/x.txt", "SPDX-License-Identifier: WTFPL"), (104, "/i/x.txt", f"License: {notice} {prose(9, 30)}")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["id"]: (r["license"], r["basis"]) for r in license_scan.license_scan(df, F.col("path")).collect()}
+    assert all(got[i] == (("MIT", "own") if i % 2 else (None, "none")) for i in range(60))
+    assert got[100] == ("MIT", "own") and got[101] == ("MIT", "inherited") and got[102] == ("MIT", "own") and got[103] == (None, "none") and got[104] == ("MIT", "own")
+
+
 def test_licences_of_files_and_directories(spark, none, odd):
     rows = [(1, "/a/LICENSE", "Released under the MIT License."), (2, "/a/b/x.txt", prose(1, 30)), (3, "/a/b/y.txt", prose(2, 9) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(3, 9)), (4, "/c/z.txt", prose(4, 30)), (5, None, None), (6, "/a/bc/w.txt", ""), (7, "/a/b/COPYING", "This work is licensed under the GNU General Public License, version 3.")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
