@@ -1,7 +1,7 @@
 """Toxicity scores of texts restored from obfuscation by a noisy-channel decoder.
 
 Writers hide words by look-alike symbols, spacing and repetition. Each
-suspicious token becomes a lattice of the letters its symbols may stand for;
+token that may be read in more than one way becomes a lattice of the letters its symbols may stand for;
 Viterbi search under a character trigram model finds the likeliest reading,
 and a logistic model of words and word beginnings scores the restored text.
 The trigram model counts all documents; labels come from a bounded sample.
@@ -37,8 +37,16 @@ LOOKS = {
 GAPS = " .-_*,'`~"
 _WORDS = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.escape("".join(k for k in LOOKS) + GAPS.strip())
-_HINT = re.compile(rf"[^\W\d_][{_SYMBOL}]+[^\W\d_]|([^\W\d_])\1\1|(?:^|\s)\w(?:\s+\w(?!\w)){{3}}")
-_TOKEN_HINT = re.compile(rf"[^\W\d_][{_SYMBOL}]+[^\W\d_]|([^\W\d_])\1\1|^[{re.escape(''.join(LOOKS))}][^\W\d_]{{2}}")
+_EDGE = rf"(?:(?![{re.escape(''.join(LOOKS))}])[\W\d_])+"
+_TRIM = re.compile(rf"^{_EDGE}|{_EDGE}$")
+#: A token that the lattice reads in one way only: letters, none twice in a row.
+_PLAIN = re.compile(r"(?:([^\W\d_])(?!\1))+")
+#: A token whose parts between symbols aren't words of their own.
+_TORN = re.compile(rf"[^\W\d_][{_SYMBOL}]+[^\W\d_]|([^\W\d_])\1\1")
+_ENDS = r"[.,;:?\"]*"
+_SINGLE = rf"{_ENDS}[^\s.,;:?\"]{_ENDS}"
+#: Three letters or more that stand by themselves.
+_SPACED = re.compile(rf"(?<!\S){_SINGLE}(?:\s+{_SINGLE}){{2,}}(?!\S)")
 #: Symbols of the character model: 0 a boundary, 1-26 the letters, 27 any other letter.
 _SIZE = 28
 
@@ -93,6 +101,11 @@ class Decoder:
             own += _trigrams(w)
         self.cost = np.log(0.5 * _conditional(counts) + 0.5 * _conditional(own * 50)) if words else np.log(_conditional(counts))
         self.known: dict[str, str] = {}
+        self.tokens: dict[str, tuple[str, ...]] = {}
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.tokens.clear()
 
     def lattice(self, token: str) -> Iterator[list[tuple[str, float]]]:
         """Readings of each symbol with the channel's log-probabilities; an empty reading drops the symbol."""
@@ -137,35 +150,43 @@ class Decoder:
         self.known[token] = said = "".join(reversed(out))
         return said
 
+    def token(self, token: str) -> tuple[str, ...]:
+        """The words that a token may say: as it stands where its letters are whole, and as the decoder reads it.
+
+        Every token is decoded whose lattice has more than one reading; one
+        without letters is a number or a mark and says none.
+        """
+        if token in self.tokens:
+            return self.tokens[token]
+        core = _TRIM.sub("", token)
+        found = _WORDS.findall(core)
+        if found and not _PLAIN.fullmatch(core):
+            read = self.restore(core).split()
+            found = read if _TORN.search(core) else found + read
+        out = tuple(found)
+        if len(token) <= 64:
+            if len(self.tokens) > 200_000:
+                self.tokens.clear()
+            self.tokens[token] = out
+        return out
+
     def words(self, text: str) -> set[str]:
         """The distinct lower-case words of the restored text."""
         text = text.lower()
-        if not _HINT.search(text):
-            return set(_WORDS.findall(text))
-        plain: list[str] = []
         out: set[str] = set()
-        single: list[str] = []
-
-        def close() -> None:
-            if len(single) > 3:
-                out.update(self.restore(" ".join(single)).split())
-            else:
-                plain.extend(single)
-            single.clear()
-
-        for token in text.split():
-            core = token.strip(".,;:?\"")
-            if len(core) == 1 and (core.isalpha() or core in LOOKS):
-                if len(set(single)) > 1 or len(single) < 4 or core != single[-1]:  # a letter said over and over is no word
-                    single.append(core)
-                continue
-            close()
-            if _TOKEN_HINT.search(core):
-                out.update(self.restore(core).split())
-            else:
-                plain.append(token)
-        close()
-        out.update(_WORDS.findall(" ".join(plain)))
+        for token in set(text.split()):
+            out.update(self.token(token))
+        for m in _SPACED.finditer(text):
+            single: list[str] = []
+            for token in [*m[0].split(), ""]:
+                core = token.strip(".,;:?\"")
+                if core and (core.isalpha() or core in LOOKS):
+                    if len(set(single)) > 1 or len(single) < 4 or core != single[-1]:  # a letter said over and over is no word
+                        single.append(core)
+                    continue
+                if len(single) > 2:
+                    out.update(self.restore(" ".join(single)).split())
+                single.clear()
         return out
 
 
@@ -327,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = telling(common(decoder, False), decoder, False, 4.4, MAX_FEATURES)
     y, sets = occurrences(chosen, decoder)
     w = _logistic(sets, y, len(chosen))
-    decoder.known.clear()
+    decoder.forget()
     return ToxicityModel(decoder, {f: float(x) for f, x in zip(chosen, w, strict=False)}, float(w[-1]))
 
 

@@ -88,6 +88,16 @@ def test_toxicity_on_held_out_and_disguised_texts(spark, none, odd):
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_decoder_reads_disguises_at_ends_doubled_and_spaced():
+    bad = ["stupid", "idiot", "asshole", "cow"]
+    text = " ".join(prose(i, 200) for i in range(20)) + " letter hello wow"
+    decoder = toxicity.Decoder(sum(toxicity._trigrams(w) for w in text.split()) * 1.0, bad)
+    for said, word in (("you $tupid", "stupid"), ("1diot", "idiot"), ("@sshole!", "asshole"), ("idio7", "idiot"), ("stuupid", "stupid"), ("a stu#pid one", "stupid"), ("the c o w is", "cow"), ("don't you $tupid", "stupid")):
+        assert word in decoder.words(said), said
+        assert word in toxicity.features(decoder.words(said))
+    assert {"hello", "letter"} <= decoder.words("(Hello) letter!") and decoder.words("2024 -- 3") == set()
+
+
 def test_licences_of_common_notices_and_of_sentences(spark):
     notice = "Released under the MIT License."
     inside = f"{prose(7, 12)}. {notice} {prose(8, 20)}."
