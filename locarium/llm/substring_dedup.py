@@ -1,10 +1,14 @@
 """Substring deduplication by MinHash bands over paragraphs.
 
-Lines are paragraphs; a long line is cut at sentence ends and where its own
-words say so, so that a passage is cut alike wherever it stands. Equal paragraphs become one node.
-Bands tuned for recall bring similar paragraphs into buckets; within a bucket
-the exact Jaccard similarity of their word shingles decides, and components of
-the verified links are the clusters of which one occurrence stays.
+Paragraphs are of two kinds. Lines of at least ``MIN_WORDS`` words are whole
+paragraphs (very long lines are cut where their own words say so), and every
+text has besides, across its lines, paragraphs of ``PARAGRAPH`` words that
+begin where the words themselves say so: at the least of every ``STRIDE``
+consecutive word pairs' hashes, and at the text's ends. A run of ``MIN_WORDS`` words holds one of these
+whole, and the same one wherever the run stands. Bands tuned for recall bring
+similar paragraphs into buckets; within a bucket the exact Jaccard similarity
+of their word shingles decides, and components of the verified links are the
+clusters of which one occurrence stays.
 """
 
 from __future__ import annotations
@@ -16,204 +20,311 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, dealt, stored
+from .common import connected_components, dealt, fresh, stored
 from .simhash import cells, forest
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RECALL = 0.995
-#: Words of a paragraph that takes part, at least; of a line left whole, at most.
-MIN_WORDS = 14
-WHOLE = 64
-#: A long line is cut after words that end a sentence or whose hash is divisible by this, once a piece has MIN_WORDS.
-CUT = 16
+RECALL = 0.99
+#: Words of a repeated passage, at least; texts with fewer have none.
+MIN_WORDS = 50
+#: Words of a paragraph that begins where the words say so, and word pairs of which the least begins one.
+PARAGRAPH = 30
+STRIDE = MIN_WORDS - PARAGRAPH - 1
+#: Lines of more words are cut after words whose hash is divisible by CUT.
+LONG_LINE, CUT = 512, 128
+#: Bits of the filter that thins what verification reads; its broadcast has this size whatever the corpus.
+FILTER_BITS = 1 << 26
+#: Items that a task remembers, to bring the bands of each but once.
+REMEMBERED = 1_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
-def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, most_rows: int = 8) -> tuple[int, int]:
+def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, least_rows: int = 2, most_rows: int = 8) -> tuple[int, int]:
     """``(bands, rows)`` that find a pair at ``similarity`` with chance ``recall``, for the least work.
 
-    Work is the number of bands and, weighed by 20, the share of unrelated
-    pairs (similarities below half the threshold, evenly) that collide.
+    Work is the number of bands, which are shuffled, and, weighed by 4, the
+    share of unrelated pairs (similarities below a quarter of the threshold,
+    evenly) that collide. One row alone would gather all paragraphs with a
+    common phrase in a bucket.
     """
     best = None
-    for rows in range(1, most_rows + 1):
+    for rows in range(least_rows, most_rows + 1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
-        low = np.linspace(0, similarity / 2, 101)
+        low = np.linspace(0, similarity / 4, 101)
         false = float((1 - (1 - low**rows) ** bands).mean())
-        cost = bands * (1 + 20 * false)
+        cost = bands * (1 + 4 * false)
         if best is None or cost < best[0]:
             best = (cost, bands, rows)
     return best[1], best[2]
 
 
-class Cutter:
-    """Cuts texts into paragraphs and hashes their words."""
-
-    def __init__(self, min_words: int = MIN_WORDS):
-        self.min_words = min_words
-        self.known: dict[str, int] = {}
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        """64-bit hashes of lower-cased words."""
-        known = self.known
-        for w in words:
-            if w not in known:
-                if len(known) > 500_000:
-                    known.clear()
-                    return self.hashes(words) if len(words) < 250_000 else np.array([_word_hash(x) for x in words], np.uint64)
-                known[w] = _word_hash(w)
-        return np.fromiter((known[w] for w in words), np.uint64, len(words))
-
-    def cut(self, text: str) -> Iterator[tuple[int, int, np.ndarray]]:
-        """``(start, end, word hashes)`` of the paragraphs with enough words; positions are code points."""
-        at = 0
-        for line in text.split("\n"):
-            size = len(line)
-            if size >= 2 * self.min_words - 1:
-                parts = line.split(" ")
-                words = [w for w in parts if w]
-                if len(words) >= self.min_words:
-                    hashed = self.hashes(words)
-                    if len(words) <= WHOLE:
-                        yield at, at + size, hashed
-                    else:
-                        yield from self._long(at, parts, words, hashed)
-            at += size + 1
-
-    def _long(self, at: int, parts: list[str], words: list[str], hashed: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = (at + np.cumsum(lengths + 1) - 1)[lengths > 0]
-        starts = ends - lengths[lengths > 0]
-        stop = np.fromiter((w[-1] in ".!?" for w in words), bool, len(words)) | (hashed % np.uint64(CUT) == 0)
-        last = -1
-        n = len(words)
-        for k in [*np.flatnonzero(stop).tolist(), n - 1]:
-            if k - last >= self.min_words:
-                yield int(starts[last + 1]), int(ends[k]), hashed[last + 1 : k + 1]
-                last = k
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
 def _word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
 
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_sets(paragraphs: list[np.ndarray], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 32-bit shingle hashes of all paragraphs, sorted within each, and where each paragraph's begin.
+class Turn:
+    """The words of some texts, laid end to end, and their paragraphs.
 
-    A paragraph of fewer than ``k`` words has one shingle of what it has.
+    Words are ``[^\\x20\\x09-\\x0D]+``, hashed in lower case. ``lo`` and ``hi``
+    bound each paragraph in words.
     """
-    sizes = np.array([len(p) for p in paragraphs])
-    words = np.concatenate([*paragraphs, np.zeros(k, np.uint64)])
-    rolled = np.zeros(len(words) - k + 1, np.uint64)
-    for i in range(k):
-        rolled = (rolled ^ words[i : i + len(rolled)]) * _MIX
-        rolled ^= rolled >> np.uint64(29)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    inside = (np.arange(len(owner)) - first) < np.maximum(sizes - k + 1, 1)[owner]
-    low = (rolled[: len(owner)] >> np.uint64(32))[inside].astype(np.int64)
-    both = np.unique((owner[inside].astype(np.int64) << 32) | low)
-    return (both & 0xFFFFFFFF).astype(np.uint32), np.searchsorted(both >> 32, np.arange(len(sizes)))
-
-
-def min_hashes(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """``n`` MinHash values of each set: multiply, add and mix, then the least."""
-    rng = np.random.default_rng(7)
-    a, b = rng.integers(1, 1 << 63, n, np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
-    values = values.astype(np.uint64)
-    out = np.empty((len(starts), n), np.uint64)
-    for k in range(n):
-        h = (values + b[k]) * a[k]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        out[:, k] = np.minimum.reduceat(h, starts)
-    return out
 
+    def __init__(self, texts: list[str], known: dict[str, int], paragraph: int = PARAGRAPH, min_words: int = MIN_WORDS):
+        whole = "\n".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = (points == 32) | ((points >= 9) & (points <= 13))
+        edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        for c in "\t\n\x0b\x0c\r":
+            if c in whole:
+                whole = whole.replace(c, " ")
+        words = [w for w in whole.split(" ") if w]
+        try:
+            found = [known[w] for w in words]
+        except KeyError:
+            if len(known) > 500_000:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = _word_hash(w)
+            found = [known[w] for w in words]
+        n = len(words)
+        self.hashes = np.array(found, np.uint64) if n else np.zeros(0, np.uint64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.offset = np.cumsum(sizes) - sizes  # where each text begins, in code points
+        self.first = np.searchsorted(self.starts, self.offset)  # its first word
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(np.append(self.first, n)))
+        chosen = self._chosen(paragraph, min_words - paragraph - 1)
+        lines = self._lines(np.flatnonzero(points == 10), min_words)
+        # items: a polynomial over the words' hashes, taken back to the paragraph's own place
+        one = np.ones(1, np.uint64)
+        power = np.cumprod(np.concatenate((one, np.full(n, _ODD))))
+        self._sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes * power[:-1], dtype=np.uint64)))
+        self._back = np.cumprod(np.concatenate((one, np.full(n, _INVERSE))))
+        lo = chosen
+        item = self._items(lo, lo + paragraph)
+        alone = self._alone(item, lo, paragraph)
+        lo, item = lo[alone], item[alone]
+        self.lo, self.hi = np.concatenate((lo, lines[0])), np.concatenate((lo + paragraph, lines[1]))
+        self.item = np.concatenate((item, self._items(*lines)))
+
+    def _chosen(self, paragraph: int, stride: int) -> np.ndarray:
+        """First words of the paragraphs chosen by their words: the first least of every ``stride`` pairs of a text; and those at its ends."""
+        n = len(self.hashes)
+        if n < paragraph + stride + 1:
+            return np.zeros(0, np.int64)
+        pairs = _mixed(self.hashes[:-1] * _MIX + self.hashes[1:])
+        low = np.uint64((1 << 24) - 1)
+        least = (pairs & ~low) | (np.arange(n - 1, dtype=np.uint64) & low)
+        width = 1
+        while width < stride:
+            step = min(width, stride - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        inside = np.flatnonzero(self.owner[: len(least)] == self.owner[stride : stride + len(least)])
+        least = (least[inside] & low).astype(np.int64)
+        size = np.diff(np.append(self.first, n))
+        enough = size > paragraph + stride
+        at = np.unique(np.concatenate((inside + ((least - inside) & int(low)), self.first[enough], (self.first + size - paragraph)[enough])))
+        at = at[at + paragraph <= n]
+        return at[self.owner[at] == self.owner[at + paragraph - 1]]
+
+    def _lines(self, breaks: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-the-last words of lines with enough words; of long lines, of their pieces."""
+        n = len(self.hashes)
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(self.starts, breaks), [n]))).astype(np.int64)
+        size = np.diff(cuts)
+        long = np.repeat(size > LONG_LINE, size)
+        more = np.flatnonzero(long & (self.hashes % np.uint64(CUT) == 0)) + 1
+        cuts = np.unique(np.concatenate((cuts, more)))
+        enough = np.diff(cuts) >= min_words
+        return cuts[:-1][enough], cuts[1:][enough]
+
+    def _items(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """A hash of each run of words."""
+        return _mixed((self._sum[hi] - self._sum[lo]) * self._back[lo] + (hi - lo).astype(np.uint64) * _MIX)
+
+    def _alone(self, item: np.ndarray, lo: np.ndarray, paragraph: int) -> np.ndarray:
+        """False for a paragraph that overlaps an equal one of its text, as words said over and over make."""
+        keep = np.ones(len(item), bool)
+        order = np.lexsort((lo, item))
+        same = item[order][1:] == item[order][:-1]
+        near = same & (np.diff(lo[order]) < paragraph)
+        if near.any():
+            held = 0
+            for k in np.flatnonzero(same).tolist():
+                a, b = order[k], order[k + 1]
+                if k == 0 or not same[k - 1]:
+                    held = lo[a]
+                if lo[b] - held < paragraph:
+                    keep[b] = False
+                else:
+                    held = lo[b]
+        return keep
+
+    def shingles(self, k: int = SHINGLE) -> np.ndarray:
+        """A hash of the ``k`` words from each word on."""
+        words = np.concatenate((self.hashes, np.zeros(k, np.uint64)))
+        rolled = np.zeros(len(self.hashes), np.uint64)
+        for i in range(k):
+            rolled = (rolled ^ words[i : i + len(rolled)]) * _MIX
+            rolled ^= rolled >> np.uint64(29)
+        return rolled
+
+    def buckets(self, which: np.ndarray, bands: int, rows: int) -> np.ndarray:
+        """The bucket of each band of the paragraphs ``which``."""
+        values = np.append(self.shingles(), np.uint64(0))
+        ends = np.empty(2 * len(which), np.int64)
+        ends[::2], ends[1::2] = self.lo[which], self.hi[which] - SHINGLE + 1
+        rng = np.random.default_rng(7)
+        keys = np.zeros((len(which), bands), np.uint64)
+        for band in range(bands):
+            for _ in range(rows):
+                a, b = rng.integers(1, 1 << 63, 2, np.uint64)
+                least = np.minimum.reduceat(_mixed((values + b) * (a | np.uint64(1))), ends)[::2]
+                keys[:, band] = (keys[:, band] ^ least) * _MIX
+                keys[:, band] ^= keys[:, band] >> np.uint64(31)
+            keys[:, band] += np.uint64(band)
+        return keys
+
+
+def turns(texts: list[str | None], paragraph: int, min_words: int, known: dict[str, int], characters: int = 1_000_000) -> Iterator[tuple[int, Turn]]:
+    """The texts in turns of some ``characters``, each with the place of its first text."""
+    at = 0
+    while at < len(texts):
+        begun, held = at, 0
+        while at < len(texts) and held < characters:
+            held += len(texts[at] or "")
+            at += 1
+        yield begun, Turn([t or "" for t in texts[begun:at]], known, paragraph, min_words)
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str, paragraph: int, min_words: int) -> DataFrame:
+    """``id, row, word, start, end, n_words, item`` of the paragraphs of all documents."""
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Paragraphs of all documents; only the first of equal ones in a task brings its shingles."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for at, t in turns(b.column(1).to_pylist(), paragraph, min_words, known):
+                own = t.owner[t.lo]
+                place = pa.array(at + own)
+                start, end = t.starts[t.lo] - t.offset[own], t.ends[t.hi - 1] - t.offset[own]
+                ints = [pa.array(x.astype(np.int32)) for x in (t.lo - t.first[own], start, end, t.hi - t.lo)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(2).take(place), *ints, pa.array(t.item.view(np.int64))], names)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    schema = rows.select("id", "row").schema
+    for name in ("word", "start", "end", "n_words"):
+        schema = schema.add(name, "integer")
+    schema = schema.add("item", "long")
+    names = schema.names
+    return rows.mapInArrow(run, schema)
+
+
+def _banded(docs: DataFrame, text_col: str, paragraph: int, min_words: int, bands: int, rows: int) -> DataFrame:
+    """``(bucket, item)`` of every band of every paragraph.
+
+    Of equal paragraphs that a task remembers the first brings all bands, any
+    other the first band alone, as a sign that it occurs again.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter = Cutter(min_words)
-        seen: set[int] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        seen: dict[int, int] = {}
         for b in batches:
-            at = 0
-            while at < len(b):
-                ids, starts, ends, words, held = [], [], [], [], 0
-                while at < len(b) and held < 1_000_000:  # characters of a turn
-                    key, text = b["id"].iat[at], b["text"].iat[at] or ""
-                    for start, end, hashed in cutter.cut(text):
-                        ids.append(key)
-                        starts.append(start)
-                        ends.append(end)
-                        words.append(hashed)
-                    held += len(text)
-                    at += 1
-                if not ids:
-                    continue
-                item = np.array([xxhash.xxh3_64_intdigest(w.tobytes()) for w in words], np.uint64).view(np.int64)
-                if len(seen) > 2_000_000:
+            for _, t in turns(b.column(0).to_pylist(), paragraph, min_words, known):
+                if len(seen) > REMEMBERED:
                     seen.clear()
-                new = [k for k, i in enumerate(item.tolist()) if not (i in seen or seen.add(i))]
-                shingles: list[np.ndarray | None] = [None] * len(ids)
-                if new:
-                    values, first = shingle_sets([words[k] for k in new])
-                    for k, v in zip(new, np.split(values.view(np.int32), first[1:]), strict=True):
-                        shingles[k] = v
-                yield pd.DataFrame({"id": ids, "start": starts, "end": ends, "n_words": [len(w) for w in words], "item": item, "shingles": shingles})
+                times = np.zeros(len(t.item), np.int64)
+                for k, i in enumerate(t.item.tolist()):
+                    seen[i] = times[k] = seen.get(i, 0) + 1
+                which = np.flatnonzero(times <= 2)
+                which = which[np.argsort(t.lo[which], kind="stable")]
+                if not len(which):
+                    continue
+                keys = t.buckets(which, bands, rows)
+                brings = np.ones(keys.shape, bool)
+                brings[times[which] == 2, 1:] = False
+                item = np.repeat(t.item[which], bands)[brings.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[brings].view(np.int64)), pa.array(item.view(np.int64))], ["bucket", "item"])
 
-    schema = f"id {kind}, start int, end int, n_words int, item long, shingles array<int>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, item long")
 
 
-def _banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``(bucket, item)`` of every band of every paragraph ``(item, shingles)``."""
+def _meeting(banded: DataFrame) -> DataFrame:
+    """``(bucket, item, n)`` of the buckets that have two rows or more, by one pass over rows sorted by bucket and item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, int] | None = None  # the last run of equal rows, which may go on
+        shared = False  # whether a run of its bucket came before it
         for b in batches:
-            if not b.num_rows:
+            bucket, item = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(bucket):
                 continue
-            item, lists = b.column(0), b.column(1)
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32)
-            low = min_hashes(values, offsets[:-1] - offsets[0], bands * rows).reshape(b.num_rows, bands, rows)
-            keys = np.zeros((b.num_rows, bands), np.uint64)
-            for r in range(rows):
-                keys = (keys ^ low[:, :, r]) * _MIX
-                keys ^= keys >> np.uint64(31)
-            keys += np.arange(bands, dtype=np.uint64)[None]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(item.to_numpy(), bands))], ["bucket", "item"])
-
-    return sets.mapInArrow(run, "bucket long, item long")
+            new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (item[1:] != item[:-1])))
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(bucket)))
+            bucket, item = bucket[at], item[at]
+            if held is not None:
+                if held[0] == bucket[0] and held[1] == item[0]:
+                    n[0] += held[2]
+                else:
+                    bucket, item, n = (np.concatenate(([h], x)) for h, x in zip(held, (bucket, item, n), strict=True))
+            else:
+                shared = False
+            alike = bucket[1:] == bucket[:-1]
+            before = np.concatenate(([shared], alike))
+            keep = (before | np.concatenate((alike, [False])) | (n > 1))[:-1]
+            held, shared = (int(bucket[-1]), int(item[-1]), int(n[-1])), bool(before[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep].astype(np.int64)) for x in (bucket, item, n)], ["bucket", "item", "n"])
+        if held is not None and (shared or held[2] > 1):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held], ["bucket", "item", "n"])
+
+    return banded.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(run, "bucket long, item long, n long")
+
+
+def _filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the items' low bits, ``bits`` / 64 words at most whatever their number."""
+    words = items.groupBy(F.expr(f"cast(shiftrightunsigned(item & {bits - 1}L, 6) as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(item & 63 as int)))").alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["at"].to_numpy()] = words["word"].to_numpy()
+    return out
 
 
-def _meeting(banded: DataFrame) -> DataFrame:
-    """The rows of buckets that have two rows or more, by one pass over rows sorted by bucket."""
+def _shingle_sets(docs: DataFrame, items: DataFrame, text_col: str, paragraph: int, min_words: int) -> DataFrame:
+    """``(item, shingles)`` of the paragraphs ``items``: a scan of all texts, a filter of bounded size, and a join that decides."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int] | None = None  # the row before, if it hasn't been given out
-        before: int | None = None
+        known: dict[str, int] = {}
+        seen: set[int] = set()
+        has = shared.value
         for b in batches:
-            bucket, item = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(bucket):
-                continue
-            same = np.concatenate(([before is not None and bucket[0] == before], bucket[1:] == bucket[:-1]))
-            keep = same | np.concatenate((same[1:], [False]))
-            if last is not None and same[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["bucket", "item"])
-            last = None if keep[-1] else (int(bucket[-1]), int(item[-1]))
-            before = int(bucket[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(item[keep])], ["bucket", "item"])
+            for _, t in turns(b.column(0).to_pylist(), paragraph, min_words, known):
+                low = (t.item & np.uint64(64 * len(has) - 1)).astype(np.int64)
+                which = np.flatnonzero((has[low >> 6] >> (low & 63)) & 1)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                which = [k for k in which.tolist() if not ((i := int(t.item[k])) in seen or seen.add(i))]
+                if which:
+                    values = t.shingles().view(np.int64)
+                    sets = [np.unique(values[t.lo[k] : t.hi[k] - SHINGLE + 1]) for k in which]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)), pa.array(np.concatenate(sets)))
+                    yield pa.RecordBatch.from_arrays([pa.array(t.item[which].view(np.int64)), lists], ["item", "shingles"])
 
-    return dealt(banded, "bucket").mapInArrow(run, "bucket long, item long")
+    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item long, shingles array<long>")
+    return sets.join(items, "item", "left_semi").groupBy("item").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
@@ -250,7 +361,7 @@ def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd
         items, sets = rows["item"].to_numpy(np.int64), rows["shingles"].tolist()
         for lo, hi in zip([0, *cut], [*cut, len(rows)], strict=True):
             if hi - lo > 1:
-                x, y = link([np.asarray(x, np.int32) for x in sets[lo:hi]], items[lo:hi])
+                x, y = link([np.asarray(x, np.int64) for x in sets[lo:hi]], items[lo:hi])
                 u.append(x)
                 v.append(y)
         return pd.DataFrame({"u": np.concatenate(u) if u else np.empty(0, np.int64), "v": np.concatenate(v) if v else np.empty(0, np.int64)})
@@ -266,45 +377,67 @@ def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd
         yield work(rest)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
+def _apart(places: DataFrame, paragraph: int) -> DataFrame:
+    """Without all but the first of a component's paragraphs that overlap in one text.
+
+    Two paragraphs that begin a word or two apart are similar, and no repeat.
+    """
+    of = Window.partitionBy("component", "row")
+    block = F.floor((F.col("word") - F.min("word").over(of)) / paragraph)
+    last = F.lag("block").over(of.orderBy("word"))
+    return places.withColumn("block", block).withColumn("last", last).where("last is null or last <> block").drop("block", "last")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, min_words: int = MIN_WORDS, paragraph: int = PARAGRAPH) -> DataFrame:
     """``id, start, end, n_words, component, component_id, copies, kept`` of every repeated paragraph.
 
-    A paragraph is a line with at least ``min_words`` words, or a piece of a
-    line of more than 64 words. Letters are lower-cased and runs of spaces
-    count as one. Paragraphs link when the Jaccard similarity of their 5-word
-    shingles is at least ``similarity``; the first occurrence of a component,
-    by id and start, stays. ``component_id`` is its id. Null and empty texts
-    have no paragraphs, null ids come last, repeated rows repeat their
-    paragraphs (of equal places, one stays). Paragraphs that occur once and
-    have no link are not returned.
+    Letters are lower-cased and runs of white space count as one. Paragraphs
+    link when the Jaccard similarity of their 5-word shingles (64-bit hashes)
+    is at least ``similarity``; the first occurrence of a component, by id and
+    start, stays. ``component_id`` is its id. A run of at least ``min_words``
+    words that recurs anywhere has at least one row for every occurrence; one
+    of ``paragraph`` words or more may have. Texts of fewer words have no rows, nor have null and empty ones; null ids
+    come last, repeated rows repeat their paragraphs (of equal places, one
+    stays). Columns beside the two named are not read.
     """
+    if not SHINGLE <= paragraph < min_words - 1:
+        raise ValueError("a paragraph has at least five words, and two fewer than a passage")
     bands, rows = tune_bands(similarity, recall)
-    found = stored(_pieces(docs, id_col, text_col, min_words))
-    sets = found.where("shingles is not null").select("item", "shingles")
-    meeting = stored(_meeting(_banded(sets, bands, rows)).groupBy("bucket", "item").agg(F.count("*").alias("n")))
-    # Equal paragraphs meet each other in every band, or their task left out their shingles.
-    again = meeting.where("n > 1").select("item").unionByName(found.where("shingles is null").select("item")).distinct()
+    meeting = stored(_meeting(_banded(docs, text_col, paragraph, min_words, bands, rows)))
+    again = meeting.where("n > 1").select("item").distinct()
     # Buckets of the same items, as a near copy makes in most bands, are compared once: their number, bounds and hash sum agree.
     met = meeting.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.count("*").alias("items"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("sum")).where("lo < hi")
     different = met.groupBy("lo", "hi", "items", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
     compared = stored(meeting.select("bucket", "item").join(different, "bucket", "left_semi"))
-    needed = sets.join(compared.select("item").distinct(), "item", "left_semi").groupBy("item").agg(F.first("shingles").alias("shingles"))
-    rows_of_cells = cells(compared).join(stored(needed), "item")
-    links = dealt(rows_of_cells, "bucket", "a", "b").mapInPandas(lambda it: _verified(it, similarity), "u long, v long")
+    needed = stored(_shingle_sets(docs, stored(compared.select("item").distinct()), text_col, paragraph, min_words))
+    links = dealt(cells(compared).join(needed, "item"), "bucket", "a", "b").mapInPandas(lambda it: _verified(it, similarity), "u long, v long")
     components = connected_components(links).withColumnRenamed("node", "item")
-    repeated = stored(components.join(again, "item", "full").select("item", F.coalesce("component", "item").alias("component")))
-    places = stored(found.select("id", "start", "end", "n_words", "item").join(repeated, "item").withColumn("row", F.monotonically_increasing_id()))
+    repeated = components.join(again, "item", "full").select("item", F.coalesce("component", "item").alias("component"))
+    found = stored(_scan(docs, id_col, text_col, paragraph, min_words))
+    places = stored(_apart(found.join(repeated, "item").drop("item"), paragraph))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "start", "row")
-    best = stored(places.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("copies")))
+    best = places.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("copies")).where("copies > 1")
     out = places.join(best, "component")
-    return out.select("id", "start", "end", "n_words", "component", F.col("best.id").alias("component_id"), "copies", (F.col("row") == F.col("best.row")).alias("kept"))
+    stays = (F.col("row") == F.col("best.row")) & (F.col("start") == F.col("best.start"))
+    return out.select("id", "start", "end", "n_words", "component", F.col("best.id").alias("component_id"), "copies", stays.alias("kept"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the paragraphs that don't stay cut out of their texts; ids are taken to be unique."""
-    cut = substring_dedup(docs, id_col, text_col, **options).where("not kept")
-    spans = cut.groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
+    """``docs`` with the paragraphs that don't stay cut out of their texts.
+
+    Rows are told apart by a number of their own, so that ids and whole rows
+    may repeat. White space around what is cut stays as it is.
+    """
+    key, cut, row = fresh(docs, "key", "cut", "row")
+    keyed = stored(docs.withColumn(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))))
+    gone = substring_dedup(keyed, key, text_col, **options).where("not kept")
+    spans = gone.groupBy(F.col("id.row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cut))
     text = F.col(text_col)
-    kept = F.aggregate("__cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out")), lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("__cut").isNull(), text).otherwise(kept)).select(*docs.columns)
+
+    def step(acc, s):
+        ahead = F.greatest(s["start"] - acc["at"], F.lit(0))
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, ahead)).alias("out"))
+
+    kept = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    joined = keyed.join(spans, F.col(f"{key}.row") == F.col(row), "left")
+    return joined.withColumn(text_col, F.when(F.col(cut).isNull(), text).otherwise(kept)).select(*docs.columns)

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import numpy as np
 import xxhash
@@ -118,21 +119,94 @@ def test_near_dedup_on_odd_rows(odd, none):
     assert simhash.simhash_groups(none).count() == 0 and simhash.near_dedup(none).count() == 0
 
 
-def test_substring_groups_against_all_pairs(spark, none, odd):
-    passage = prose(77, 60)
-    words = prose(78, 50).split()
-    changed = " ".join([*words[:20], "zzz", *words[21:]])
-    docs = [(1, f"{prose(11, 30)}\n{passage}"), (2, f"{passage.upper()}\n{prose(12, 40)}"), (3, prose(13, 80) + ". " + passage + " " + prose(14, 70)), (4, prose(15, 100)), (5, " ".join(words)), (6, changed), (None, None), (8, "")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = substring_dedup.substring_dedup(df, min_words=10).collect()
+def shingled(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    """Passages of 51 words and more in lines of their own, in long lines, over short lines and between tabs: every one is found."""
+    rng, docs, planted = random.Random(5), [], {}
+    joins = (" ", "\t", "\n", "  ", "\x0b", " ")
+    for case in range(120):
+        words = prose(10_000 + case, 51 + case % 9).split()
+        for copy in range(2):
+            kind = (case + 3 * copy) % 6
+            if kind == 2:
+                said = "".join(w + ("\n" if k % 7 == 6 else " ") for k, w in enumerate(words))
+            else:
+                said = joins[kind].join(words)
+            before, after = prose(rng.randrange(10**6), rng.randrange(0, 90)), prose(rng.randrange(10**6), rng.randrange(0, 90))
+            around = "\n" if kind == 5 else " "
+            text = before + around + (said.upper() if copy and case % 3 == 0 else said) + around + after
+            planted[len(docs)] = (case, len(before) + 1, len(before) + 1 + len(said))
+            docs.append((len(docs), text))
+    clean = [(1000 + i, prose(50_000 + i, 40 + 7 * i)) for i in range(40)]
+    df = spark.createDataFrame(docs + clean, "doc_id long, text string").repartition(5)
+    got = substring_dedup.substring_dedup(df).collect()
     by = collections.defaultdict(set)
     for r in got:
         by[r["component"]].add(r["id"])
-    assert {1, 2} in [g & {1, 2} for g in by.values()] and {5, 6} in by.values() and 4 not in {r["id"] for r in got}
+    for i, (case, start, end) in planted.items():
+        own = [r for r in got if r["id"] == i]
+        assert own and any({2 * case, 2 * case + 1} <= by[r["component"]] for r in own), (i, case)
+        # two words outside leave a similarity of 0.8, and a word or so may happen to be the same
+        outside = [r for r in own if r["n_words"] == substring_dedup.PARAGRAPH and not start - 24 <= r["start"] <= r["end"] <= end + 24]
+        assert not outside, (start, end, outside)
+    assert not {r["id"] for r in got} & {i for i, _ in clean}
     assert all(sum(r["kept"] for r in got if r["component"] == c) == 1 for c in by)
-    cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(df, min_words=10).collect()}
-    assert passage in cleaned[1] and passage.upper() not in cleaned[2] and cleaned[4] == docs[3][1] and cleaned[None] is None
-    assert substring_dedup.substring_dedup(none).count() == 0 and substring_dedup.substring_dedup(odd).count() >= 0
+
+
+def test_lines_against_all_pairs(spark):
+    """Whole lines link as the exact Jaccard similarity of all pairs says."""
+    rng, lines = random.Random(9), []
+    for base in range(12):
+        words = prose(70_000 + base, 60 + 5 * base).split()
+        for copy in range(4):
+            new = list(words)
+            for k in range(copy * (1 + base % 4)):
+                new[rng.randrange(len(new))] = f"zz{base}{copy}{k}"
+            lines.append(new)
+    df = spark.createDataFrame([(i, prose(90_000 + i, 5) + "\n" + " ".join(w) + "\n" + prose(91_000 + i, 5)) for i, w in enumerate(lines)], "doc_id long, text string").repartition(4)
+    label = list(range(len(lines)))
+    sets = [shingled(w) for w in lines]
+    for _ in lines:
+        for i in range(len(lines)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = [r for r in substring_dedup.substring_dedup(df).collect() if r["n_words"] >= 60]
+    found = {r["id"]: r["component_id"] for r in got}
+    assert len(got) == len(found) and all(found.get(i, i) == label[i] for i in range(len(lines)))
+
+
+def test_repeats_are_cut_and_odd_rows_have_defined_results(spark, none, odd):
+    passage, long = prose(77, 60), prose(78, 2000)
+    docs = [(1, f"{prose(11, 30)}\n{passage}"), (2, f"{passage.upper()}\n{prose(12, 40)}"), (3, prose(13, 80) + ". " + passage + " " + prose(14, 70)), (4, prose(15, 100)), (None, None), (8, ""), (9, long), (9, long), (None, passage), (10, "la " * 500), (11, "la " * 400)]
+    df = spark.createDataFrame([(*d, "k", 1) for d in docs], "doc_id long, text string, key string, row int").repartition(3)
+    out = substring_dedup.without_repeats(df)
+    assert out.columns == df.columns and out.count() == len(docs)
+    cleaned = collections.defaultdict(list)
+    for r in out.collect():
+        cleaned[r["doc_id"]].append(r["text"])
+    assert cleaned[1] == [docs[0][1]] and cleaned[4] == [docs[3][1]] and None in cleaned[None] and cleaned[8] == [""]
+    assert cleaned[2][0].strip() == prose(12, 40)
+    # within a long line the two ends of the passage may stay, up to the words from which nothing begins
+    assert len(cleaned[3][0].split()) <= 150 + 40 and prose(13, 80) in cleaned[3][0] and prose(14, 70) in cleaned[3][0]
+    once, twice = sorted(cleaned[9], key=len)
+    assert twice == long and once.strip() == ""
+    assert substring_dedup.substring_dedup(none).count() == 0 and substring_dedup.without_repeats(none).count() == 0
+    got = substring_dedup.substring_dedup(odd).collect()
+    assert {r["id"] for r in got} == {5, 6} and {r["component_id"] for r in got} == {5}  # the two very long texts; no other has fifty words
+
+
+def test_meeting_rows_of_sorted_buckets(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(400), rng.randrange(6)) for _ in range(500)] + [(7, 1)] * 30_000
+    counts = collections.Counter(rows)
+    sizes = collections.Counter(b for b, _ in rows)
+    want = {(b, i, n) for (b, i), n in counts.items() if sizes[b] > 1}
+    got = substring_dedup._meeting(spark.createDataFrame(rows, "bucket long, item long").repartition(6)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_bands_reach_the_recall():
