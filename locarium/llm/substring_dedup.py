@@ -6,7 +6,7 @@ text has besides, across its lines, paragraphs of ``PARAGRAPH`` words that
 begin where the words themselves say so: at the least of every ``STRIDE``
 consecutive word pairs' hashes, and at the text's ends. A run of ``MIN_WORDS`` words holds one of these
 whole, and the same one wherever the run stands. Bands tuned for recall bring
-similar paragraphs into buckets; within a bucket the exact Jaccard similarity
+similar paragraphs into buckets, those that begin alike where words chose them; within a bucket the exact Jaccard similarity
 of their word shingles decides, and components of the verified links are the
 clusters of which one occurrence stays.
 """
@@ -45,13 +45,12 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
-def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, least_rows: int = 2, most_rows: int = 8) -> tuple[int, int]:
+def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, least_rows: int = 1, most_rows: int = 8) -> tuple[int, int]:
     """``(bands, rows)`` that find a pair at ``similarity`` with chance ``recall``, for the least work.
 
     Work is the number of bands, which are shuffled, and, weighed by 4, the
     share of unrelated pairs (similarities below a quarter of the threshold,
-    evenly) that collide. One row alone would gather all paragraphs with a
-    common phrase in a bucket.
+    evenly) that collide.
     """
     best = None
     for rows in range(least_rows, most_rows + 1):
@@ -116,6 +115,7 @@ class Turn:
         item = self._items(lo, lo + paragraph)
         alone = self._alone(item, lo, paragraph)
         lo, item = lo[alone], item[alone]
+        self.chosen = len(lo)  # the paragraphs after these are lines
         self.lo, self.hi = np.concatenate((lo, lines[0])), np.concatenate((lo + paragraph, lines[1]))
         self.item = np.concatenate((item, self._items(*lines)))
 
@@ -182,21 +182,31 @@ class Turn:
             rolled ^= rolled >> np.uint64(29)
         return rolled
 
-    def buckets(self, which: np.ndarray, bands: int, rows: int) -> np.ndarray:
-        """The bucket of each band of the paragraphs ``which``."""
+    def buckets(self, which: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The paragraphs ``which`` in the order of their places, and the bucket of each band of the paragraphs ``which``, all chosen by their words or all lines.
+
+        Chosen paragraphs share a bucket only if their first two words are the
+        same: a run chooses the same ones wherever it stands, and those of one
+        text that overlap don't meet.
+        """
+        which = which[np.argsort(self.lo[which], kind="stable")]
+        if not len(which):
+            return which, np.zeros((0, bands), np.uint64)
         values = np.append(self.shingles(), np.uint64(0))
         ends = np.empty(2 * len(which), np.int64)
         ends[::2], ends[1::2] = self.lo[which], self.hi[which] - SHINGLE + 1
+        begins = np.where(which < self.chosen, self.hashes[self.lo[which]] * _MIX + self.hashes[self.lo[which] + 1], np.uint64(0))
         rng = np.random.default_rng(7)
         keys = np.zeros((len(which), bands), np.uint64)
         for band in range(bands):
+            keys[:, band] = begins
             for _ in range(rows):
                 a, b = rng.integers(1, 1 << 63, 2, np.uint64)
                 least = np.minimum.reduceat(_mixed((values + b) * (a | np.uint64(1))), ends)[::2]
                 keys[:, band] = (keys[:, band] ^ least) * _MIX
                 keys[:, band] ^= keys[:, band] >> np.uint64(31)
             keys[:, band] += np.uint64(band)
-        return keys
+        return which, keys
 
 
 def turns(texts: list[str | None], paragraph: int, min_words: int, known: dict[str, int], characters: int = 1_000_000) -> Iterator[tuple[int, Turn]]:
@@ -232,12 +242,15 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, paragraph: int, min_words
     return rows.mapInArrow(run, schema)
 
 
-def _banded(docs: DataFrame, text_col: str, paragraph: int, min_words: int, bands: int, rows: int) -> DataFrame:
+def _banded(docs: DataFrame, text_col: str, paragraph: int, min_words: int, similarity: float, recall: float) -> DataFrame:
     """``(bucket, item)`` of every band of every paragraph.
 
-    Of equal paragraphs that a task remembers the first brings all bands, any
-    other the first band alone, as a sign that it occurs again.
+    One row a band does for paragraphs that begin alike; whole lines have two
+    or more, lest all lines with a common phrase gather in a bucket. Of equal
+    paragraphs that a task remembers the first brings all bands, any other the
+    first band alone, as a sign that it occurs again.
     """
+    tuned = (tune_bands(similarity, recall), tune_bands(similarity, recall, least_rows=2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -249,15 +262,13 @@ def _banded(docs: DataFrame, text_col: str, paragraph: int, min_words: int, band
                 times = np.zeros(len(t.item), np.int64)
                 for k, i in enumerate(t.item.tolist()):
                     seen[i] = times[k] = seen.get(i, 0) + 1
-                which = np.flatnonzero(times <= 2)
-                which = which[np.argsort(t.lo[which], kind="stable")]
-                if not len(which):
-                    continue
-                keys = t.buckets(which, bands, rows)
-                brings = np.ones(keys.shape, bool)
-                brings[times[which] == 2, 1:] = False
-                item = np.repeat(t.item[which], bands)[brings.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[brings].view(np.int64)), pa.array(item.view(np.int64))], ["bucket", "item"])
+                line = np.arange(len(times)) >= t.chosen
+                for kind, (bands, rows) in enumerate(tuned):
+                    which, keys = t.buckets(np.flatnonzero((times <= 2) & (line == kind)), bands, rows)
+                    brings = np.ones(keys.shape, bool)
+                    brings[times[which] == 2, 1:] = False
+                    item = np.repeat(t.item[which], bands)[brings.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[brings].view(np.int64)), pa.array(item.view(np.int64))], ["bucket", "item"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket long, item long")
 
@@ -402,8 +413,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not SHINGLE <= paragraph < min_words - 1:
         raise ValueError("a paragraph has at least five words, and two fewer than a passage")
-    bands, rows = tune_bands(similarity, recall)
-    meeting = stored(_meeting(_banded(docs, text_col, paragraph, min_words, bands, rows)))
+    meeting = stored(_meeting(_banded(docs, text_col, paragraph, min_words, similarity, recall)))
     again = meeting.where("n > 1").select("item").distinct()
     # Buckets of the same items, as a near copy makes in most bands, are compared once: their number, bounds and hash sum agree.
     met = meeting.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.count("*").alias("items"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("sum")).where("lo < hi")
