@@ -17,11 +17,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import connected_components, dealt, fresh, stored
 from .simhash import cells, forest
@@ -68,56 +67,66 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _lower_table() -> np.ndarray:
+    """The lower-case letter of each code point, where that is one."""
+    if "lower" not in _TABLES:
+        low = (chr(i).lower() for i in range(0x110000))
+        _TABLES["lower"] = np.fromiter((ord(c) if len(c) == 1 else i for i, c in enumerate(low)), np.uint32, 0x110000)
+    return _TABLES["lower"]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the polynomial's base and of its inverse, modulo 2**64."""
+    if len(_TABLES.get("power", ())) < n:
+        one = np.ones(1, np.uint64)
+        for name, base in (("power", _ODD), ("back", _INVERSE)):
+            _TABLES[name] = np.cumprod(np.concatenate((one, np.full(n + 1000, base))))
+    return _TABLES["power"][:n], _TABLES["back"][:n]
+
+
+class Runs:
+    """Hashes of runs of a sequence: a polynomial over its values, taken back to each run's own place."""
+
+    def __init__(self, values: np.ndarray):
+        power, self.back = _powers(len(values) + 1)
+        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power[:-1], dtype=np.uint64)))
+
+    def hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return _mixed((self.sum[hi] - self.sum[lo]) * self.back[lo] + (hi - lo).astype(np.uint64) * _MIX)
 
 
 class Turn:
     """The words of some texts, laid end to end, and their paragraphs.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``, hashed in lower case. ``lo`` and ``hi``
+    Words are ``[^\\x20\\x09-\\x0D]+``, hashed with each letter in lower case. ``lo`` and ``hi``
     bound each paragraph in words.
     """
 
-    def __init__(self, texts: list[str], known: dict[str, int], paragraph: int = PARAGRAPH, min_words: int = MIN_WORDS):
+    def __init__(self, texts: list[str], paragraph: int = PARAGRAPH, min_words: int = MIN_WORDS):
         whole = "\n".join(texts)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         space = (points == 32) | ((points >= 9) & (points <= 13))
         edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        for c in "\t\n\x0b\x0c\r":
-            if c in whole:
-                whole = whole.replace(c, " ")
-        words = [w for w in whole.split(" ") if w]
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            if len(known) > 500_000:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = _word_hash(w)
-            found = [known[w] for w in words]
-        n = len(words)
-        self.hashes = np.array(found, np.uint64) if n else np.zeros(0, np.uint64)
+        self.hashes = Runs(_lower_table()[points].astype(np.uint64)).hash(self.starts, self.ends)
+        n = len(self.hashes)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.offset = np.cumsum(sizes) - sizes  # where each text begins, in code points
         self.first = np.searchsorted(self.starts, self.offset)  # its first word
         self.owner = np.repeat(np.arange(len(texts)), np.diff(np.append(self.first, n)))
         chosen = self._chosen(paragraph, min_words - paragraph - 1)
         lines = self._lines(np.flatnonzero(points == 10), min_words)
-        # items: a polynomial over the words' hashes, taken back to the paragraph's own place
-        one = np.ones(1, np.uint64)
-        power = np.cumprod(np.concatenate((one, np.full(n, _ODD))))
-        self._sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.hashes * power[:-1], dtype=np.uint64)))
-        self._back = np.cumprod(np.concatenate((one, np.full(n, _INVERSE))))
+        words = Runs(self.hashes)
         lo = chosen
-        item = self._items(lo, lo + paragraph)
+        item = words.hash(lo, lo + paragraph)
         alone = self._alone(item, lo, paragraph)
         lo, item = lo[alone], item[alone]
         self.chosen = len(lo)  # the paragraphs after these are lines
         self.lo, self.hi = np.concatenate((lo, lines[0])), np.concatenate((lo + paragraph, lines[1]))
-        self.item = np.concatenate((item, self._items(*lines)))
+        self.item = np.concatenate((item, words.hash(*lines)))
 
     def _chosen(self, paragraph: int, stride: int) -> np.ndarray:
         """First words of the paragraphs chosen by their words: the first least of every ``stride`` pairs of a text; and those at its ends."""
@@ -151,10 +160,6 @@ class Turn:
         enough = np.diff(cuts) >= min_words
         return cuts[:-1][enough], cuts[1:][enough]
 
-    def _items(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """A hash of each run of words."""
-        return _mixed((self._sum[hi] - self._sum[lo]) * self._back[lo] + (hi - lo).astype(np.uint64) * _MIX)
-
     def _alone(self, item: np.ndarray, lo: np.ndarray, paragraph: int) -> np.ndarray:
         """False for a paragraph that overlaps an equal one of its text, as words said over and over make."""
         keep = np.ones(len(item), bool)
@@ -209,7 +214,7 @@ class Turn:
         return which, keys
 
 
-def turns(texts: list[str | None], paragraph: int, min_words: int, known: dict[str, int], characters: int = 1_000_000) -> Iterator[tuple[int, Turn]]:
+def turns(texts: list[str | None], paragraph: int, min_words: int, characters: int = 250_000) -> Iterator[tuple[int, Turn]]:
     """The texts in turns of some ``characters``, each with the place of its first text."""
     at = 0
     while at < len(texts):
@@ -217,27 +222,42 @@ def turns(texts: list[str | None], paragraph: int, min_words: int, known: dict[s
         while at < len(texts) and held < characters:
             held += len(texts[at] or "")
             at += 1
-        yield begun, Turn([t or "" for t in texts[begun:at]], known, paragraph, min_words)
+        yield begun, Turn([t or "" for t in texts[begun:at]], paragraph, min_words)
+
 
+def _scan(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, paragraph: int, min_words: int) -> DataFrame:
+    """``id, row, word, start, end, n_words, item, shingles`` of the paragraphs of all documents.
 
-def _scan(docs: DataFrame, id_col: str, text_col: str, paragraph: int, min_words: int) -> DataFrame:
-    """``id, row, word, start, end, n_words, item`` of the paragraphs of all documents."""
+    ``shingles`` are there for the items ``needed``, once a task, and, as a
+    filter of bounded size picks them, for some others; the rest has null.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        has = shared.value
+        seen: set[int] = set()
         for b in batches:
-            for at, t in turns(b.column(1).to_pylist(), paragraph, min_words, known):
+            for at, t in turns(b.column(1).to_pylist(), paragraph, min_words):
                 own = t.owner[t.lo]
                 place = pa.array(at + own)
                 start, end = t.starts[t.lo] - t.offset[own], t.ends[t.hi - 1] - t.offset[own]
                 ints = [pa.array(x.astype(np.int32)) for x in (t.lo - t.first[own], start, end, t.hi - t.lo)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(2).take(place), *ints, pa.array(t.item.view(np.int64))], names)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                low = (t.item & np.uint64(64 * len(has) - 1)).astype(np.int64)
+                values = t.shingles().view(np.int64)
+                sets: list[np.ndarray | None] = [None] * len(t.item)
+                for k in np.flatnonzero((has[low >> 6] >> (low & 63)) & 1).tolist():
+                    if (i := int(t.item[k])) not in seen:
+                        seen.add(i)
+                        sets[k] = np.unique(values[t.lo[k] : t.hi[k] - SHINGLE + 1])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(2).take(place), *ints, pa.array(t.item.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     schema = rows.select("id", "row").schema
     for name in ("word", "start", "end", "n_words"):
         schema = schema.add(name, "integer")
-    schema = schema.add("item", "long")
+    schema = schema.add("item", "long").add("shingles", ArrayType(LongType()))
     names = schema.names
     return rows.mapInArrow(run, schema)
 
@@ -253,15 +273,16 @@ def _banded(docs: DataFrame, text_col: str, paragraph: int, min_words: int, simi
     tuned = (tune_bands(similarity, recall), tune_bands(similarity, recall, least_rows=2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         seen: dict[int, int] = {}
         for b in batches:
-            for _, t in turns(b.column(0).to_pylist(), paragraph, min_words, known):
+            for _, t in turns(b.column(0).to_pylist(), paragraph, min_words):
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                times = np.zeros(len(t.item), np.int64)
-                for k, i in enumerate(t.item.tolist()):
-                    seen[i] = times[k] = seen.get(i, 0) + 1
+                count = []
+                for i in t.item.tolist():
+                    seen[i] = n = seen.get(i, 0) + 1
+                    count.append(n)
+                times = np.array(count, np.int64)
                 line = np.arange(len(times)) >= t.chosen
                 for kind, (bands, rows) in enumerate(tuned):
                     which, keys = t.buckets(np.flatnonzero((times <= 2) & (line == kind)), bands, rows)
@@ -313,46 +334,37 @@ def _filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _shingle_sets(docs: DataFrame, items: DataFrame, text_col: str, paragraph: int, min_words: int) -> DataFrame:
-    """``(item, shingles)`` of the paragraphs ``items``: a scan of all texts, a filter of bounded size, and a join that decides."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(items))
+def _pairs(values: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values the sets ``i`` and ``j`` share, for many pairs at once; the sets lie end to end in ``values`` from ``place`` on."""
+    size = np.diff(place)
+    sets = np.stack((i, j), axis=1).ravel()
+    n = size[sets]
+    pair = np.repeat(np.arange(len(i)), n.reshape(-1, 2).sum(axis=1))
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(place[sets], n)
+    held = values[at]
+    order = np.lexsort((held, pair))
+    held, pair = held[order], pair[order]
+    return np.bincount(pair[1:][(held[1:] == held[:-1]) & (pair[1:] == pair[:-1])], minlength=len(i))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        seen: set[int] = set()
-        has = shared.value
-        for b in batches:
-            for _, t in turns(b.column(0).to_pylist(), paragraph, min_words, known):
-                low = (t.item & np.uint64(64 * len(has) - 1)).astype(np.int64)
-                which = np.flatnonzero((has[low >> 6] >> (low & 63)) & 1)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                which = [k for k in which.tolist() if not ((i := int(t.item[k])) in seen or seen.add(i))]
-                if which:
-                    values = t.shingles().view(np.int64)
-                    sets = [np.unique(values[t.lo[k] : t.hi[k] - SHINGLE + 1]) for k in which]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)), pa.array(np.concatenate(sets)))
-                    yield pa.RecordBatch.from_arrays([pa.array(t.item[which].view(np.int64)), lists], ["item", "shingles"])
 
-    sets = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "item long, shingles array<long>")
-    return sets.join(items, "item", "left_semi").groupBy("item").agg(F.first("shingles").alias("shingles"))
+#: Rows of a cell up to which all its pairs are looked at together with those of other cells.
+FEW = 8
 
 
-def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the links within each cell; rows come sorted by cell."""
-    rest: pd.DataFrame | None = None
 
-    def link(sets: list[np.ndarray], items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def link(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The links of a large cell: shingles in common with every later row, counted at once."""
         n = len(sets)
         size = np.array([len(s) for s in sets])
-        codes, at = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.unique(np.concatenate(sets), return_inverse=True)[1]
         owner = np.repeat(np.arange(n), size)
         order = np.argsort(at, kind="stable")
         held = np.split(owner[order], np.flatnonzero(np.diff(at[order])) + 1)
         left, right = [], []
         place = np.concatenate(([0], np.cumsum(size)))
         for i in range(n):
-            # shingles in common with every later paragraph of the cell, counted at once
             near = np.concatenate([held[c] for c in at[place[i] : place[i + 1]]])
             near = near[near > i]
             if len(near):
@@ -361,31 +373,53 @@ def _verified(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd
                 j = j[both[j] >= similarity * (size[i] + size[j] - both[j]) - 1e-9]
                 left.append(np.full(len(j), i))
                 right.append(j)
-        root = forest(n, np.concatenate(left), np.concatenate(right)) if left else np.arange(n)
-        child = np.flatnonzero(root != np.arange(n))
-        return items[child], items[root[child]]
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows[["bucket", "a", "b"]].to_numpy()
-        cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        u, v = [], []
-        items, sets = rows["item"].to_numpy(np.int64), rows["shingles"].tolist()
-        for lo, hi in zip([0, *cut], [*cut, len(rows)], strict=True):
-            if hi - lo > 1:
-                x, y = link([np.asarray(x, np.int64) for x in sets[lo:hi]], items[lo:hi])
-                u.append(x)
-                v.append(y)
-        return pd.DataFrame({"u": np.concatenate(u) if u else np.empty(0, np.int64), "v": np.concatenate(v) if v else np.empty(0, np.int64)})
-
-    for rows in batches:
-        rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
-        key = rows[["bucket", "a", "b"]].to_numpy()
-        same = (key == key[-1]).all(axis=1) if len(rows) else np.zeros(0, bool)
-        rest = rows[same]
-        if not same.all():
-            yield work(rows[~same])
-    if rest is not None and len(rest):
-        yield work(rest)
+        none = np.empty(0, np.int64)
+        return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        key = np.stack([rows.column(c).to_numpy() for c in ("bucket", "a", "b")])
+        item = rows.column("item").to_numpy()
+        lists = rows.column("shingles").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        place = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy()
+        size = np.diff(place)
+        first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+        n = np.diff(np.append(first, len(item)))
+        left, right = [], []
+        for k in range(2, FEW + 1):  # all pairs of all cells of k rows
+            cells_of = first[n == k]
+            if len(cells_of):
+                x, y = np.triu_indices(k, 1)
+                i, j = (cells_of[:, None] + x).ravel(), (cells_of[:, None] + y).ravel()
+                for part in range(0, len(i), 50_000):
+                    p, q = i[part : part + 50_000], j[part : part + 50_000]
+                    both = _pairs(values, place, p, q)
+                    close = both >= similarity * (size[p] + size[q] - both) - 1e-9
+                    left.append(p[close])
+                    right.append(q[close])
+        for lo, m in zip(first[n > FEW].tolist(), n[n > FEW].tolist(), strict=True):
+            i, j = link([values[place[k] : place[k + 1]] for k in range(lo, lo + m)])
+            left.append(lo + i)
+            right.append(lo + j)
+        i, j = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (left, right))
+        root = forest(len(item), i, j)
+        child = np.flatnonzero(root != np.arange(len(item)))
+        return pa.RecordBatch.from_arrays([pa.array(item[child]), pa.array(item[root[child]])], ["u", "v"])
+
+    rest: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b], rest.schema)])
+        key = np.stack([rows.column(c).to_numpy() for c in ("bucket", "a", "b")])
+        other = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+        done = int(other[-1]) + 1 if len(other) else 0
+        rest = rows.slice(done)
+        if done:
+            yield work(rows.slice(0, done).combine_chunks())
+    if rest is not None and rest.num_rows:
+        yield work(rest.combine_chunks())
 
 
 def _apart(places: DataFrame, paragraph: int) -> DataFrame:
@@ -419,12 +453,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = meeting.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi"), F.count("*").alias("items"), F.sum(F.xxhash64("item").cast("decimal(38,0)")).alias("sum")).where("lo < hi")
     different = met.groupBy("lo", "hi", "items", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
     compared = stored(meeting.select("bucket", "item").join(different, "bucket", "left_semi"))
-    needed = stored(_shingle_sets(docs, stored(compared.select("item").distinct()), text_col, paragraph, min_words))
-    links = dealt(cells(compared).join(needed, "item"), "bucket", "a", "b").mapInPandas(lambda it: _verified(it, similarity), "u long, v long")
+    found = stored(_scan(docs, compared.select("item").distinct(), id_col, text_col, paragraph, min_words))
+    sets = found.where("shingles is not null").select("item", "shingles").groupBy("item").agg(F.first("shingles").alias("shingles"))
+    links = dealt(cells(compared).join(sets, "item"), "bucket", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
     components = connected_components(links).withColumnRenamed("node", "item")
     repeated = components.join(again, "item", "full").select("item", F.coalesce("component", "item").alias("component"))
-    found = stored(_scan(docs, id_col, text_col, paragraph, min_words))
-    places = stored(_apart(found.join(repeated, "item").drop("item"), paragraph))
+    places = stored(_apart(found.drop("shingles").join(repeated, "item").drop("item"), paragraph))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "start", "row")
     best = places.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("copies")).where("copies > 1")
     out = places.join(best, "component")
