@@ -334,17 +334,26 @@ def _filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
-def _pairs(values: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """How many values the sets ``i`` and ``j`` share, for many pairs at once; the sets lie end to end in ``values`` from ``place`` on."""
+def _pairs(codes: np.ndarray, kinds: int, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values the sets ``i`` and ``j`` share, for many pairs at once.
+
+    The sets lie end to end in ``codes``, numbers below ``kinds``, from
+    ``place`` on. Pairs are taken in parts of some million values.
+    """
     size = np.diff(place)
-    sets = np.stack((i, j), axis=1).ravel()
-    n = size[sets]
-    pair = np.repeat(np.arange(len(i)), n.reshape(-1, 2).sum(axis=1))
-    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(place[sets], n)
-    held = values[at]
-    order = np.lexsort((held, pair))
-    held, pair = held[order], pair[order]
-    return np.bincount(pair[1:][(held[1:] == held[:-1]) & (pair[1:] == pair[:-1])], minlength=len(i))
+    held = np.cumsum(size[i] + size[j])
+    out = np.zeros(len(i), np.int64)
+    cuts = np.searchsorted(held, np.arange(0, held[-1] + 1_000_000, 1_000_000)) if len(i) else []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo < hi:
+            sets = np.stack((i[lo:hi], j[lo:hi]), axis=1).ravel()
+            n = size[sets]
+            pair = np.repeat(np.arange(len(sets)) // 2, n)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n - place[sets], n)
+            key = pair * kinds + codes[at]
+            key.sort()
+            out[lo:hi] = np.bincount(key[1:][key[1:] == key[:-1]] // kinds, minlength=hi - lo)
+    return out
 
 
 #: Rows of a cell up to which all its pairs are looked at together with those of other cells.
@@ -354,27 +363,30 @@ FEW = 8
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the links within each cell; rows come sorted by cell."""
 
-    def link(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The links of a large cell: shingles in common with every later row, counted at once."""
-        n = len(sets)
-        size = np.array([len(s) for s in sets])
-        at = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    def link(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links that connect the rows of a large cell as all its links would.
+
+        Rows linked to one that has been compared with all others need no turn
+        of their own: whatever else they are linked to has one, or is linked
+        to the same row.
+        """
+        n = len(size)
+        at = np.unique(codes, return_inverse=True)[1]
         owner = np.repeat(np.arange(n), size)
         order = np.argsort(at, kind="stable")
         held = np.split(owner[order], np.flatnonzero(np.diff(at[order])) + 1)
         left, right = [], []
         place = np.concatenate(([0], np.cumsum(size)))
+        done = np.zeros(n, bool)
         for i in range(n):
-            near = np.concatenate([held[c] for c in at[place[i] : place[i + 1]]])
-            near = near[near > i]
-            if len(near):
-                both = np.bincount(near, minlength=n)
+            if not done[i]:
+                both = np.bincount(np.concatenate([held[c] for c in at[place[i] : place[i + 1]]]), minlength=n)
                 j = np.flatnonzero(both)
-                j = j[both[j] >= similarity * (size[i] + size[j] - both[j]) - 1e-9]
+                j = j[(j != i) & (both[j] >= similarity * (size[i] + size[j] - both[j]) - 1e-9)]
+                done[j] = True
                 left.append(np.full(len(j), i))
                 right.append(j)
-        none = np.empty(0, np.int64)
-        return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+        return np.concatenate(left), np.concatenate(right)
 
     def work(rows: pa.Table) -> pa.RecordBatch:
         key = np.stack([rows.column(c).to_numpy() for c in ("bucket", "a", "b")])
@@ -382,8 +394,8 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         lists = rows.column("shingles").combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
         place = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.to_numpy()
         size = np.diff(place)
+        kinds, codes = np.unique(lists.values.to_numpy(), return_inverse=True)
         first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
         n = np.diff(np.append(first, len(item)))
         left, right = [], []
@@ -392,14 +404,12 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             if len(cells_of):
                 x, y = np.triu_indices(k, 1)
                 i, j = (cells_of[:, None] + x).ravel(), (cells_of[:, None] + y).ravel()
-                for part in range(0, len(i), 50_000):
-                    p, q = i[part : part + 50_000], j[part : part + 50_000]
-                    both = _pairs(values, place, p, q)
-                    close = both >= similarity * (size[p] + size[q] - both) - 1e-9
-                    left.append(p[close])
-                    right.append(q[close])
+                both = _pairs(codes, len(kinds), place, i, j)
+                close = both >= similarity * (size[i] + size[j] - both) - 1e-9
+                left.append(i[close])
+                right.append(j[close])
         for lo, m in zip(first[n > FEW].tolist(), n[n > FEW].tolist(), strict=True):
-            i, j = link([values[place[k] : place[k + 1]] for k in range(lo, lo + m)])
+            i, j = link(codes[place[lo] : place[lo + m]], size[lo : lo + m])
             left.append(lo + i)
             right.append(lo + j)
         i, j = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (left, right))

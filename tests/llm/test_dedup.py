@@ -199,6 +199,29 @@ def test_repeats_are_cut_and_odd_rows_have_defined_results(spark, none, odd):
     assert {r["id"] for r in got} == {5, 6} and {r["component_id"] for r in got} == {5}  # the two very long texts; no other has fifty words
 
 
+def test_cells_of_all_sizes_link_as_all_pairs_do():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows, sets = [], {}
+    for cell, n in enumerate([1, 2, 2, 3, 5, 8, 9, 30, 300]):
+        base = [rng.integers(0, 1 << 62, 40) for _ in range(1 + n // 6)]
+        for k in range(n):
+            s = base[rng.integers(0, len(base))].copy()
+            s[rng.integers(0, 40, rng.integers(0, 7))] = rng.integers(0, 1 << 62)
+            item = 1000 * cell + k
+            sets[item] = set(s.tolist())
+            rows.append((cell, 0, 0, item, sorted(sets[item])))
+    table = pa.Table.from_pylist([dict(zip(("bucket", "a", "b", "item", "shingles"), r, strict=True)) for r in rows])
+    got = [e for b in substring_dedup._verified(iter(table.to_batches(max_chunksize=37)), 0.8) for e in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+    items = [r[3] for r in rows]
+    near = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    want = [(i, j) for i in range(len(items)) for j in range(i) if items[i] // 1000 == items[j] // 1000 and near(items[i], items[j])]
+    place = {x: k for k, x in enumerate(items)}
+    roots = [simhash.forest(len(items), *(np.array([p[k] for p in pairs], np.int64) for k in (0, 1))).tolist() for pairs in (want, [(place[u], place[v]) for u, v in got])]
+    assert roots[0] == roots[1] and len(got) < len(items)
+
+
 def test_meeting_rows_of_sorted_buckets(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(400), rng.randrange(6)) for _ in range(500)] + [(7, 1)] * 30_000
