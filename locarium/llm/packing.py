@@ -32,7 +32,8 @@ class Encoder:
     Byte-level BPE first splits a text where a single space precedes a word
     and never merges across, so the ids of a text are those of its words, each
     with the space before it, one after another. Texts in which white space
-    follows a space or ends the text on one are encoded whole.
+    follows a space or ends the text on one are encoded whole, and so are those
+    that hold one of the tokenizer's added tokens, which it takes out first.
     """
 
     def __init__(self, path: str):
@@ -40,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -50,6 +51,8 @@ class Encoder:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
+        if any(x in text for x in self.special):
+            return self._encode([text])[0]
         first, *words = text.split(" ")
         known = self.known
         try:
@@ -150,7 +153,10 @@ def reduce_instance(state: Bins) -> int:
     * nothing fits beside it: {j};
     * some piece fills the bin with it, or no two fit beside it: {j, the longest that fits};
     * at most two fit beside it: {j, longest that fits} if that is as long as
-      the best pair together.
+      the best pair together;
+    * else {j, a, b}, a the longest that fits and b the longest that fits beside
+      both, if no pair that fits has both its pieces longer than b: of any pair
+      the longer is then no longer than a, the shorter no longer than b.
 
     Equal pieces are fixed together. Returns how many bins were fixed.
     """
@@ -174,6 +180,8 @@ def reduce_instance(state: Bins) -> int:
             three_fit = len(small) > 2 and sum(small) <= rest
             if a == rest or not two_fit or (not three_fit and a >= _best_pair(left, lengths, j, rest)):
                 state.fix((j, a), left[j] // 2 if a == j else min(left[j], left[a]))
+            elif not three_fit and (b := _third(left, lengths, (j, a), rest - a)) and _none_longer(left, lengths, j, b, rest):
+                state.fix((j, a, b), min(left[x] // (j, a, b).count(x) for x in (j, a, b)))
             else:
                 break
     return state.bins - begun
@@ -189,6 +197,20 @@ def _smallest(left: dict[int, int], lengths: list[int], j: int, n: int) -> list[
     return out[:n]
 
 
+def _third(left: dict[int, int], lengths: list[int], taken: tuple[int, int], rest: int) -> int:
+    """The longest piece besides ``taken`` that fits into ``rest``, or 0."""
+    for x in reversed(lengths[: bisect.bisect_right(lengths, rest)]):
+        if left[x] > taken.count(x):
+            return x
+    return 0
+
+
+def _none_longer(left: dict[int, int], lengths: list[int], j: int, b: int, rest: int) -> bool:
+    """No two pieces longer than ``b``, besides one ``j``, fit into ``rest``."""
+    longer = _smallest(left, lengths[bisect.bisect_right(lengths, b) :], j, 2)
+    return len(longer) < 2 or sum(longer) > rest
+
+
 def _best_pair(left: dict[int, int], lengths: list[int], j: int, rest: int) -> int:
     """The most that two pieces besides one ``j`` take of ``rest``."""
     have = {x: left[x] - (x == j) for x in lengths}
@@ -269,7 +291,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     state = plan_bins(counts, capacity)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     ranks = per_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = table.join(ranks, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # lengths x tasks rows, which grow with the corpus: never broadcast
+    ranked = table.join(ranks.hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     # Rules are a few per length and run of bins, whatever the number of documents.
     by_length: dict[int, list[tuple[int, ...]]] = {}
     for rule in state.rules:
