@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one is set only where there is none, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; one is set only on a single machine, as in tests."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="locarium-")
         sc.setCheckpointDir(folder)
@@ -70,6 +74,40 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bits of a filter: its broadcast has this size whatever the corpus.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the low bits of ``keys`` (one long column), ``bits`` / 64 words at most whatever their number.
+
+    A key that isn't in the bitmap isn't among ``keys``; one that is has to be
+    looked up. The fuller it is, the less it spares, and no result depends on it.
+    """
+    (key,) = keys.columns
+    words = keys.groupBy(F.expr(f"cast(shiftrightunsigned(`{key}` & {bits - 1}L, 6) as int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{key}` & 63 as int)))").alias("word")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["at"].to_numpy()] = words["word"].to_numpy()
+    return out
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ``keys`` the bitmap holds."""
+    low = keys.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
+    return ((bitmap.view(np.uint64)[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def maybe_in(keys: DataFrame, key: Column) -> Column:
+    """True where ``key`` may be among ``keys`` (one long column), false only where it isn't; null keys are not."""
+    shared = keys.sparkSession.sparkContext.broadcast(key_filter(keys))
+
+    @F.pandas_udf("boolean")
+    def held(values: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, values.to_numpy(np.int64)))
+
+    return held(F.coalesce(key, F.lit(0).cast("long")))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an edge list ``(u, v)``; component is the smallest node reachable.
 

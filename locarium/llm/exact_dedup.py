@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, fresh, maybe_in, stored
 
 #: Counters of a summary. Digests in more than 2/(COUNTERS+1) of all rows are sure to be found.
 COUNTERS = 1023
@@ -83,20 +83,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. See :func:`exact_groups`.
 
-    Rows are matched by id and digest, so that two texts under one id are
-    told apart; of rows with the same id and text, one stays.
+    Copies of frequent texts go where they lie, by the broadcast winners; rows
+    whose digest occurs once stay where they lie. A bitmap of bounded size
+    tells most of these apart from the rest, whose rows alone are shuffled,
+    grouped by digest: of each the one with the largest id stays, of rows that
+    share id and text one.
     """
+    digest, shared, best, known = fresh(docs, "digest", "shared", "best", "known")
+    of = F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)
+    table = stored(docs.select(F.col(id_col).alias("id"), of.alias("digest")))
+    heavy = frequent_digests(table, counters)
+    # A proven bound: at most `counters` rows of some 100 bytes.
+    winners = stored(table.join(F.broadcast(heavy.select("digest")), "digest", "left_semi").groupBy("digest").agg(F.max("id").alias("id")))
+    again = table.join(F.broadcast(winners.select("digest")), "digest", "left_anti").groupBy("digest").count().where("count > 1")
+    keyed = docs.withColumn(digest, of).join(F.broadcast(winners.select(F.col("digest").alias(digest), F.col("id").alias(best), F.lit(True).alias(known))), digest, "left")
+    light, of_heavy = F.col(known).isNull(), F.coalesce(F.col(known), F.lit(False)) & F.col(id_col).eqNullSafe(F.col(best))
+    marked = keyed.where(light | of_heavy).withColumn(shared, of_heavy | maybe_in(again.select(F.xxhash64("digest").alias("key")), F.xxhash64(digest)))
     names = docs.columns
-    key = ["__id", "__digest"]
-    groups = exact_groups(docs, id_col, text_col, counters)
-    stay = groups.where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    keyed = docs.withColumns({"__id": F.col(id_col), "__digest": F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256)})
-    again = stored(groups.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.lit(True).alias("__again")))
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
-    found = keyed.alias("d").join(stay.alias("s"), on, "left_semi")
-    if again.isEmpty():
-        return found.select(*names)
-    marked = found.alias("d").join(again.alias("s"), on, "left").select("d.*", "s.__again")
-    once = marked.where("__again is null").select(*names)
-    one = marked.where("__again").groupBy(*key).agg(F.first(F.struct(*names)).alias("__row")).select("__row.*")
-    return once.unionByName(one)
+    order = F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"))
+    some = marked.where(F.col(shared)).groupBy(digest).agg(F.max_by(F.struct(*names), order).alias(best)).select(f"{best}.*")
+    return marked.where(~F.col(shared)).select(*names).unionByName(some)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, dealt, stored
+from .common import connected_components, dealt, fresh, maybe_in, stored
 
 SEED = 42
 #: Rows of a bucket beyond which it is split into chunks, compared chunk by chunk.
@@ -232,14 +232,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that share that id are told apart by their text's hash, the smallest
     of which stays; a row repeated as a whole stays once for each repeat. Of a
-    group that has null ids alone, the smallest hash stays.
+    group that has null ids alone, the smallest hash stays. A bitmap of bounded
+    size keeps rows without partners where they lie; only the others are shuffled.
     """
     names = docs.columns
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    groups = simhash_groups(keyed, id_col, text_col, words, radius, keep=("__text",))
-    stay = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.first("id").alias("__id"), F.min("__text").alias("__text"))
-    found = keyed.alias("d").join(stay.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.__id")) & (F.col("d.__text") == F.col("s.__text")), "left_semi")
-    return found.select(*names)
+    text, key, shared = fresh(docs, "hash", "key", "shared")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    groups = stored(simhash_groups(docs.withColumn(text, hashed), id_col, text_col, words, radius, keep=(text,)).withColumnRenamed(text, "text"))
+    of = F.xxhash64(F.col("id"), F.col("text"))
+    several = groups.groupBy("component").count().where("count > 1").select("component")
+    stay = groups.join(several, "component", "left_semi").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.first("id").alias("id"), F.min("text").alias("text"))
+    held = groups.join(several, "component", "left_semi").select(of.alias("key")).distinct()
+    keyed = docs.withColumn(text, hashed).withColumn(key, F.xxhash64(F.col(id_col), F.col(text))).withColumn(shared, maybe_in(held, F.col(key)))
+    # A key that the bitmap holds by chance belongs to no group, and stays.
+    rows = groups.join(several, "component", "left_semi").select("id", "text").distinct()
+    gone = rows.alias("r").join(stay.alias("s"), F.col("r.id").eqNullSafe(F.col("s.id")) & (F.col("r.text") == F.col("s.text")), "left_anti").select("r.*")
+    some = keyed.where(F.col(shared)).alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.id")) & (F.col(f"d.{text}") == F.col("g.text")), "left_anti")
+    return keyed.where(~F.col(shared)).select(*names).unionByName(some.select(*names))
 
 
 def as_hex(fp: str) -> Column:

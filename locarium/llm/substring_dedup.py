@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import connected_components, dealt, fresh, stored
+from .common import connected_components, dealt, fresh, key_filter, passes, stored
 from .simhash import cells, forest
 
 SHINGLE = 5
@@ -35,8 +35,6 @@ PARAGRAPH = 30
 STRIDE = MIN_WORDS - PARAGRAPH - 1
 #: Lines of more words are cut after words whose hash is divisible by CUT.
 LONG_LINE, CUT = 512, 128
-#: Bits of the filter that thins what verification reads; its broadcast has this size whatever the corpus.
-FILTER_BITS = 1 << 26
 #: Items that a task remembers, to bring the bands of each but once.
 REMEMBERED = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -231,7 +229,7 @@ def _scan(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, paragr
     ``shingles`` are there for the items ``needed``, once a task, and, as a
     filter of bounded size picks them, for some others; the rest has null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(needed))
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = shared.value
@@ -244,10 +242,9 @@ def _scan(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, paragr
                 ints = [pa.array(x.astype(np.int32)) for x in (t.lo - t.first[own], start, end, t.hi - t.lo)]
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                low = (t.item & np.uint64(64 * len(has) - 1)).astype(np.int64)
                 values = t.shingles().view(np.int64)
                 sets: list[np.ndarray | None] = [None] * len(t.item)
-                for k in np.flatnonzero((has[low >> 6] >> (low & 63)) & 1).tolist():
+                for k in np.flatnonzero(passes(has, t.item)).tolist():
                     if (i := int(t.item[k])) not in seen:
                         seen.add(i)
                         sets[k] = np.unique(values[t.lo[k] : t.hi[k] - SHINGLE + 1])
@@ -326,14 +323,6 @@ def _meeting(banded: DataFrame) -> DataFrame:
     return banded.repartition("bucket").sortWithinPartitions("bucket", "item").mapInArrow(run, "bucket long, item long, n long")
 
 
-def _filter(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the items' low bits, ``bits`` / 64 words at most whatever their number."""
-    words = items.groupBy(F.expr(f"cast(shiftrightunsigned(item & {bits - 1}L, 6) as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(item & 63 as int)))").alias("word")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["at"].to_numpy()] = words["word"].to_numpy()
-    return out
-
-
 def _pairs(codes: np.ndarray, kinds: int, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """How many values the sets ``i`` and ``j`` share, for many pairs at once.
 
