@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import single_threaded, stored
 
 CAPACITY = 2048
-#: Distinct words whose ids a worker process remembers: some 250 MB.
-REMEMBERED = 1_200_000
+#: Distinct words whose ids a worker process remembers: some 120 MB.
+REMEMBERED = 600_000
 
 
 class Encoder:
