@@ -32,7 +32,10 @@ CLAIMS = {
     "viability_claim": r"(?i)\bviab(?:le|ility)\b",
     "revenue_claim": r"(?i)\brevenue\b",
     "land_available_claim": r"(?i)\bland\s+is\s+available\b|\bland\s+availability\s+(?:is|has\s+been)\s+confirmed\b",
+    "owner_willing_claim": r"(?i)\b(?:land)?owner(?:'s)?\s+(?:is\s+)?willing(?:ness)?\s*(?:is|has\s+been)?\s*confirmed\b|\b(?:land)?owner\s+is\s+willing\b",
+    "permit_approved_claim": r"(?i)\bpermits?\s+(?:is|are|has\s+been|have\s+been)\s+(?:approved|granted)\b",
 }
+GRID_DISCLAIMER = "Actual grid connection feasibility requires utility confirmation."
 LEAST_QUOTE = 3
 
 

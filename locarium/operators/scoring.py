@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locarium import settings as S
+from locarium.storage import stored
 
 
 def no_nan(c: Column) -> Column:
@@ -15,20 +16,39 @@ def no_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` written in ranges of ``order``; ``part`` numbers them, so that each is ordered by a task of its own."""
+    return stored(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+
+
 def mid_rank(df: DataFrame, columns: list[str], prefix: str = "pct_") -> DataFrame:
     """Add for each column the mid-rank percentile ``100 (below + equal/2) / n`` among its present values.
 
-    Null stays null. A constant column and a single row give 50. Values are
-    first counted, so that the running sum goes over distinct values; their
-    table joins back by value.
+    Null stays null. A constant column and a single row give 50. All columns
+    are ranked together: values (as doubles) are counted, dealt into ranges of
+    column and value, and summed within their range; what lies in earlier
+    ranges of a column is a table of one row per column and range.
     """
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n"))
-        below = F.coalesce(F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum("__n").over(Window.partitionBy())
-        table = counts.select("__v", (100.0 * (below + 0.5 * F.col("__n")) / total).alias(prefix + c))
-        df = df.join(table, F.col(c) == F.col("__v"), "left").drop("__v")
-    return df
+    row = _unused(df, "row_id")
+    base = stored(df.withColumn(row, F.monotonically_increasing_id()))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(n).cast("double").alias("v")) for i, n in enumerate(columns)])).alias("x")
+    long = base.select(F.col(row).alias("row"), cells).select("row", "x.c", "x.v").where("v is not null")
+    counts = in_ranges(long.groupBy("c", "v").agg(F.count("*").alias("n")), F.col("c"), F.col("v"))
+    sums = counts.groupBy("c", "part").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("c")
+    earlier = sums.select("c", "part", F.coalesce(F.sum("n").over(of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.sum("n").over(of).alias("total"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.withColumn("within", within).join(earlier, ["c", "part"])
+    pct = 100.0 * ((F.col("earlier") + F.col("within")) + 0.5 * F.col("n")) / F.col("total")
+    wide = long.join(ranks.select("c", "v", pct.alias("pct")), ["c", "v"]).groupBy("row").agg(*[F.max(F.when(F.col("c") == i, F.col("pct"))).alias(f"p{i}") for i in range(len(columns))])
+    out = base.join(wide.withColumnRenamed("row", row), row, "left")
+    return out.select(*[F.col(c) for c in df.columns], *[F.col(f"p{i}").alias(prefix + n) for i, n in enumerate(columns)])
 
 
 def feature_points(features: DataFrame, lower_is_better: tuple[str, ...] = S.LOWER_IS_BETTER) -> DataFrame:
@@ -99,8 +119,14 @@ def score(features: DataFrame, cfg: S.Settings, weights: dict[str, dict[str, flo
 
 
 def ranked(df: DataFrame, by: str = "score", key: str = "candidate_id") -> DataFrame:
-    """Add ``rank`` 1..n by ``by`` rounded to 9 digits, descending, then ``key``; one task orders the candidates."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.round(by, 9).desc(), key)).cast("long"))
+    """Add ``rank`` 1..n by ``by`` rounded to 9 digits, descending, then ``key``: numbered within ranges, after what earlier ranges hold."""
+    order = (F.round(by, 9).desc(), F.col(key).asc())
+    placed = in_ranges(df, *order)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    # one row a range
+    earlier = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return placed.withColumn("within", within).join(earlier, "part").withColumn("rank", (F.col("earlier") + F.col("within")).cast("long")).select(*df.columns, "rank")
 
 
 def check_scores(scores: DataFrame) -> list[str]:
