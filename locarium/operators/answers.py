@@ -19,6 +19,7 @@ NUMBER_WORDS = (
     "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand",
 )
 JUDGING = ("better", "worse", "best", "prefer", "preferred", "winner", "recommend", "recommended", "recommendation", "ranks above", "overall winner")
+COMPARING = ("greater", "higher", "more", "less", "lower", "smaller", "larger")
 ABSENT = (
     "unknown", "not known", "not available", "not established", "no data", "not mapped", "cannot be determined", "not determined", "not provided",
     "has not been confirmed", "is not confirmed",
@@ -54,12 +55,16 @@ def check(statements: DataFrame, records: DataFrame, sites: DataFrame | None = N
     """``statement_id, rules``: the rules that each statement breaks, sorted; an empty array if none.
 
     ``statements``: ``statement_id, kind, text, evidence_ids, quotes``;
-    ``records``: ``id, type, display, knowledge``; ``sites``: known ``site``
-    ids. Numbers must stand in a cited record's display. Null text is empty,
+    ``records``: ``id, type, display, knowledge`` and, of comparisons, where
+    there is such a column, their ``relation``; ``sites``: known ``site`` ids.
+    Numbers must stand in a cited record's display; claims are looked for
+    beside the disclaimer; who compares must cite a relation with a direction. Null text is empty,
     null arrays are empty.
     """
     none = F.array().cast("array<string>")
     s = statements.select("statement_id", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("evidence_ids", none).alias("ids"), F.coalesce("quotes", none).alias("quotes"))
+    if "relation" not in records.columns:
+        records = records.withColumn("relation", F.lit(None).cast("string"))
     cited = s.select("statement_id", F.explode(F.array_distinct("ids")).alias("id")).join(records, "id")
     known = F.coalesce(F.col("knowledge"), F.lit(False))
     numbers = signed_number_tokens(F.col("display"))
@@ -72,6 +77,7 @@ def check(statements: DataFrame, records: DataFrame, sites: DataFrame | None = N
         F.count_if(~known).alias("n_s"),
         F.bool_and(F.col("type") == "UNKNOWN").alias("all_unknown"),
         F.bool_or(F.col("type") == "CALCULATED").alias("calculated"),
+        F.bool_or(F.col("relation").isin("a_greater", "b_greater")).alias("directed"),
         F.collect_list(F.when(known, squash(F.col("display")))).alias("chunks"),
     )
     j = s.join(of, "statement_id", "left").withColumns({c: F.coalesce(c, none) for c in ("found", "shown", "shown_s", "shown_k", "chunks")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_k", "n_s")})
@@ -96,9 +102,12 @@ def check(statements: DataFrame, records: DataFrame, sites: DataFrame | None = N
         "quote_too_short": (F.col("n_k") > 0) & F.exists(quoted, lambda q: q["n"] < LEAST_QUOTE),
         "quote_not_in_cited_chunk": (F.col("n_k") > 0) & F.exists(quoted, lambda q: (q["n"] >= LEAST_QUOTE) & ~q["in"]),
         "mixed_number_not_structured": both & F.exists("said", lambda t: ~F.array_contains("shown_s", t) & F.array_contains("shown_k", t)),
+        "grid_disclaimer_missing": F.col("low").rlike(r"\bgrid\b") & ~F.contains("text", F.lit(GRID_DISCLAIMER)),
+        "comparison_relation_mismatch": _says_any(F.col("low"), COMPARING) & ~F.coalesce("directed", F.lit(False)),
         "unknown_stated_as_fact": ~unknown & F.coalesce("all_unknown", F.lit(False)),
     }
-    rules |= {name: F.col("text").rlike(p) for name, p in CLAIMS.items()}
+    beside = F.replace("text", F.lit(GRID_DISCLAIMER), F.lit(""))
+    rules |= {name: beside.rlike(p) for name, p in CLAIMS.items()}
     j = j.withColumn("named", F.array_distinct(sites_said))
     if sites is not None:
         named = j.select("statement_id", F.explode("named").alias("site")).join(sites.select("site"), "site", "left_anti").groupBy("statement_id").agg(F.lit(True).alias("stranger"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,73 +19,51 @@ def at_k(ranked: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return grid.join(counts, "k", "left").join(total, F.lit(True)).select("k", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), (F.coalesce("hits", F.lit(0)) / F.col("k")).alias("precision"), (F.coalesce("hits", F.lit(0)) / F.nullif("total", F.lit(0).cast("long"))).alias("recall"))
 
 
-#: Candidates up to which the resampling baselines run: each task holds their hits.
-MOST_CANDIDATES = 1_000_000
+def _top_k(drawn: DataFrame, by: list[Column], keys: list[str], ks: tuple[int, ...]) -> DataFrame:
+    """``keys, k, precision`` of the first ``k`` rows of each draw; Spark keeps the first of each before it shuffles."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    first = drawn.withColumn("nth", nth).where(F.col("nth") <= max(ks))
+    grid = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    return first.select(*keys, "hit", "nth", grid).where("nth <= k").groupBy(*keys, "k").agg((F.count_if("hit") / F.first("k")).alias("precision"))
 
 
-def _hits(ranked: DataFrame) -> np.ndarray:
-    if ranked.count() > MOST_CANDIDATES:
-        raise ValueError("too many candidates for resampling")
-    return np.array([bool(r["hit"]) for r in ranked.select("hit", "candidate_id").orderBy("candidate_id").collect()])
+def _interval(precision: DataFrame, *keys: str, mean: bool = False) -> DataFrame:
+    low, high = (F.round(F.percentile("precision", F.lit(p)), 9) for p in (0.025, 0.975))
+    return precision.groupBy(*keys).agg(*([F.round(F.avg("precision"), 9).alias("mean")] if mean else []), low.alias("low"), high.alias("high"))
 
 
 def random_baseline(ranked: DataFrame, ks: tuple[int, ...], seed: int = 20260924, runs: int = 1000) -> DataFrame:
     """``k, mean, low, high`` of precision over seeded random orders of the candidates; 2.5 and 97.5 percentiles.
 
-    Run i draws a permutation from ``default_rng(seed + i)``; runs are dealt to
-    tasks, which share only the hits, a bounded array.
+    Run r orders the candidates by the MD5 of seed, run and id, so that every
+    engine draws alike and no task needs more than its rows.
     """
-    spark = ranked.sparkSession
-    hits = spark.sparkContext.broadcast(_hits(ranked))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i in b["id"]:
-                order = np.random.default_rng(seed + int(i)).permutation(len(hits.value))
-                got = np.cumsum(hits.value[order])
-                rows += [(int(i), k, float(got[min(k, len(got)) - 1]) / k if len(got) else 0.0) for k in ks]
-            yield pd.DataFrame(rows, columns=["run", "k", "precision"])
-
-    drawn = spark.range(runs).mapInPandas(draw, "run long, k int, precision double")
-    return drawn.groupBy("k").agg(F.avg("precision").alias("mean"), F.percentile("precision", F.lit(0.025)).alias("low"), F.percentile("precision", F.lit(0.975)).alias("high"))
+    rows = ranked.select("candidate_id", "hit", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "run", "candidate_id").cast("binary"))
+    return _interval(_top_k(rows.withColumn("key", key), [F.col("key"), F.col("candidate_id")], ["run"], ks), "k", mean=True)
 
 
 def bootstrap(table: DataFrame, methods: tuple[str, ...], ks: tuple[int, ...], seed: int = 20260924, runs: int = 1000) -> DataFrame:
     """``method, k, low, high``: percentile intervals of precision over resamples, the same draw for every method, and of the first two methods' difference.
 
-    ``table`` has ``candidate_id, hit`` and a score per method. A draw is
-    ranked again by score, ties by id, then by place in the draw.
+    ``table`` has ``candidate_id, hit`` and a score per method. Each run draws
+    as many candidates as there are, with replacement, by the MD5 of seed, run
+    and place; a draw is ranked again by score, ties by id, then by place.
     """
-    spark = table.sparkSession
-    if table.count() > MOST_CANDIDATES:
-        raise ValueError("too many candidates for resampling")
-    data = table.select("candidate_id", "hit", *methods).orderBy("candidate_id").toPandas()
-    shared = spark.sparkContext.broadcast(data)
-    n = len(data)
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hit = shared.value["hit"].to_numpy(float)
-        for b in batches:
-            rows = []
-            for i in b["id"]:
-                # the stream is one: skip to this run's draws
-                stream = np.random.PCG64(seed)
-                rng = np.random.Generator(stream.jumped(int(i)))
-                drawn = rng.integers(0, n, n)
-                got = {}
-                for m in methods:
-                    order = np.lexsort((np.arange(n), drawn, -shared.value[m].to_numpy(float)[drawn]))
-                    got[m] = np.cumsum(hit[drawn][order])
-                for k in ks:
-                    p = {m: float(got[m][min(k, n) - 1]) / k for m in methods}
-                    if len(methods) > 1:
-                        p["difference"] = p[methods[0]] - p[methods[1]]
-                    rows += [(int(i), m, k, v) for m, v in p.items()]
-            yield pd.DataFrame(rows, columns=["run", "method", "k", "precision"])
-
-    drawn = spark.range(runs).mapInPandas(resample, "run long, method string, k int, precision double")
-    return drawn.groupBy("method", "k").agg(F.percentile("precision", F.lit(0.025)).alias("low"), F.percentile("precision", F.lit(0.975)).alias("high"))
+    numbered = stored(scoring.numbered(table.select("candidate_id", "hit", *methods), F.col("candidate_id").asc()))
+    n = numbered.count()
+    draws = numbered.select(F.col("nth").alias("place"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "run", "place").cast("binary"))
+    picked = draws.withColumn("nth", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(n) + 1).join(numbered, "nth").drop("nth")
+    each = None
+    for m in methods:
+        one = _top_k(picked.select("run", "place", "candidate_id", "hit", F.col(m).alias("by")), [F.col("by").desc_nulls_last(), F.col("candidate_id"), F.col("place")], ["run"], ks).withColumn("method", F.lit(m))
+        each = one if each is None else each.unionByName(one)
+    each = stored(each)
+    if len(methods) > 1:
+        a, b = (each.where(F.col("method") == m).select("run", "k", F.col("precision").alias(x)) for m, x in zip(methods, "ab", strict=False))
+        each = each.unionByName(a.join(b, ["run", "k"]).select("run", "k", (F.col("a") - F.col("b")).alias("precision"), F.lit("difference").alias("method")))
+    return _interval(each, "method", "k")
 
 
 def variants(step: float = 0.2) -> list[tuple[str, dict[str, dict[str, float]], dict[str, dict[str, float]]]]:

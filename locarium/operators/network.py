@@ -194,3 +194,81 @@ def nearby(sites: DataFrame, radius: float, cap: int = 10) -> DataFrame:
     return out.where(F.col("nth") <= cap).select("candidate_id", "other_id", F.round("dist", 6).alias("dist"), "nth", "total")
 
 
+
+
+def sites_by_area(points: DataFrame, key: str, areas: DataFrame, area_key: str, names: DataFrame, cell: float) -> DataFrame:
+    """``name, n``: how many points lie in areas of each name; the first name of several, 'outside' of none."""
+    from locarium.operators.spatial import polygons_of_point
+
+    held = polygons_of_point(points, areas, key, area_key, cell).join(names, area_key).groupBy(key).agg(F.min("name").alias("name"))
+    return points.select(key).join(held, key, "left").groupBy(F.coalesce("name", F.lit("outside")).alias("name")).agg(F.count("*").alias("n"))
+
+
+def radius_robustness(sites: DataFrame, weights: DataFrame, radii: list[float], selections: dict[str, DataFrame]) -> DataFrame:
+    """``method, radius, sites, demand, people_share, provinces, districts`` of each selection at each radius.
+
+    Only the coverage radius varies: the weights stay those given. One
+    coverage relation at the largest radius serves all.
+    """
+    far = pairs_within(weights.select("node_id", "x", "y"), sites.select("candidate_id", "x", "y"), max(radii)).select("candidate_id", "node_id", "dist")
+    chosen = None
+    for method, s in selections.items():
+        one = s.select(F.lit(method).alias("method"), "candidate_id")
+        chosen = one if chosen is None else chosen.unionByName(one)
+    chosen = stored(chosen)
+    grid = F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius")
+    pairs = chosen.join(far, "candidate_id").groupBy("method", "node_id").agg(F.min("dist").alias("dist")).select("method", "node_id", "dist", grid).where("dist <= radius")
+    covered = pairs.join(weights.select("node_id", "weight", "people"), "node_id").groupBy("method", "radius").agg(F.sum("weight").alias("demand"), F.sum("people").alias("people"))
+    everyone = weights.agg(F.sum("people").alias("all"))
+    about = chosen.join(sites.select("candidate_id", "province_id", "district_id"), "candidate_id").groupBy("method").agg(F.count("*").alias("sites"), F.count_distinct("province_id").alias("provinces"), F.count_distinct("district_id").alias("districts"))
+    rows = about.select("*", grid).join(covered, ["method", "radius"], "left").join(everyone, F.lit(True))
+    zero = F.lit(0.0)
+    return rows.select("method", "radius", "sites", F.round(F.coalesce("demand", zero), 9).alias("demand"), F.round(F.coalesce(F.col("people") / F.col("all"), zero), 9).alias("people_share"), "provinces", "districts")
+
+
+def sensitivity(base: dict[str, float], varied: dict[str, list[float]], solve, summary) -> DataFrame:
+    """``parameter, value, demand, people_share, provinces, overlap``: one parameter at a time off ``base``, its default left out.
+
+    ``solve(**parameters)`` gives the selection (``candidate_id``) and
+    ``summary(selection, **parameters)`` its one row of figures. So many
+    selections as there are variants, each a Spark job of its own.
+    """
+    first = stored(solve(**base).select("candidate_id"))
+    out = None
+    for name, values in varied.items():
+        for value in values:
+            if value == base[name]:
+                continue
+            params = base | {name: value}
+            chosen = stored(solve(**params).select("candidate_id"))
+            same = chosen.join(first, "candidate_id", "left_semi").agg(F.count("*").alias("overlap"))
+            row = summary(chosen, **params).select("demand", "people_share", "provinces").join(same, F.lit(True))
+            row = row.select(F.lit(name).alias("parameter"), F.lit(float(value)).alias("value"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def reconcile(here: DataFrame, stored_before: DataFrame) -> DataFrame:
+    """``method, missing, added, same``: whether selections ``(method, candidate_id)`` are those stored before."""
+    a = here.select("method", "candidate_id", F.lit(1).alias("now"))
+    b = stored_before.select("method", "candidate_id", F.lit(1).alias("then"))
+    both = a.join(b, ["method", "candidate_id"], "full").groupBy("method").agg(F.count_if(F.col("now").isNull()).alias("missing"), F.count_if(F.col("then").isNull()).alias("added"))
+    return both.withColumn("same", (F.col("missing") == 0) & (F.col("added") == 0))
+
+
+def consistency(selections: DataFrame, flags: DataFrame, n: int) -> DataFrame:
+    """``method, size, size_ok, unflagged, unlisted, consistent``: stored selections against the flags of a layer, ids both ways.
+
+    Both have ``method, candidate_id``. No row is lost: a method of one side alone is inconsistent.
+    """
+    size = selections.groupBy("method").agg(F.count("*").alias("size"))
+    both = reconcile(selections, flags).select("method", F.col("added").alias("unflagged"), F.col("missing").alias("unlisted"))
+    out = both.join(size, "method", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    ok = F.col("size") == n
+    return out.select("method", "size", ok.alias("size_ok"), "unflagged", "unlisted", (ok & (F.col("unflagged") == 0) & (F.col("unlisted") == 0)).alias("consistent"))
+
+
+def network_records(summary: DataFrame, method: str) -> DataFrame:
+    """``id, metric, value``: every figure of a selection's one-row summary as a record."""
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in summary.columns])).alias("r")
+    return summary.select(rows).select(F.concat(F.lit(f"network/{method}/"), "r.metric").alias("id"), "r.metric", "r.value")

@@ -118,15 +118,28 @@ def score(features: DataFrame, cfg: S.Settings, weights: dict[str, dict[str, flo
     return ranked(out)
 
 
-def ranked(df: DataFrame, by: str = "score", key: str = "candidate_id") -> DataFrame:
-    """Add ``rank`` 1..n by ``by`` rounded to 9 digits, descending, then ``key``: numbered within ranges, after what earlier ranges hold."""
-    order = (F.round(by, 9).desc(), F.col(key).asc())
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Add ``nth`` 1..n in a total ``order``: counted within ranges, after what earlier ranges hold."""
     placed = in_ranges(df, *order)
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     # one row a range
     earlier = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return placed.withColumn("within", within).join(earlier, "part").withColumn("rank", (F.col("earlier") + F.col("within")).cast("long")).select(*df.columns, "rank")
+    return placed.withColumn("within", within).join(earlier, "part").withColumn("nth", (F.col("earlier") + F.col("within")).cast("long")).select(*df.columns, "nth")
+
+
+def ranked(df: DataFrame, by: str = "score", key: str = "candidate_id") -> DataFrame:
+    """Add ``rank`` 1..n by ``by`` rounded to 9 digits, descending, then ``key``."""
+    return numbered(df, F.round(by, 9).desc(), F.col(key).asc()).withColumnRenamed("nth", "rank")
+
+
+def bounds(scores: DataFrame) -> DataFrame:
+    """``figure, breaches``: rows in which a score, component or percentile is missing or leaves 0..100, and repeated or lacking ranks."""
+    names = [c for c in scores.columns if c == "score" or c.startswith(("component_", "pct_"))]
+    bad = [F.count_if(F.col(c).isNull() | F.isnan(c) | ~F.col(c).between(-1e-9, 100 + 1e-9)).alias(f"b{i}") for i, c in enumerate(names)]
+    ranks = (F.greatest(F.count("*"), F.max("rank")) - F.count_distinct("rank")).cast("long").alias("ranks")
+    row = scores.agg(*bad, ranks)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(f"b{i}").alias("breaches")) for i, c in enumerate(names)], F.struct(F.lit("rank").alias("figure"), F.col("ranks").alias("breaches")))).alias("r")).select("r.*")
 
 
 def check_scores(scores: DataFrame) -> list[str]:

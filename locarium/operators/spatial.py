@@ -164,14 +164,17 @@ def _inside(ring: Column, x: Column, y: Column) -> Column:
     return F.exists(edges, on) | (F.aggregate(edges, F.lit(0), lambda n, e: n + crossed(e)) % 2 == 1)
 
 
-def polygon_of_point(points: DataFrame, polygons: DataFrame, key: str, polygon_key: str, cell: float) -> DataFrame:
-    """``key, polygon_key``: the polygon that holds a point, the smallest id of several, null if none.
-
-    ``polygons.ring`` is a closed ring; a point on its boundary is inside.
-    """
+def polygons_of_point(points: DataFrame, polygons: DataFrame, key: str, polygon_key: str, cell: float) -> DataFrame:
+    """``key, polygon_key``: every polygon that holds a point; ``polygons.ring`` is a closed ring, its boundary is inside."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     boxed = polygons.withColumn("__cx", F.explode(F.sequence(_cell(F.array_min(xs), cell), _cell(F.array_max(xs), cell)))).withColumn("__cy", F.explode(F.sequence(_cell(F.array_min(ys), cell), _cell(F.array_max(ys), cell))))
     held = _cells(points.select(key, "x", "y"), cell, False).join(boxed.select(polygon_key, "ring", "__cx", "__cy"), ["__cx", "__cy"]).where(_inside(F.col("ring"), F.col("x"), F.col("y")))
+    return held.select(key, polygon_key)
+
+
+def polygon_of_point(points: DataFrame, polygons: DataFrame, key: str, polygon_key: str, cell: float) -> DataFrame:
+    """``key, polygon_key``: the polygon that holds a point, the smallest id of several, null if none."""
+    held = polygons_of_point(points, polygons, key, polygon_key, cell)
     return points.select(key).join(held.groupBy(key).agg(F.min(polygon_key).alias(polygon_key)), key, "left")
 
 

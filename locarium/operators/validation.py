@@ -60,3 +60,26 @@ def check_points(df: DataFrame, box: tuple[float, float, float, float], key: str
     rows = df.select(key, kind.alias("problem")).where("problem is not null")
     nth = F.row_number().over(Window.partitionBy("problem").orderBy(key))
     return rows.withColumn("__nth", nth).groupBy("problem").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("__nth") <= examples, F.col(key)))).alias("examples"))
+
+
+def feature_bounds(features: DataFrame, ids: DataFrame, pairs: tuple[tuple[str, str], ...], numeric: tuple[str, ...], shares: tuple[str, ...] = (), absent: tuple[str, ...] = ()) -> DataFrame:
+    """``rule, breaches``: how many rows break each bound of a feature table.
+
+    Its ids are those of ``ids`` (both ways); figures aren't negative or
+    infinite; of each pair of radii the small one's figure isn't larger;
+    shares are at most 1; ``absent`` columns are null or 0. Null breaks nothing.
+    """
+    bad = {f"{c} negative or infinite": (F.col(c) < 0) | (F.abs(F.col(c)) == float("inf")) for c in numeric}
+    bad |= {f"{a} exceeds {b}": F.col(a) > F.col(b) for a, b in pairs}
+    bad |= {f"{c} exceeds 1": F.col(c) > 1 for c in shares}
+    bad |= {f"{c} present": F.coalesce(F.col(c), F.lit(0)) != 0 for c in absent}
+    row = features.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(f"b{i}") for i, c in enumerate(bad.values())])
+    rules = row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"b{i}").alias("breaches")) for i, name in enumerate(bad)])).alias("r")).select("r.*")
+    a, b = features.select("candidate_id"), ids.select("candidate_id")
+    differ = a.join(b, "candidate_id", "left_anti").unionByName(b.join(a, "candidate_id", "left_anti"))
+    return rules.unionByName(differ.agg(F.lit("ids differ").alias("rule"), F.count("*").alias("breaches")))
+
+
+def promoted(geometry: Column, kind: Column) -> Column:
+    """A polygon's rings as a multipolygon of one; a multipolygon stays. ``geometry`` is ``array<array<array<...>>>`` of rings, or of polygons."""
+    return F.when(kind == "Polygon", F.array(F.get(geometry, F.lit(0)))).otherwise(geometry)

@@ -339,10 +339,12 @@ def a09_score_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("profile", "confidence").agg(F.count("*").alias("n"), F.round(F.min("score"), 8).alias("lo"), F.round(F.median("score"), 8).alias("mid"), F.round(F.max("score"), 8).alias("hi"))
 
 
-@query("SELECT 'scores within bounds' AS verdict, CAST(0 AS BIGINT) AS breaches")
+_FIGURES = ["score", *[f"component_{n}" for n in S.COMPONENTS], *[f"pct_{f}" for g in S.COMPONENTS.values() for f in g]]
+
+
+@query(_SCORES.rstrip().replace("scores AS (", "scores AS MATERIALIZED (") + " " + " UNION ALL ".join(f"SELECT '{f}' AS figure, count_if({f} IS NULL OR {f} < -1e-9 OR {f} > 100 + 1e-9) AS breaches FROM scores" for f in _FIGURES) + " UNION ALL SELECT 'rank', greatest(count(*), max(rank)) - count(DISTINCT rank) FROM scores")
 def v08_score_bounds(spark: SparkSession, d: str) -> DataFrame:
-    breaches = scoring.check_scores(_scores(spark, d))
-    return spark.createDataFrame([("; ".join(breaches) or "scores within bounds", len(breaches))], "verdict string, breaches long")
+    return scoring.bounds(_scores(spark, d))
 
 
 # --- ordered selections -----------------------------------------------------------------------
@@ -499,17 +501,25 @@ def a15_precision_recall(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.at_k(_hit_table(spark, d), W.k)
 
 
-@query()
+_RUNS = "draws AS (SELECT unnest(range(1000)) AS run), grid AS (SELECT unnest([10, 20, 30])::INT AS k)"
+
+
+@query(_HITS + f", {_RUNS}, drawn AS (SELECT run, hit, row_number() OVER (PARTITION BY run ORDER BY md5('20260924:' || run || ':' || candidate_id), candidate_id) AS nth FROM hits CROSS JOIN draws), p AS (SELECT run, k, count_if(hit) / k AS precision FROM drawn JOIN grid ON nth <= k GROUP BY 1, 2) SELECT k, round(avg(precision), 9) AS mean, round(quantile_cont(precision, 0.025), 9) AS low, round(quantile_cont(precision, 0.975), 9) AS high FROM p GROUP BY 1")
 def a16_random_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded permutations of another library; rows only."""
-    return evaluation.random_baseline(_hit_table(spark, d), W.k, runs=200)
+    return evaluation.random_baseline(_hit_table(spark, d), W.k)
 
 
-@query()
+_RESAMPLED = _HITS.replace("SELECT a.candidate_id, a.rank,", "SELECT a.candidate_id, a.score, CAST(a.pop_5km AS DOUBLE) AS people,") + f""", {_RUNS}, numbered AS (SELECT *, row_number() OVER (ORDER BY candidate_id) AS nth FROM hits),
+    picked AS MATERIALIZED (SELECT run, p.nth AS place, n.candidate_id, n.hit, n.score, n.people FROM numbered p CROSS JOIN draws JOIN numbered n ON n.nth = CAST('0x' || substr(md5('20260924:' || run || ':' || p.nth), 1, 8) AS BIGINT) % (SELECT count(*) FROM hits) + 1),
+    tops AS (SELECT 'score' AS method, run, hit, row_number() OVER (PARTITION BY run ORDER BY score DESC, candidate_id, place) AS nth FROM picked UNION ALL SELECT 'people', run, hit, row_number() OVER (PARTITION BY run ORDER BY people DESC, candidate_id, place) FROM picked),
+    p AS (SELECT method, run, k, count_if(hit) / k AS precision FROM tops JOIN grid ON nth <= k GROUP BY 1, 2, 3),
+    every AS (SELECT * FROM p UNION ALL SELECT 'difference', run, k, a.precision - b.precision FROM p a JOIN p b USING (run, k) WHERE a.method = 'score' AND b.method = 'people')"""
+
+
+@query(_RESAMPLED + " SELECT method, k, round(quantile_cont(precision, 0.025), 9) AS low, round(quantile_cont(precision, 0.975), 9) AS high FROM every GROUP BY 1, 2")
 def a17_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded resamples of another library; rows only."""
     t = _hit_table(spark, d).withColumn("people", F.col("pop_5km").cast("double"))
-    return evaluation.bootstrap(t.select("candidate_id", "hit", "score", "people"), ("score", "people"), W.k, runs=200)
+    return evaluation.bootstrap(t.select("candidate_id", "hit", "score", "people"), ("score", "people"), W.k)
 
 
 def _stability_sql() -> str:

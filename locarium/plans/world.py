@@ -27,8 +27,8 @@ LAYERS: dict[str, str] = {
     "chargers": f"""SELECT s_suppkey AS charger_id, CASE WHEN s_suppkey % 7 = 0 THEN 'private' ELSE 'public' END AS access, CAST(s_suppkey % 3 AS INT) AS source_rank,
         {_xy("s_suppkey", 200003)} FROM supplier""",
     "pixels": f"""SELECT o_orderkey AS pixel_id, CAST(floor(o_totalprice / 100) AS BIGINT) AS people, {_xy("o_orderkey", 300007)} FROM orders""",
-    "power": f"""SELECT o_orderkey AS power_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'substation' WHEN '2-HIGH' THEN 'line' WHEN '3-MEDIUM' THEN 'pole' ELSE 'other' END AS power,
-        CAST(floor(o_orderkey / 10) AS BIGINT) % 25 AS district_id, {_xy("o_orderkey", 400009)} FROM orders WHERE o_orderkey % 10 = 0""",
+    "power": f"""SELECT o_orderkey AS power_id, CASE WHEN o_orderkey % 10 <> 0 THEN 'other' WHEN o_orderpriority = '1-URGENT' THEN 'substation' WHEN o_orderpriority = '2-HIGH' THEN 'line' WHEN o_orderpriority = '3-MEDIUM' THEN 'pole' ELSE 'other' END AS power,
+        CAST(floor(o_orderkey / 10) AS BIGINT) % 25 AS district_id, {_xy("o_orderkey", 400009)} FROM orders""",
     "places": f"""SELECT CAST(n_nationkey AS BIGINT) AS place_id, CASE WHEN n_nationkey = 12 THEN 'city' WHEN n_nationkey % 2 = 0 THEN 'town' ELSE 'village' END AS place, {_xy("n_nationkey", 500009)} FROM nation""",
     "districts": """SELECT CAST(n_nationkey AS BIGINT) AS district_id, n_name AS district, r_name AS province, CAST(r_regionkey AS BIGINT) AS province_id,
         CAST(n_nationkey % 5 AS DOUBLE) * 10005.0 AS x0, CAST(floor(n_nationkey / 5) AS DOUBLE) * 10005.0 AS y0, 100.1 + CAST(n_nationkey AS DOUBLE) AS area_km2
