@@ -23,9 +23,8 @@ from .common import stored
 
 #: Labelled rows that the classifier is fitted on, at most; those of least hash are taken.
 MAX_LABELLED = 20_000
-#: Word features considered, and those that enter the logistic model, at most.
-MAX_CANDIDATES = 30_000
-MAX_FEATURES = 300
+#: Square root of the likelihood-ratio statistic from which a whole word enters the lexicon, and a feature the model.
+LEXICON, TELLING = 5.0, 4.4
 THRESHOLD = 0.7
 FOLD = 1
 
@@ -64,6 +63,14 @@ def _trigrams(text: str) -> np.ndarray:
     return np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE**3)
 
 
+def _count_trigrams(text: str, total: np.ndarray, part: int = 1 << 20) -> None:
+    """Add a text's trigrams to ``total``, in parts that overlap by two characters."""
+    for i in range(0, len(text), part):
+        before, after = _codes(text[i - 2 : i]) if i else [0, 0], [0] if i + part >= len(text) else []
+        c = np.concatenate((before, _codes(text[i : i + part]), after)).astype(np.int64)
+        total += np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE**3)
+
+
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Trigram counts over all documents: a table of 28 x 28 x 28 whatever the corpus."""
 
@@ -72,7 +79,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for b in batches:
             for t in b["text"]:
                 if t:
-                    total += _trigrams(t.lower()) if len(t) < 1 << 20 else sum(_trigrams(t[i : i + (1 << 20)].lower()) for i in range(0, len(t), 1 << 20))
+                    _count_trigrams(t.lower(), total)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at, "n": total[at]})
 
@@ -235,23 +242,43 @@ def fold_of(id_col: str = "doc_id") -> Column:
 
 
 def _logistic(sets: list[np.ndarray], y: np.ndarray, n: int, ridge: float = 0.3) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; rows with the same features are one weighted row."""
+    """Ridge logistic regression by Newton steps, each solved by conjugate gradients over the features present.
+
+    Rows with the same features are one weighted row; nothing of rows x features is held.
+    """
     groups: dict[bytes, list[float]] = {}
     for s, label in zip(sets, y, strict=True):
         g = groups.setdefault(np.sort(s).astype(np.int32).tobytes(), [0.0, 0.0])
         g[0] += 1
         g[1] += label
     keys = sorted(groups)
-    x = np.zeros((len(keys), n + 1))
-    x[:, n] = 1
-    for i, k in enumerate(keys):
-        x[i, np.frombuffer(k, np.int32)] = 1
+    held = [np.frombuffer(k, np.int32) for k in keys]
+    # the last column, of every row, is the bias
+    col = np.concatenate([np.append(h, n) for h in held]).astype(np.int64)
+    row = np.repeat(np.arange(len(keys)), [len(h) + 1 for h in held])
     total, ones = (np.array([groups[k][c] for k in keys]) for c in (0, 1))
     penalty = np.append(np.full(n, ridge), 1e-6)
+    of_rows = lambda v: np.bincount(row, v[col], len(keys))
+    of_columns = lambda u: np.bincount(col, u[row], n + 1)
     w = np.zeros(n + 1)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (total * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (ones - total * p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(of_rows(w), -30, 30)))
+        curve = total * p * (1 - p) + 1e-9
+        step = np.zeros(n + 1)
+        left = of_columns(ones - total * p) - penalty * w
+        scale = 1 / (of_columns(curve) + penalty)
+        z = scale * left
+        way, size = z.copy(), float(left @ z)
+        for _ in range(300):
+            if size < 1e-14:
+                break
+            ahead = of_columns(curve * of_rows(way)) + penalty * way
+            far = size / float(way @ ahead)
+            step += far * way
+            left = left - far * ahead
+            z = scale * left
+            size, last = float(left @ z), size
+            way = z + size / last * way
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -272,7 +299,8 @@ def _signed_deviance(ones: np.ndarray, zeros: np.ndarray, toxic: int, clean: int
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Learn from at most ``max_labelled`` labelled rows outside fold 1, and from the characters of all documents.
 
-    Of several labels of one document the largest counts; null labels and ids
+    Every feature that tells enough enters the model; what there is of them
+    the sample bounds. Of several labels of one document the largest counts; null labels and ids
     are ignored. Without labels of both kinds the score is the smoothed share
     of label 1, or 0 without any.
     """
@@ -288,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sc = docs.sparkSession.sparkContext
 
     def common(decoder: Decoder | None, whole_words: bool) -> list[str]:
-        """Features of at least 4 toxic documents, the commonest MAX_CANDIDATES."""
+        """Features of at least 4 toxic documents of the sample."""
         shared = sc.broadcast(decoder)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pd.DataFrame({"feature": pd.Series(part, dtype=object), "n": [counts[x] for x in part]})
 
         f = train.where("toxic = 1").select("text").mapInPandas(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        return [r["feature"] for r in f.where("n >= 4").orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()]
+        return [r["feature"] for r in f.where("n >= 4").orderBy("feature").collect()]
 
     def found(shared, whole_words: bool, batch: pd.DataFrame) -> Iterator[tuple[int, list[int]]]:
         """Label and sorted places of the features of each row."""
@@ -312,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             words = decoder.words(t or "") if decoder else set(_WORDS.findall((t or "").lower()))
             yield label, sorted(index[f] for f in (words if whole_words else features(words)) if f in index)
 
-    def telling(candidates: list[str], decoder: Decoder | None, whole_words: bool, least: float, most: int) -> list[str]:
+    def telling(candidates: list[str], decoder: Decoder | None, whole_words: bool, least: float) -> list[str]:
         """Candidates that speak for label 1, by the likelihood-ratio statistic."""
         shared = sc.broadcast((decoder, {f: i for i, f in enumerate(candidates)}))
 
@@ -328,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for r in train.mapInPandas(run, "at long, zeros long, ones long").groupBy("at").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect():
             got[:, r["at"]] = r["zeros"], r["ones"]
         z = _signed_deviance(got[1], got[0], toxic, rows - toxic)
-        return [candidates[i] for i in sorted(np.flatnonzero(z > least).tolist(), key=lambda i: (-z[i], candidates[i]))[:most]]
+        return [candidates[i] for i in sorted(np.flatnonzero(z > least).tolist(), key=lambda i: (-z[i], candidates[i]))]
 
     def occurrences(chosen: list[str], decoder: Decoder) -> tuple[np.ndarray, list[np.ndarray]]:
         """Labels and chosen features of the sample's rows: at most max_labelled short byte strings."""
@@ -343,9 +371,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         y = np.concatenate([np.full(r["n"], r["toxic"], float) for r in got])
         return y, [np.frombuffer(bytes(r["at"]), np.int32) for r in got for _ in range(r["n"])]
 
-    lexicon = telling(common(None, True), None, True, 5.0, 200)
+    lexicon = telling(common(None, True), None, True, LEXICON)
     decoder = Decoder(character_counts(docs, text_col), lexicon)
-    chosen = telling(common(decoder, False), decoder, False, 4.4, MAX_FEATURES)
+    chosen = telling(common(decoder, False), decoder, False, TELLING)
     y, sets = occurrences(chosen, decoder)
     w = _logistic(sets, y, len(chosen))
     decoder.forget()
