@@ -68,26 +68,26 @@ def figures(text: str | None) -> tuple[int, ...]:
             lines += 1
             doubled += line in seen
             seen.add(line)
-    upper = sum(map(str.isupper, text)) if len(words) < 8 else _upper(text)
     return (
         len(words),
         len(text) - sum(map(text.count, _SPACE)),
         sum(map(text.count, _SYMBOLS)),
         doubled,
         repeat_words(words),
-        upper,
+        upper_case(text),
         text.count("!") + text.count("?"),
         lines,
     )
 
 
-def _upper(text: str) -> int:
-    """Upper-case characters: those that lower-casing changes."""
-    low = text.lower()
-    if len(low) != len(text):
-        return sum(map(str.isupper, text))
-    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, low))
-    return int((a != b).sum())
+_IS_UPPER: list[np.ndarray] = []
+
+
+def upper_case(text: str) -> int:
+    """Upper-case characters, by Unicode's property."""
+    if not _IS_UPPER:
+        _IS_UPPER.append(np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000))
+    return int(_IS_UPPER[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].sum())
 
 
 def measure(text: Column) -> Column:
