@@ -88,6 +88,54 @@ def test_toxicity_on_held_out_and_disguised_texts(spark, none, odd):
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(odd, labels.limit(0)).count() == odd.count()
 
 
+def all_readings(decoder, token):
+    """The chance of every reading of a token, by trying all choices."""
+    import itertools
+
+    ranked = {}
+    for choice in itertools.product(*decoder.lattice(token)):
+        codes, score = [0, 0], 0.0
+        for text, p in choice:
+            score += p
+            if text:
+                codes.append(ord(text) - 96 if "a" <= text <= "z" else 0 if text == " " else 27)
+                score += decoder.cost[codes[-3], codes[-2], codes[-1]]
+        score += decoder.cost[codes[-2], codes[-1], 0]
+        said = "".join(t for t, _ in choice)
+        ranked[said] = max(score, ranked.get(said, -1e9))
+    return ranked
+
+
+def test_viterbi_finds_the_likeliest_of_all_readings():
+    decoder = toxicity.Decoder(sum(toxicity._trigrams(w) for i in range(30) for w in prose(i, 100).split()) * 1.0, ["snort", "whistle"])
+    rng = np.random.default_rng(12)
+    for _ in range(150):
+        token = "".join(rng.choice(list("snort0135$!.-aab")) for _ in range(rng.integers(1, 8)))
+        readings = all_readings(decoder, token)
+        assert abs(readings[decoder.restore(token)] - max(readings.values())) < 1e-9
+    # parts of a long text overlap, so that they count as one
+    text, total = prose(5, 400) + " é ", np.zeros(28**3, np.int64)
+    toxicity._count_trigrams(text, total, part=37)
+    assert (total == toxicity._trigrams(text)).all()
+
+
+def test_sparse_logistic_against_dense_newton():
+    rng = np.random.default_rng(8)
+    x = rng.random((400, 12)) < 0.3
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ rng.normal(0, 2, 12) - 0.5)))).astype(float)
+    w = toxicity._logistic([np.flatnonzero(r) for r in x], y, 12)
+    full = np.column_stack((x, np.ones(400)))
+    gradient = full.T @ (y - 1 / (1 + np.exp(-full @ w))) - np.append(np.full(12, 0.3), 1e-6) * w
+    assert np.abs(gradient).max() < 1e-4
+
+
+def test_decoder_with_labels_meets_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(300)] + [(1, 0), (5, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    more = spark.createDataFrame([(20 + i, prose(i, 20) + (" gr0mblefitz" if (20 + i) % 2 == 0 else "")) for i in range(280)], "doc_id long, text string")
+    got = toxicity.toxicity(odd.select("doc_id", "text").unionByName(more), labels).collect()
+    assert len(got) == odd.count() + 280 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_decoder_reads_disguises_at_ends_doubled_and_spaced():
     bad = ["stupid", "idiot", "asshole", "cow"]
     text = " ".join(prose(i, 200) for i in range(20)) + " letter hello wow"
@@ -98,6 +146,35 @@ def test_decoder_reads_disguises_at_ends_doubled_and_spaced():
     assert {"hello", "letter"} <= decoder.words("(Hello) letter!") and decoder.words("2024 -- 3") == set()
 
 
+def test_matcher_against_plain_cosines():
+    """Every line, sentence and clause against every template, by plain vectors."""
+    import math
+    from collections import Counter
+
+    m = license_scan.Matcher(1000, {"the": 900, "license": 300, "mit": 40})
+    weigh = lambda c: {t: n * m.idf.get(t, m.unknown) for t, n in c.items()}
+    cosine = lambda a, b: sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    templates = [(name, weigh(license_scan.terms(t))) for name, lines in license_scan.TEMPLATES.items() for t in lines]
+    rng = np.random.default_rng(2)
+    every = [t for lines in license_scan.TEMPLATES.values() for t in lines]
+    for k in range(400):
+        words = every[rng.integers(len(every))].lower().split()
+        for _ in range(rng.integers(0, 6)):
+            words.insert(rng.integers(len(words) + 1), prose(k, 1))
+        run = license_scan._TERM.findall(" ".join(w for w in words if rng.random() < 0.9))
+        best = max(((cosine(weigh(Counter(run)), v), -i) for i, (_, v) in enumerate(templates)), default=(0, 0)) if run else (0, 0)
+        got = m.match(run)
+        if best[0] >= license_scan.COSINE + 1e-9:
+            assert abs(got[1] - best[0]) < 1e-9
+        elif best[0] < license_scan.COSINE - 1e-9:
+            assert got is None
+
+
+def test_upper_case_is_counted_in_one_way():
+    for few, many in (("\U0001d400" * 21, "\U0001d400" * 21 + " a b c d e f g h"), ("\u0130stanbul ABC", "\u0130stanbul ABC a b c d e f g h i j")):
+        assert quality.upper_case(few) == quality.upper_case(many) == sum(map(str.isupper, few))
+
+
 def test_licences_of_common_notices_and_of_sentences(spark):
     notice = "Released under the MIT License."
     inside = f"{prose(7, 12)}. {notice} {prose(8, 20)}."
