@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import single_threaded, stored
 
 CAPACITY = 2048
-#: Distinct words whose ids a worker process remembers: some 120 MB.
-REMEMBERED = 600_000
+#: Distinct words whose ids a worker process remembers: some 150 MB.
+REMEMBERED = 750_000
 
 
 class Encoder:
@@ -41,12 +41,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # tokens are written in letters that stand for one byte each
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words that each follow a space: they are encoded together, and told apart by their tokens' bytes."""
+        ids = self._encode([" " + " ".join(words)])[0]
+        ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words])
+        at = np.cumsum(self.bytes_of[np.frombuffer(ids, np.uint32)])
+        cuts = [0, *((np.searchsorted(at, ends) + 1) * 4).tolist()]
+        self.known.update(zip(words, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
@@ -64,7 +76,7 @@ class Encoder:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = list(dict.fromkeys(words))
-            known.update(zip(new, self._encode([" " + x for x in new]), strict=True))
+            self._learn(new)
             tail = b"".join([known[x] for x in words])
         return self._encode([first])[0] + tail if first else tail
 

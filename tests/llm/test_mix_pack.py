@@ -156,6 +156,17 @@ def test_pack_against_whole_encoding(spark, odd, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_words_learned_together_are_those_learned_alone():
+    e = packing.Encoder(tokenizer_path())
+    words = ["don't", "naïve", "x\ny", "tab\tz", "日本語", "end.", "\U0001f600smile", "a" * 300, "1234567", "it's\n", "é", "--", "\u00a0x"]
+    for size in (1, 3, len(words)):
+        for at in range(0, len(words), size):
+            e._learn(words[at : at + size])
+    assert all(e.known[w] == e._encode([" " + w])[0] for w in words)
+    text = "start " + " ".join(words)
+    assert e.ids(text) == e._encode([text])[0]
+
+
 @pytest.mark.parametrize("text", ["", "word", "two words", "a b c", "tab\tx y"])
 def test_encoder_by_words(text):
     e = packing.encoder(tokenizer_path())
