@@ -204,7 +204,7 @@ def linked(fps: DataFrame, radius: int = 4, rows: int | None = None) -> DataFram
     masks = _block_masks(fps.count() if rows is None else rows, radius)
     bucket = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("item").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long"))) for k, m in enumerate(masks)]))
     table = cells(fps.select(bucket.alias("bucket"), "item"))
-    return dealt(table, "bucket", "a", "b").mapInPandas(lambda it: _links(it, radius), "u long, v long")
+    return dealt(table, "bucket", "a", "b", then=("item",)).mapInPandas(lambda it: _links(it, radius), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:

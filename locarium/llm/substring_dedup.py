@@ -454,7 +454,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = stored(meeting.select("bucket", "item").join(different, "bucket", "left_semi"))
     found = stored(_scan(docs, compared.select("item").distinct(), id_col, text_col, paragraph, min_words))
     sets = found.where("shingles is not null").select("item", "shingles").groupBy("item").agg(F.first("shingles").alias("shingles"))
-    links = dealt(cells(compared).join(sets, "item"), "bucket", "a", "b").mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
+    links = dealt(cells(compared).join(sets, "item"), "bucket", "a", "b", then=("item",)).mapInArrow(lambda it: _verified(it, similarity), "u long, v long")
     components = connected_components(links).withColumnRenamed("node", "item")
     repeated = components.join(again, "item", "full").select("item", F.coalesce("component", "item").alias("component"))
     places = stored(_apart(found.drop("shingles").join(repeated, "item").drop("item"), paragraph))

@@ -3,10 +3,12 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import xxhash
 from conftest import prose
 
 from locarium.llm import exact_dedup, simhash, substring_dedup
+from locarium.llm.common import connected_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -53,6 +55,19 @@ def test_fingerprints(odd):
             assert simhash.fingerprint(r["text"]) == plain_fingerprint(r["text"])
 
 
+def test_components_of_edges_that_differ_by_evaluation(spark):
+    def stars(batches):
+        for b in batches:
+            for _, ids in b.groupby("g")["id"]:
+                ids = ids.sample(frac=1)  # another tree of the same group each time
+                yield pd.DataFrame({"u": ids.iloc[1:].to_numpy(), "v": ids.iloc[:-1].to_numpy()})
+
+    groups = spark.range(600).selectExpr("id", "id % 20 as g").repartition(6, "g")
+    for _ in range(3):
+        got = connected_components(groups.mapInPandas(stars, "u long, v long")).collect()
+        assert sorted((r["node"], r["component"]) for r in got) == [(i, i % 20) for i in range(600)]
+
+
 def brute(fps, radius):
     ids = np.array(fps, np.uint64)
     label = list(range(len(ids)))
