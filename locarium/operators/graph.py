@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     aggregates with partial combination; the driver sees only whether a table
     is empty. Null ends and self-loops are ignored; an edge may repeat.
     """
-    e = edges.where("u <> v").select("u", "v")
-    e = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # Both directions of one evaluation: edges that depend on the order of rows differ from one evaluation to the next.
+    both = F.inline(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    e = stored(edges.where("u <> v").select(both).distinct())
     whole = None
     while not e.isEmpty():
         p = stored(e.groupBy("u").agg(F.least("u", F.min("v")).alias("root")).withColumnRenamed("u", "node"))
