@@ -355,26 +355,34 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
     def link(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links that connect the rows of a large cell as all its links would.
 
-        Rows linked to one that has been compared with all others need no turn
-        of their own: whatever else they are linked to has one, or is linked
-        to the same row.
+        Rows linked to one that has been compared with all others get no turn
+        at first. What is missed then are links between two such rows of
+        different components, of which one at least isn't in the largest
+        component: those rows get their turn afterwards.
         """
         n = len(size)
         at = np.unique(codes, return_inverse=True)[1]
         owner = np.repeat(np.arange(n), size)
         order = np.argsort(at, kind="stable")
         held = np.split(owner[order], np.flatnonzero(np.diff(at[order])) + 1)
-        left, right = [], []
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         place = np.concatenate(([0], np.cumsum(size)))
         done = np.zeros(n, bool)
+
+        def turn(i: int) -> None:
+            both = np.bincount(np.concatenate([held[c] for c in at[place[i] : place[i + 1]]]), minlength=n)
+            j = np.flatnonzero(both)
+            j = j[(j != i) & (both[j] >= similarity * (size[i] + size[j] - both[j]) - 1e-9)]
+            done[j] = True
+            left.append(np.full(len(j), i))
+            right.append(j)
+
         for i in range(n):
             if not done[i]:
-                both = np.bincount(np.concatenate([held[c] for c in at[place[i] : place[i + 1]]]), minlength=n)
-                j = np.flatnonzero(both)
-                j = j[(j != i) & (both[j] >= similarity * (size[i] + size[j] - both[j]) - 1e-9)]
-                done[j] = True
-                left.append(np.full(len(j), i))
-                right.append(j)
+                turn(i)
+        root = forest(n, np.concatenate(left), np.concatenate(right))
+        for i in np.flatnonzero(done & (root != np.bincount(root).argmax())).tolist():
+            turn(i)
         return np.concatenate(left), np.concatenate(right)
 
     def work(rows: pa.Table) -> pa.RecordBatch:

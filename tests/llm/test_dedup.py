@@ -237,6 +237,17 @@ def test_cells_of_all_sizes_link_as_all_pairs_do():
     assert roots[0] == roots[1] and len(got) < len(items)
 
 
+def test_chains_in_large_cells_stay_whole():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for _ in range(20):
+        starts = rng.sample(range(40), 40)  # each set is similar to its two neighbours in the chain only
+        rows = [{"bucket": 0, "a": 0, "b": 0, "item": k, "shingles": list(range(2 * s, 2 * s + 20))} for k, s in enumerate(starts)]
+        (got,) = substring_dedup._verified(iter(pa.Table.from_pylist(rows).to_batches()), 0.8)
+        assert len(set(simhash.forest(40, got["u"].to_numpy(), got["v"].to_numpy()).tolist())) == 1
+
+
 def test_meeting_rows_of_sorted_buckets(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(400), rng.randrange(6)) for _ in range(500)] + [(7, 1)] * 30_000
