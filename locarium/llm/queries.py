@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, license_scan, mixing, packing, quality, secret_scan, simhash, substring_dedup, toxicity
+from . import curve_packing, exact_dedup, filter_audit, html_extract, importance, license_scan, mixing, packing, quality, secret_scan, simhash, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +75,19 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.importance(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.pack_along_curve(_read(spark, sf_dir, "documents"), tokenizer_path()).drop("row").withColumnsRenamed({"id": "doc_id", "key": "curve_key"})
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_html_extract": op10_html_extract,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_curve_packing": op12_curve_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: The others read tokens, XXH64, a trained model, binomial bounds or markup; tests hold them against brute force.
@@ -104,4 +120,33 @@ ORACLE_SQL: dict[str, str] = {
         placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY CAST('0x' || substr(digest, 1, 8) AS BIGINT) % 4096, digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized)
         SELECT doc_id, size, source_size, target, CAST(whole * size + least(size, greatest(0, greatest(CAST(floor(target + 0.5) AS BIGINT) - whole * source_size, 0) - before)) AS BIGINT) AS taken
         FROM placed JOIN parts ON placed.source IS NOT DISTINCT FROM parts.source""",
+    # CRC-32 a byte at a time, by the table that eight steps of the polynomial give.
+    "op11_importance_resampling": r"""WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+        texts AS (SELECT 0 AS aim, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+        split AS (SELECT aim, doc_id, row_number() OVER () AS nr, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+        features AS (SELECT aim, nr, unnest(words) AS word FROM split),
+        counts AS (SELECT word, count(*) FILTER (aim = 0) AS s, count(*) FILTER (aim = 1) AS t FROM features GROUP BY 1),
+        codes AS (SELECT *, list_transform(range(1, 2 * octet_length(encode(word)), 2), lambda i: CAST('0x' || substr(hex(encode(word)), i, 2) AS BIGINT)) AS codes FROM counts),
+        hashed AS (SELECT word, s, t, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), codes), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 10000 AS bucket FROM codes, tab),
+        sums AS (SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM hashed GROUP BY 1),
+        gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM sums),
+        weights AS (SELECT nr, CAST(sum(gain) AS BIGINT) AS weight FROM features JOIN hashed USING (word) JOIN gains USING (bucket) WHERE aim = 0 GROUP BY 1),
+        scored AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM split LEFT JOIN weights USING (nr) WHERE aim = 0),
+        fit AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM fit UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20""",
+    # Failures as bits: a state is what the bits before a step leave.
+    "op13_filter_audit": r"""WITH words AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        marked AS (SELECT d.doc_id, part, coalesce(q, false) AS good, coalesce(t, false) AS toxic, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B, 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) AS C,
+            regexp_matches(text, '[#$%&*|]') AS D, coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false) AS E
+            FROM words d LEFT JOIN (SELECT doc_id, max(quality) = 1 AS q, max(toxic) = 1 AS t FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id),
+        masks AS (SELECT part, good, toxic, A::INT + 2 * B::INT + 4 * C::INT + 8 * D::INT + 16 * E::INT AS mask, count(*) AS n FROM marked GROUP BY ALL),
+        letters AS (SELECT i, chr(CAST(65 + i AS INT)) AS f FROM range(5) t(i)),
+        perms AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        steps AS (SELECT filter_order, CAST(s AS INT) AS step, 1 << (ascii(filter_order[s]) - 65) AS bit, coalesce((SELECT sum(1 << i) FROM letters WHERE instr(filter_order[1:s - 1], f) > 0), 0)::INT AS before FROM perms, range(1, 6) t(s)),
+        counted AS (SELECT part, filter_order, step, bit, CAST(sum(n) FILTER (mask & (before | bit) = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS BIGINT) AS removed, CAST(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS BIGINT) AS redundant,
+            CAST(sum(n) FILTER (mask = bit) AS BIGINT) AS unique_fails, CAST(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0 AND good) AS BIGINT) AS good_lost, CAST(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0 AND toxic) AS BIGINT) AS toxic_lost FROM masks, steps GROUP BY ALL)
+        SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+            CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM counted""",
 }
