@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locarium.operators import spatial
+from locarium.operators import arrangement, spatial
 from locarium.operators.graph import connected_components
 from locarium.settings import Settings
 from locarium.storage import stored
@@ -52,13 +52,17 @@ def poi_counts(candidates: DataFrame, pois: DataFrame, radii: tuple[float, float
     return out.select("candidate_id", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names])
 
 
-def completeness(power: DataFrame, districts: DataFrame) -> DataFrame:
+def completeness(power: DataFrame, districts: DataFrame, cell: float) -> DataFrame:
     """``district_id, features, density, grid_completeness_ratio``: mapped power features per area over the national median.
 
-    Districts without any count as 0 in the median. A median of 0 is an error.
+    ``power`` has segments (``power_id, x1, y1, x2, y2``; a point's ends are
+    one), ``districts`` rings. A feature counts once in every district that any
+    part of it meets, outline included. Districts without any count as 0 in the
+    median. A median of 0 is an error.
     """
-    counted = power.where(F.col("power").isin("substation", "line", "pole")).groupBy("district_id").agg(F.count("*").alias("features"))
-    table = stored(districts.select("district_id", "area_km2").join(counted, "district_id", "left").withColumn("features", F.coalesce("features", F.lit(0).cast("long"))).withColumn("density", F.col("features") / F.col("area_km2")))
+    counted = power.where(F.col("power").isin("substation", "line", "pole"))
+    met = arrangement.areas_of_segments(counted, "power_id", districts, "district_id", cell).groupBy("district_id").agg(F.count("*").alias("features"))
+    table = stored(districts.select("district_id", "area_km2").join(met, "district_id", "left").withColumn("features", F.coalesce("features", F.lit(0).cast("long"))).withColumn("density", F.col("features") / F.col("area_km2")))
     middle = table.agg(F.median("density")).first()[0]
     if not middle:
         raise ValueError("the median density of power features is 0; no ratio can be taken")
@@ -90,5 +94,5 @@ def build(layers: dict[str, DataFrame], cfg: Settings, backtest: bool = False) -
     roads = layers["roads"]
     road = spatial.nearest_segment(cand, roads, key, "road_id", 3 * cfg.start_m, keep=("road_class",)).select(key, F.col("dist").alias("dist_road_m"), "road_class")
     trunk = spatial.nearest_segment(cand, roads.where("road_class = 'trunk'"), key, "road_id", 3 * cfg.start_m).select(key, F.col("dist").alias("dist_trunk_m"))
-    ratio = completeness(power, layers["districts"]).select("district_id", "grid_completeness_ratio")
+    ratio = completeness(power, layers["districts"], 8 * cfg.start_m).select("district_id", "grid_completeness_ratio")
     return out.join(road, key).join(trunk, key).join(ratio, "district_id", "left")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locarium.operators import answers, areas, briefs, hosts, network, retrieval, validation
+from locarium.operators import answers, areas, arrangement, briefs, features, hosts, network, retrieval, spatial, validation
 from locarium.plans import site_queries as sites
 from locarium.plans import world
-from locarium.settings import COMPONENTS, PROFILES
+from locarium.settings import COMPONENTS, PROFILES, UNKNOWNS
 from locarium.settings import WORLD as W
 from locarium.storage import stored
 
@@ -86,20 +86,43 @@ def p04_points_inside(spark: SparkSession, d: str) -> DataFrame:
     return _triangles(world.layer(spark, d, "districts")).select("district_id", p["x"].alias("x"), p["y"].alias("y"))
 
 
-_CHAINS = f"""WITH {world.sql('roads')}, used AS (SELECT * FROM roads WHERE road_class IN ('trunk', 'primary')),
-    pairs AS (SELECT a.road_id AS chain, a.x1 AS ax, a.y1 AS ay, a.x2 AS bx, a.y2 AS by_, b.x2 AS cx, b.y2 AS cy FROM used a JOIN used b ON b.road_id = a.road_id + 1 AND a.road_class = 'trunk'),
-    turned AS (SELECT chain, CASE WHEN (ax, ay) < (cx, cy) THEN [ax, ay, bx, by_, cx, cy] ELSE [cx, cy, bx, by_, ax, ay] END AS p FROM pairs),
-    sized AS (SELECT chain, p, sqrt(pow(p[3] - p[1], 2) + pow(p[4] - p[2], 2)) AS l1, sqrt(pow(p[5] - p[3], 2) + pow(p[6] - p[4], 2)) AS l2 FROM turned),
-    placed AS (SELECT *, unnest(generate_series(1, CAST(floor((l1 + l2) / 1500 + 0.5) AS BIGINT))) AS nth FROM sized)
-    SELECT chain, nth, round(CASE WHEN (nth - 0.5) * 1500 <= l1 THEN p[1] + (p[3] - p[1]) * (nth - 0.5) * 1500 / l1 ELSE p[3] + (p[5] - p[3]) * ((nth - 0.5) * 1500 - l1) / l2 END, 6) AS x,
-        round(CASE WHEN (nth - 0.5) * 1500 <= l1 THEN p[2] + (p[4] - p[2]) * (nth - 0.5) * 1500 / l1 ELSE p[4] + (p[6] - p[4]) * ((nth - 0.5) * 1500 - l1) / l2 END, 6) AS y FROM placed"""
+_BORDER = "(-1, 0.0, 0.0, 50025.0, 0.0), (-2, 50025.0, 0.0, 50025.0, 50025.0), (-3, 0.0, 50025.0, 50025.0, 50025.0), (-4, 0.0, 0.0, 0.0, 50025.0)"
+
+
+def _off(p: str, s: str) -> str:
+    """Distance of the point ``p`` (two columns) from the segment ``s``."""
+    x, y = p.split()
+    t = f"greatest(0, least(1, (({x} - {s}.x1) * ({s}.x2 - {s}.x1) + ({y} - {s}.y1) * ({s}.y2 - {s}.y1)) / (pow({s}.x2 - {s}.x1, 2) + pow({s}.y2 - {s}.y1, 2))))"
+    return f"sqrt(pow({x} - {s}.x1 - {t} * ({s}.x2 - {s}.x1), 2) + pow({y} - {s}.y1 - {t} * ({s}.y2 - {s}.y1), 2))"
+
+
+_BOXES = "least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)"
+_DET = "((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1))"
+_CHAINS = f"""WITH RECURSIVE {world.sql("streets")}, segs AS (SELECT street_id AS id, x1, y1, x2, y2 FROM streets WHERE road_class <> 'residential' AND (x1 <> x2 OR y1 <> y2) UNION ALL SELECT * FROM (VALUES {_BORDER})),
+    touched AS (SELECT a.id, unnest([struct_pack(x := b.x1, y := b.y1, d := {_off("b.x1 b.y1", "a")}), struct_pack(x := b.x2, y := b.y2, d := {_off("b.x2 b.y2", "a")})]) AS p FROM segs a JOIN segs b ON a.id <> b.id AND {_BOXES}),
+    crossed AS (SELECT a.id AS i, b.id AS j, a.x1, a.y1, a.x2, a.y2, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / {_DET} AS t, ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / {_DET} AS u FROM segs a JOIN segs b ON a.id < b.id AND {_BOXES} AND {_DET} <> 0
+        WHERE least({_off("b.x1 b.y1", "a")}, {_off("b.x2 b.y2", "a")}, {_off("a.x1 a.y1", "b")}, {_off("a.x2 a.y2", "b")}) > 2e-6),
+    met AS (SELECT unnest([i, j]) AS id, round((x1 + t * (x2 - x1)) / 1e-6) * 1e-6 AS x, round((y1 + t * (y2 - y1)) / 1e-6) * 1e-6 AS y FROM crossed WHERE t > 0 AND t < 1 AND u > 0 AND u < 1),
+    cuts AS (SELECT id, p.x AS x, p.y AS y FROM touched WHERE p.d <= 2e-6 UNION SELECT id, x, y FROM met UNION SELECT id, x1, y1 FROM segs UNION SELECT id, x2, y2 FROM segs),
+    pieces AS (SELECT id, struct_pack(x := x, y := y) AS p, lead(struct_pack(x := x, y := y)) OVER (PARTITION BY id ORDER BY (x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) AS q FROM cuts JOIN segs USING (id)),
+    used AS (SELECT DISTINCT least(p, q) AS a, greatest(p, q) AS b FROM pieces WHERE id > 0 AND q IS NOT NULL AND p.x + q.x BETWEEN 0 AND 100050 AND p.y + q.y BETWEEN 0 AND 100050),
+    half AS (SELECT a AS n, b AS m FROM used UNION ALL SELECT b, a FROM used), degree AS (SELECT n, count(*) AS k FROM half GROUP BY 1),
+    walk AS (SELECT [h.n, h.m] AS p FROM half h JOIN degree d ON d.n = h.n AND d.k <> 2 UNION ALL SELECT list_append(w.p, h.m) FROM walk w JOIN degree d ON d.n = w.p[-1] AND d.k = 2 JOIN half h ON h.n = w.p[-1] AND h.m <> w.p[-2]),
+    chains AS (SELECT w.p, row_number() OVER (ORDER BY w.p) AS c FROM walk w JOIN degree d ON d.n = w.p[-1] AND d.k <> 2 WHERE w.p[1] < w.p[-1] OR (w.p[1] = w.p[-1] AND w.p[2] < w.p[-2])),
+    steps AS (SELECT c, i, p[i] AS a, p[i + 1] AS b, sqrt(pow(p[i + 1].x - p[i].x, 2) + pow(p[i + 1].y - p[i].y, 2)) AS size FROM chains, unnest(range(1, len(p))) r(i)),
+    placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY c) AS length FROM steps),
+    marks AS (SELECT c, unnest(generate_series(1, CAST(floor(length / 400 + 0.5) AS BIGINT))) AS nth FROM (SELECT c, max(length) AS length FROM placed GROUP BY 1))
+    SELECT round(chains.p[1].x, 3) AS from_x, round(chains.p[1].y, 3) AS from_y, round(chains.p[-1].x, 3) AS to_x, round(chains.p[-1].y, 3) AS to_y, nth, round(a.x + (b.x - a.x) * ((nth - 0.5) * 400 - before) / size, 3) AS x, round(a.y + (b.y - a.y) * ((nth - 0.5) * 400 - before) / size, 3) AS y
+    FROM marks JOIN placed ON placed.c = marks.c AND (nth - 0.5) * 400 > before AND (nth - 0.5) * 400 <= before + size JOIN chains ON chains.c = marks.c"""
 
 
 @query(_CHAINS)
 def g01_corridor_points(spark: SparkSession, d: str) -> DataFrame:
-    """Trunk and primary roads come two by two in the world, each pair joined at a place."""
-    out = hosts.corridor_points(world.layer(spark, d, "roads"), "road_id", ("trunk", "primary"), 1500)
-    return out.select("chain", "nth", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Streets that cross, touch and run along each other, within the outline of all districts; points every 400 m."""
+    streets, districts = (world.layer(spark, d, n) for n in ("streets", "districts"))
+    out = hosts.corridor_points(streets, ("trunk", "primary"), 400, 2000, sites._rings(districts), "district_id")
+    at = lambda c, name: F.round(c, 3).alias(name)
+    return out.select(at("from.x", "from_x"), at("from.y", "from_y"), at("to.x", "to_x"), at("to.y", "to_y"), "nth", at("x", "x"), at("y", "y"))
 
 
 # --- areas ----------------------------------------------------------------------------------------
@@ -122,14 +145,99 @@ def j10_overlap(spark: SparkSession, d: str) -> DataFrame:
     single AS (SELECT province_id FROM edges GROUP BY province_id, a, b, c, d HAVING count(*) % 2 = 1)
     SELECT province_id, province, count(*) AS n, CAST(sum(10005.0 * 10005.0) AS DOUBLE) AS area, (SELECT CAST(10005.0 * count(*) AS DOUBLE) FROM single s WHERE s.province_id = corners.province_id) AS boundary, (SELECT count(*) FROM single s WHERE s.province_id = corners.province_id) AS edges FROM corners GROUP BY 1, 2""")
 def a13_dissolve(spark: SparkSession, d: str) -> DataFrame:
-    return areas.dissolve(sites._rings(world.layer(spark, d, "districts")), "province_id", "province")
+    return areas.dissolve(sites._rings(world.layer(spark, d, "districts")), "district_id", "province_id", "province", cell=10005)
+
+
+def _els(plots: DataFrame) -> DataFrame:
+    """Plots as Ls: a box of w x h without what lies beyond a and b."""
+    at = lambda *v: F.struct(*[(F.col(c) + (F.col(o) if o else F.lit(0.0))).alias(c) for c, o in zip("xy", v, strict=True)])
+    return plots.withColumn("ring", F.array(at("", ""), at("w", ""), at("w", "b"), at("a", "b"), at("a", "h"), at("", "h"), at("", "")))
+
+
+_BARS = "bars AS (SELECT plot_id, zone, x, y, x + w AS u, y + b AS v FROM plots UNION ALL SELECT plot_id, zone, x, y + b, x + a, y + h FROM plots)"
+
 
+@query(f"WITH {world.sql('plots')}, {_BARS} SELECT a.plot_id, b.plot_id AS other_id, sum(greatest(0, least(a.u, b.u) - greatest(a.x, b.x)) * greatest(0, least(a.v, b.v) - greatest(a.y, b.y))) AS shared FROM bars a JOIN bars b ON a.plot_id < b.plot_id AND a.u > b.x AND b.u > a.x AND a.v > b.y AND b.v > a.y GROUP BY 1, 2")
+def j10_plot_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Concave plots whose outlines cross and run along each other."""
+    plots = _els(world.layer(spark, d, "plots"))
+    shared = arrangement.overlap_areas(plots, "plot_id", plots.withColumnRenamed("plot_id", "other_id"), "other_id", 1000)
+    return shared.where("plot_id < other_id").withColumn("shared", F.round("shared", 3))
 
-@query()
+
+@query(
+    f"WITH {world.sql('plots')}, {_BARS}, tiles AS (SELECT DISTINCT zone, i, j FROM bars, unnest(generate_series(CAST(x / 100 AS BIGINT), CAST(u / 100 AS BIGINT) - 1)) a(i), unnest(generate_series(CAST(y / 100 AS BIGINT), CAST(v / 100 AS BIGINT) - 1)) b(j)), "
+    "sides AS (SELECT zone, i, j, k FROM tiles, unnest([[1, 0], [-1, 0], [0, 1], [0, -1]]) s(k)), open AS (SELECT zone, count(*) AS n FROM sides s WHERE NOT EXISTS (SELECT 1 FROM tiles t WHERE t.zone = s.zone AND t.i = s.i + s.k[1] AND t.j = s.j + s.k[2]) GROUP BY 1) "
+    "SELECT zone, (SELECT count(*) FROM plots p WHERE p.zone = t.zone) AS n, count(*) * 10000.0::DOUBLE AS area, any_value(open.n) * 100.0::DOUBLE AS boundary FROM tiles t JOIN open USING (zone) GROUP BY 1"
+)
+def a13_zone_union(spark: SparkSession, d: str) -> DataFrame:
+    """Plots of a zone overlap, and share parts of their edges."""
+    out = areas.dissolve(_els(world.layer(spark, d, "plots")), "plot_id", "zone", cell=1000)
+    return out.select("zone", "n", F.round("area", 2).alias("area"), F.round("boundary", 2).alias("boundary"))
+
+
+_ANGLE = "atan2({a}x * {b}y - {a}y * {b}x, {a}x * {b}x + {a}y * {b}y)"
+_HELD = f"""corners AS (SELECT unnest([0.0, 50025.0, 50025.0, 0.0])::DOUBLE AS px, unnest([0.0, 0.0, 50025.0, 50025.0])::DOUBLE AS py, unnest([50025.0, 50025.0, 0.0, 0.0])::DOUBLE AS qx, unnest([0.0, 50025.0, 50025.0, 0.0])::DOUBLE AS qy),
+    sides AS (SELECT candidate_id, px - x AS px, py - y AS py, qx - x AS qx, qy - y AS qy, qx - px AS dx, qy - py AS dy FROM candidates, corners),
+    solved AS (SELECT *, dx * dx + dy * dy AS a, px * dx + py * dy AS b, px * px + py * py - 9e6 AS c FROM sides),
+    spans AS (SELECT *, b * b - a * c > 0 AS meets, greatest(0, (-b - sqrt(greatest(0, b * b - a * c))) / a) AS t, least(1, (-b + sqrt(greatest(0, b * b - a * c))) / a) AS u FROM solved),
+    ends AS (SELECT *, px + t * dx AS ex, py + t * dy AS ey, px + u * dx AS lx, py + u * dy AS ly FROM spans),
+    held AS (SELECT candidate_id, sum(CASE WHEN meets AND t < u THEN (ex * ly - ey * lx) / 2 + 4.5e6 * (CASE WHEN t > 0 THEN {_ANGLE.format(a="p", b="e")} ELSE 0 END + CASE WHEN u < 1 THEN {_ANGLE.format(a="l", b="q")} ELSE 0 END) ELSE 4.5e6 * {_ANGLE.format(a="p", b="q")} END) AS held FROM ends GROUP BY 1)"""
+
+
+@query(f"WITH {world.sql('candidates')}, {_HELD} SELECT candidate_id, round(greatest(0, 1 - held / (pi() * 9e6)), 6) AS share FROM held")
 def a04_outside_share(spark: SparkSession, d: str) -> DataFrame:
-    """Circles about the candidates against all districts; a test holds it against a fine grid of points."""
+    """Circles about the candidates against all districts, whose outline is one square."""
     cand, districts = (world.layer(spark, d, n) for n in ("candidates", "districts"))
-    return areas.outside_share(cand, "candidate_id", sites._rings(districts), 3000).withColumn("share", F.round("share", 6))
+    return areas.outside_share(cand, "candidate_id", sites._rings(districts), "district_id", 3000).withColumn("share", F.round("share", 6))
+
+
+def _planted(plots: DataFrame) -> DataFrame:
+    """Boxes, one in two of them broken: bow-ties, spikes, holes outside, holes in holes, rings left open."""
+    at = lambda x, y: F.struct((F.col("x") + x * F.col("w")).alias("x"), (F.col("y") + y * F.col("h")).alias("y"))
+    ring = lambda *p: F.array(*[at(*map(F.lit, q)) for q in (*p, p[0])])
+    k = F.col("plot_id") % 10
+    box = ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))
+    hole = lambda a, b: ring((a, a), (a, b), (b, b), (b, a))
+    shell = F.when(k == 0, ring(box[0], box[2], box[1], box[3])).when(k == 1, ring(*box[:3], (2.0, 1.0), box[2], box[3])).when(k == 2, F.slice(ring(*box), 1, 4)).otherwise(ring(*box))
+    holes = F.when(k == 3, F.array(hole(2.0, 3.0))).when(k == 4, F.array(hole(0.125, 0.875), hole(0.25, 0.5))).when(k == 5, F.array(hole(0.25, 0.75)))
+    rings = F.concat(F.array(shell), F.coalesce(holes, F.array().cast("array<array<struct<x:double,y:double>>>")))
+    return plots.select("plot_id", F.lit(0).alias("part"), F.posexplode(rings).alias("nr", "ring"))
+
+
+_FAULTS = "faults AS (SELECT plot_id, unnest(CASE plot_id % 10 WHEN 0 THEN ['crossing'] WHEN 1 THEN ['overlap', 'self touch'] WHEN 2 THEN ['not closed'] WHEN 3 THEN ['hole outside'] WHEN 4 THEN ['hole in hole'] END) AS problem FROM plots UNION ALL SELECT plot_id, 'not within the box' FROM plots WHERE x < 1000 OR y < 1000 OR x + w * CASE plot_id % 10 WHEN 1 THEN 2 WHEN 3 THEN 3 ELSE 1 END > 49000 OR y + h * CASE plot_id % 10 WHEN 3 THEN 3 ELSE 1 END > 49000)"
+
+
+@query(f"WITH {world.sql('plots')}, {_FAULTS} SELECT problem, count(*) AS n, array_to_string(list_sort(list(plot_id))[1:5], ' ') AS examples FROM faults GROUP BY 1")
+def v02_area_checks(spark: SparkSession, d: str) -> DataFrame:
+    out = arrangement.check_areas(_planted(world.layer(spark, d, "plots")), "plot_id", 1000, (1000, 1000, 49000, 49000))
+    return out.withColumn("examples", F.array_join("examples", " "))
+
+
+@query(f"WITH {world.sql('plots')} SELECT plot_id, plot_id % 10 < 5 AS repaired, CAST(CASE plot_id % 10 WHEN 0 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 1 END AS INT) AS parts, w * h * CASE plot_id % 10 WHEN 0 THEN 0.5 WHEN 3 THEN 2 WHEN 4 THEN 1 - 0.5625 + 0.0625 WHEN 5 THEN 0.75 ELSE 1 END AS area FROM plots")
+def v04_repaired_areas(spark: SparkSession, d: str) -> DataFrame:
+    out = arrangement.repaired(_planted(world.layer(spark, d, "plots")), "plot_id", 1000)
+    shell = lambda p: areas.area(p[0])
+    size = F.aggregate(F.transform("polygons", lambda p: shell(p) - F.aggregate(F.slice(p, F.lit(2), F.size(p)), F.lit(0.0), lambda s, r: s + areas.area(r))), F.lit(0.0), lambda s, v: s + v)
+    return out.select("plot_id", "repaired", F.size("polygons").alias("parts"), F.round(size, 2).alias("area"))
+
+
+@query(f"WITH {world.sql('districts')} SELECT district_id, CAST(1 AS INT) AS parts, true AS labelled, true AS simple, true AS joined FROM districts")
+def s23_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Districts with wavy borders: drawn outlines are valid, each has its label inside, and together they leave no gap."""
+    wave = lambda v: 400 * F.sin(v / 700.0)
+    side = [(0, i) for i in range(20)] + [(i, 20) for i in range(20)] + [(20, 20 - i) for i in range(20)] + [(20 - i, 0) for i in range(21)]
+    x, y = (lambda i, c: F.col(c) + i * 500.25 for _ in "xy")
+    corner = lambda i, j: F.struct((x(i, "x0") + wave(y(j, "y0"))).alias("x"), (y(j, "y0") + wave(x(i, "x0"))).alias("y"))
+    districts = stored(world.layer(spark, d, "districts").select("district_id", F.array(*[corner(i, j) for i, j in side]).alias("ring")))
+    drawn = stored(areas.outlines(districts, "district_id", 150, 5000))
+    rings = stored(drawn.select("district_id", F.posexplode("polygons").alias("part", "p")).select("district_id", "part", F.posexplode("p").alias("nr", "ring")))
+    bad = arrangement.ring_problems(rings, "district_id", 5000).select("district_id").distinct().withColumn("bad", F.lit(True))
+    whole = arrangement.union_edges(rings, "district_id", cell=5000).agg(F.expr(arrangement._AREA).alias("together"))
+    own = rings.agg(F.sum(areas.area(F.col("ring"))).alias("apart"))
+    inside = spatial.polygons_of_point(drawn.select("district_id", "label.x", "label.y"), rings.withColumnRenamed("district_id", "of"), "district_id", "of", 5000).where("of = district_id").select("district_id").withColumn("labelled", F.lit(True))
+    out = drawn.join(bad, "district_id", "left").join(inside, "district_id", "left").join(F.broadcast(whole.join(own, F.lit(True))), F.lit(True))
+    return out.select("district_id", F.size("polygons").alias("parts"), F.coalesce("labelled", F.lit(False)).alias("labelled"), F.col("bad").isNull().alias("simple"), (F.abs(F.col("together") - F.col("apart")) < 1).alias("joined"))
 
 
 @query(f"WITH {world.sql('chargers', 'districts')} SELECT coalesce(name, 'outside') AS name, count(*) AS n FROM (SELECT charger_id, min(province) AS name FROM chargers c LEFT JOIN districts d ON c.x BETWEEN d.x0 AND d.x0 + 10005 AND c.y BETWEEN d.y0 AND d.y0 + 10005 WHERE access <> 'private' GROUP BY 1) GROUP BY 1")
@@ -179,37 +287,69 @@ def w07_component_order(spark: SparkSession, d: str) -> DataFrame:
     return sites._scores(spark, d).select("candidate_id", at(1).alias("first"), at(2).alias("second"), at(5).alias("last"))
 
 
-def _with_areas(spark: SparkSession, d: str) -> DataFrame:
-    names = world.layer(spark, d, "districts").select("district_id", "district")
-    return sites._scores(spark, d).join(names, "district_id", "left").withColumn("outside_share", F.when(F.col("candidate_id") % 5 == 0, 0.25).otherwise(0.0))
-
-
-_FACTS = "missing, coalesce(grid_completeness_ratio < 0.5, false) AS sparse, candidate_id % 5 = 0 AS outside, coalesce(dist_charger_m <= 3000, false) AS charger"
-
-
-@query(
-    sites._SCORES.rstrip() + f", facts AS (SELECT s.*, d.district, {_FACTS} FROM scores s JOIN districts d USING (district_id)) "
-    + "SELECT candidate_id, CAST(missing AS INT) + CAST(sparse AS INT) + CAST(outside AS INT) + 1 AS risks, 5 + CAST(missing AS INT) AS unknowns, 3 + CAST(missing AS INT) + CAST(sparse AS INT) + CAST(charger AS INT) + CAST(outside AS INT) AS actions, "
-    + "'Check permit requirements with the ' || district || ' authorities.' AS third, CASE WHEN outside THEN 'Estimate demand across the border.' WHEN charger THEN 'Visit the known charging site ' || CASE WHEN dist_charger_m < 1000 THEN printf('%.0f m', dist_charger_m) ELSE printf('%.1f km', dist_charger_m / 1000) END || ' away.' WHEN sparse THEN 'Verify grid infrastructure on the ground.' WHEN missing THEN 'Request the utility''s network map: nothing is mapped within 1.5 km.' ELSE 'Check permit requirements with the ' || district || ' authorities.' END AS last_action, CASE WHEN outside THEN '25% of its largest circle lies outside the country, where population is not counted.' ELSE '' END AS border_note FROM facts"
-)
+def _network(spark: SparkSession, d: str):
+    """Scored sites with their district, share outside and marginal demand; the network (the best-ranked eligible sites) and all briefs' figures."""
+    s, weights, cover, _ = sites._problem(spark, d)
+    chosen = stored(s.orderBy("rank").limit(W.sites))
+    top = stored(sites._scores(spark, d).orderBy("rank").limit(W.sites))
+    cand, districts = (world.layer(spark, d, n) for n in ("candidates", "districts"))
+    outside = areas.outside_share(cand, "candidate_id", sites._rings(districts), "district_id", max(W.population_m))
+    marginal = network.marginal_coverage(cover, weights, chosen).where("selected").select("candidate_id", "marginal")
+    all_sites = sites._scores(spark, d).join(districts.select("district_id", "district"), "district_id", "left").join(outside.withColumnRenamed("share", "outside_share"), "candidate_id").join(marginal, "candidate_id", "left")
+    share = lambda of: network.radius_robustness(of, weights, [W.service_m], {"one": of}).first()["people_share"]
+    known = features.production_chargers(world.layer(spark, d, "chargers")).count()
+    provinces = districts.select("district_id", "province_id")
+    return all_sites, chosen, {"candidates": cand.count(), "known_sites": known, "network_share": share(chosen), "top_share": share(top.join(provinces, "district_id"))}
+
+
+_M = lambda c: f"CASE WHEN {c} < 1000 THEN printf('%.0f m', {c}) ELSE printf('%.1f km', {c} / 1000) END"
+_NAME = "CASE {n} " + " ".join(f"WHEN '{c}' THEN '{n.lower()}'" for c, n in briefs.NAMES.items()) + " END"
+_VALUE = "printf('%.1f', CASE {n} " + " ".join(f"WHEN '{c}' THEN component_{c}" for c in briefs.NAMES) + " END)"
+_PART = lambda i: "(" + _NAME.format(n=f"o[{i}]") + " || ' ' || " + _VALUE.format(n=f"o[{i}]") + ")"
+_HOSTS = "CASE host_type " + " ".join(f"WHEN '{k}' THEN '{v.lower()}'" for k, v in hosts.HOST_LABELS.items()) + " END"
+_BRIEFS = sites._TOP.rstrip() + f""", best AS (SELECT * FROM scores ORDER BY rank LIMIT 30), reached AS (SELECT (SELECT sum(people) FROM weights b WHERE EXISTS (SELECT 1 FROM selected a WHERE {sites._D} <= 3000)) / (SELECT sum(people) FROM weights) AS ours, (SELECT sum(people) FROM weights b WHERE EXISTS (SELECT 1 FROM best a WHERE {sites._D} <= 3000)) / (SELECT sum(people) FROM weights) AS best),
+    times AS (SELECT node_id, count(*) AS times FROM cover WHERE candidate_id IN (SELECT candidate_id FROM selected) GROUP BY 1),
+    lost AS (SELECT candidate_id, sum(CASE WHEN times = 1 THEN weight ELSE 0 END) AS marginal FROM cover JOIN times USING (node_id) JOIN weights USING (node_id) WHERE candidate_id IN (SELECT candidate_id FROM selected) GROUP BY 1),
+    {_HELD.replace("9e6", "4e6").replace("4.5e6", "2e6")},
+    told AS (SELECT s.*, d.district, l.marginal, CASE WHEN 1 - h.held / (pi() * 4e6) < 1e-9 THEN 0 ELSE 1 - h.held / (pi() * 4e6) END AS outside, coalesce(grid_completeness_ratio < 0.5, false) AS sparse, coalesce(dist_charger_m <= 3000, false) AS charger, {_STRENGTH} AS o
+        FROM scores s JOIN districts d USING (district_id) JOIN held h USING (candidate_id) LEFT JOIN lost l USING (candidate_id)),
+    lines AS (SELECT candidate_id,
+        concat_ws(' | ', 'Network: one of 30 sites chosen', CASE WHEN marginal IS NOT NULL THEN 'Demand lost without it: ' || printf('%.1f', marginal * 100) || '%' END, 'Score ' || printf('%.1f', score) || ', rank ' || rank || ' of ' || format('{{:,d}}', (SELECT count(*) FROM candidates)) || ', ' || profile || ' profile',
+            'Highest parts: ' || {_PART(1)} || ', ' || {_PART(2)}, 'Population within 3 km: network ' || printf('%.1f', ours * 100) || '%, same number by rank ' || printf('%.1f', best * 100) || '%') AS opportunity,
+        CASE WHEN outside > 0 THEN 'Not counted: ' || printf('%.0f', outside * 100) || '% of the 2 km circle, beyond the border' ELSE '' END AS border,
+        concat_ws(' | ', CASE WHEN missing THEN 'Grid: nothing within 1.5 km, part set to 0' END, CASE WHEN sparse THEN 'Map of ' || district || ': ' || printf('%.2f', grid_completeness_ratio) || ' of the median density' END, CASE WHEN outside > 0 THEN 'Circle of 2 km: ' || printf('%.0f', outside * 100) || '% without demand figures' END,
+            'Gap figures rest on ' || (SELECT count(*) FROM chargers WHERE access <> 'private') || ' chargers', 'Lowest part: ' || {_PART(5)}) AS risks,
+        concat_ws(' | ', {", ".join(f"'{u}'" for u in UNKNOWNS)}, CASE WHEN missing THEN 'Grid within 1.5 km' END) AS unknowns,
+        concat_ws(' | ', 'Utility: capacities and cost', 'Owner (' || {_HOSTS} || '): land, consent', district || ': permits', CASE WHEN missing THEN 'Utility: network plan within 1.5 km' END, CASE WHEN sparse THEN 'Field check: lines and substations' END, CASE WHEN charger THEN 'Field check: charger at ' || {_M("dist_charger_m")} END,
+            CASE WHEN outside > 0 THEN 'Demand beyond the border: own estimate' END) AS actions FROM told, reached) """
+
+
+def _joined(df: DataFrame, *names: str) -> DataFrame:
+    return df.select("candidate_id", *[F.array_join(F.transform(n, lambda x: x["text"]), " | ").alias(n) for n in names])
+
+
+@query(_BRIEFS + "SELECT * FROM lines")
 def e06_brief_sections(spark: SparkSession, d: str) -> DataFrame:
-    s = briefs.sections(_with_areas(spark, d), W)
-    return s.select("candidate_id", F.size("risks").alias("risks"), F.size("unknowns").alias("unknowns"), F.size("actions").alias("actions"), F.element_at("actions", 3).alias("third"), F.element_at("actions", -1).alias("last_action"), "border_note")
+    """All lines of all sites' sections, as they are shown."""
+    s, _, figures = _network(spark, d)
+    return _joined(briefs.sections(s, W, figures), *briefs.SECTIONS)
 
 
-@query(sites._TOP + ", facts AS (SELECT *, missing AS m, coalesce(grid_completeness_ratio < 0.5, false) AS s, candidate_id % 5 = 0 AS o, coalesce(dist_charger_m <= 3000, false) AS c FROM scores) SELECT candidate_id, CAST(28 AS INT) AS records, CASE WHEN candidate_id IN (SELECT candidate_id FROM selected) THEN 3 + CAST(m AS INT) + CAST(s AS INT) + CAST(c AS INT) + CAST(o AS INT) ELSE 0 END AS actions FROM facts")
+@query(_BRIEFS + "SELECT candidate_id, n.records, n.digest, CASE WHEN candidate_id IN (SELECT candidate_id FROM selected) THEN actions ELSE '' END AS actions FROM lines JOIN (SELECT candidate_id, CAST(count(*) AS INT) AS records, md5(string_agg(id || '=' || display, ';' ORDER BY id)) AS digest FROM (" + sites._RECORDS_SQL + ") GROUP BY 1) n USING (candidate_id)")
 def q02_get_sites(spark: SparkSession, d: str) -> DataFrame:
-    chosen = sites._problem(spark, d)[0].orderBy("rank").limit(30)
-    out = briefs.get_sites(_with_areas(spark, d), chosen, W)
-    return out.select("candidate_id", F.size("records").alias("records"), F.size("actions").alias("actions"))
+    """Every record of a site by id and display, as one digest, and the actions of the network's sites."""
+    s, chosen, figures = _network(spark, d)
+    out = briefs.get_sites(s, chosen, W, figures)
+    shown = F.md5(F.array_join(F.transform("records", lambda r: F.concat(r["id"], F.lit("="), r["display"])), ";").cast("binary"))
+    return out.select("candidate_id", F.size("records").alias("records"), shown.alias("digest"), F.array_join(F.transform("actions", lambda x: x["text"]), " | ").alias("actions"))
 
 
-@query(sites._TOP + ", one AS (SELECT s.* FROM scores s JOIN selected USING (candidate_id) ORDER BY s.rank LIMIT 1) SELECT candidate_id, 'It ranks ' || rank || ' by score (' || printf('%.1f', score) || ', ' || profile || ' profile)' AS opens, 5 + CAST(missing AS INT) AS unknowns FROM one")
+@query(_BRIEFS + "SELECT * FROM lines WHERE candidate_id = (SELECT candidate_id FROM selected ORDER BY rank LIMIT 1)")
 def q06_generate_brief(spark: SparkSession, d: str) -> DataFrame:
-    chosen = stored(sites._problem(spark, d)[0].orderBy("rank").limit(30))
+    """The whole brief of the network's best-ranked site."""
+    s, chosen, figures = _network(spark, d)
     best = briefs.first_match(chosen)["candidate_id",].first()[0]
-    b = briefs.brief(_with_areas(spark, d), chosen, best, W)
-    return b.select("candidate_id", F.regexp_extract("opportunity", r"^(It ranks .* profile\))", 1).alias("opens"), F.size("unknowns").alias("unknowns"))
+    return _joined(briefs.brief(s, chosen, best, W, figures), *briefs.SECTIONS)
 
 
 @query(sites._SCORES + "SELECT candidate_id, rank FROM scores WHERE profile = 'corridor' AND confidence = 'Low' ORDER BY rank LIMIT 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locarium import settings as S
 from locarium.functions.text import stable_id
+from locarium.functions import display
 from locarium.operators import evaluation, evidence, features, network, ordered, scoring, spatial
 from locarium.plans import world
 from locarium.settings import WORLD as W
@@ -163,14 +164,19 @@ def a03_zonal_sum(spark: SparkSession, d: str) -> DataFrame:
     return spatial.sum_within(cand, px, "candidate_id", "people", dict(zip(("pop_1km", "pop_5km", "pop_10km"), W.population_m, strict=True)))
 
 
-_RATIO = """density AS (SELECT d.district_id, d.area_km2, count(p.power_id) AS features FROM districts d LEFT JOIN power p ON p.district_id = d.district_id AND p.power IN ('substation', 'line', 'pole') GROUP BY 1, 2),
+# A segment meets a box if it comes no later in than out, over both axes.
+_RATIO = """met AS (SELECT d.district_id, p.power_id FROM districts d JOIN (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM power WHERE power IN ('substation', 'line', 'pole')) p
+        ON greatest(x1, x2) >= x0 AND least(x1, x2) <= x0 + 10005 AND greatest(y1, y2) >= y0 AND least(y1, y2) <= y0 + 10005
+        AND greatest(0, CASE WHEN dx <> 0 THEN least((x0 - x1) / dx, (x0 + 10005 - x1) / dx) ELSE 0 END, CASE WHEN dy <> 0 THEN least((y0 - y1) / dy, (y0 + 10005 - y1) / dy) ELSE 0 END)
+         <= least(1, CASE WHEN dx <> 0 THEN greatest((x0 - x1) / dx, (x0 + 10005 - x1) / dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((y0 - y1) / dy, (y0 + 10005 - y1) / dy) ELSE 1 END)),
+    density AS (SELECT d.district_id, d.area_km2, count(m.power_id) AS features FROM districts d LEFT JOIN met m ON m.district_id = d.district_id GROUP BY 1, 2),
     ratio AS (SELECT district_id, features, (features / area_km2) / (SELECT median(features / area_km2) FROM density) AS grid_completeness_ratio FROM density)"""
 
 
 @query(_with("districts", "power", more=_RATIO) + "SELECT district_id, features, round(grid_completeness_ratio, 9) AS ratio FROM ratio")
 def a05_completeness(spark: SparkSession, d: str) -> DataFrame:
     power, districts = _layers(spark, d, "power", "districts")
-    return features.completeness(power, districts).select("district_id", "features", F.round("grid_completeness_ratio", 9).alias("ratio"))
+    return features.completeness(power, _rings(districts), 5000).select("district_id", "features", F.round("grid_completeness_ratio", 9).alias("ratio"))
 
 
 _NODES = "nodes AS (SELECT CAST(floor(x / 2500) AS BIGINT) * 1000000 + CAST(floor(y / 2500) AS BIGINT) AS node_id, CAST(sum(people) AS BIGINT) AS people, (floor(x / 2500) + 0.5) * 2500 AS x, (floor(y / 2500) + 0.5) * 2500 AS y FROM pixels WHERE people > 0 GROUP BY 1, 3, 4)"
@@ -204,7 +210,9 @@ def a08_category_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all_layers(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {n: world.layer(spark, d, n) for n in ("candidates", "pixels", "pois", "chargers", "power", "places", "districts", "roads")}
+    out = {n: world.layer(spark, d, n) for n in ("candidates", "pixels", "pois", "chargers", "power", "places", "districts", "roads")}
+    out["districts"] = _rings(out["districts"])
+    return out
 
 
 _BUILT: dict[tuple[str, str, str, bool], DataFrame] = {}
@@ -550,11 +558,18 @@ def v09_data_quality(spark: SparkSession, d: str) -> DataFrame:
 
 # --- evidence -----------------------------------------------------------------------------------
 
+_SHOWN = {
+    display.one_decimal: "printf('%.1f', CAST({n} AS DOUBLE))", display.ratio: "printf('%.2f', {n})", display.people: "format('{{:,d}}', CAST({n} AS BIGINT))",
+    display.distance: "CASE WHEN {n} IS NULL THEN 'none mapped' WHEN {n} < 1000 THEN printf('%.0f m', {n}) ELSE printf('%.1f km', {n} / 1000) END",
+}
+_RECORDS_SQL = " UNION ALL ".join(
+    [f"SELECT candidate_id, 'site/' || candidate_id || '/{n}' AS id, {_SHOWN[shown].format(n=n)} AS display FROM scores" for n, (_, shown) in evidence.NUMERIC.items()]
+    + [f"SELECT candidate_id, 'site/' || candidate_id || '/{n}', coalesce({n if n != 'grid_evidence_status' else "CASE WHEN missing THEN 'UNKNOWN' ELSE 'CALCULATED' END"}, 'unknown') FROM scores" for n in evidence.CATEGORICAL]
+)
+
 
 @query(_SCORES + "SELECT candidate_id, CASE WHEN dist_charger_m IS NULL THEN 'none mapped' WHEN dist_charger_m < 1000 THEN printf('%.0f m', dist_charger_m) ELSE printf('%.1f km', dist_charger_m / 1000) END AS distance, printf('%.1f', score) AS score, format('{:,d}', pop_10km) AS people, printf('%.2f', grid_completeness_ratio) AS ratio, printf('%.0f', component_access / 100 * 100) || '%' AS share FROM scores")
 def e02_displays(spark: SparkSession, d: str) -> DataFrame:
-    from locarium.functions import display
-
     s = _scores(spark, d)
     return s.select("candidate_id", display.distance(F.col("dist_charger_m")).alias("distance"), display.one_decimal(F.col("score")).alias("score"), display.people(F.col("pop_10km")).alias("people"), display.ratio(F.col("grid_completeness_ratio")).alias("ratio"), display.percent(F.col("component_access") / 100).alias("share"))
 
@@ -570,12 +585,12 @@ def e03_site_records(spark: SparkSession, d: str) -> DataFrame:
     + ", ".join(f"struct_pack(metric := '{n}', relation := CASE WHEN a.{n} = b.{n} THEN 'equal' WHEN a.{n} > b.{n} THEN 'a_greater' WHEN a.{n} < b.{n} THEN 'b_greater' END)" for n in ("rank", "poi_3km", "pop_10km", "host_bonus", "chargers_25km"))
     + ", "
     + ", ".join(f"struct_pack(metric := '{n}', relation := CASE WHEN a.{n} = b.{n} THEN 'same' WHEN a.{n} <> b.{n} THEN 'different' END)" for n in ("host_type", "profile", "confidence", "road_class"))
-    + "], recursive := true)) AS v WHERE a.rank <= 50"
+    + "], recursive := true)) AS v"
 )
 def q03_compare_sites(spark: SparkSession, d: str) -> DataFrame:
     s = _scores(spark, d)
     a, b = (s.select(F.col("candidate_id").alias(n), (F.col("rank") - k).alias("at")) for n, k in (("a", 0), ("b", 1)))
-    pairs = a.where("at <= 50").join(b, "at").select("a", "b")
+    pairs = a.join(b, "at").select("a", "b")
     out = evidence.compare_sites(evidence.site_records(s), pairs)
     return out.where(F.col("metric").isin("rank", "poi_3km", "pop_10km", "host_bonus", "chargers_25km", "host_type", "profile", "confidence", "road_class")).select("a", "b", "metric", "relation")
 

@@ -6,6 +6,8 @@ integer arithmetic in metres on a square of some 50 km.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,8 +29,8 @@ LAYERS: dict[str, str] = {
     "chargers": f"""SELECT s_suppkey AS charger_id, CASE WHEN s_suppkey % 7 = 0 THEN 'private' ELSE 'public' END AS access, CAST(s_suppkey % 3 AS INT) AS source_rank,
         {_xy("s_suppkey", 200003)} FROM supplier""",
     "pixels": f"""SELECT o_orderkey AS pixel_id, CAST(floor(o_totalprice / 100) AS BIGINT) AS people, {_xy("o_orderkey", 300007)} FROM orders""",
-    "power": f"""SELECT o_orderkey AS power_id, CASE WHEN o_orderkey % 10 <> 0 THEN 'other' WHEN o_orderpriority = '1-URGENT' THEN 'substation' WHEN o_orderpriority = '2-HIGH' THEN 'line' WHEN o_orderpriority = '3-MEDIUM' THEN 'pole' ELSE 'other' END AS power,
-        CAST(floor(o_orderkey / 10) AS BIGINT) % 25 AS district_id, {_xy("o_orderkey", 400009)} FROM orders""",
+    "power": f"""SELECT power_id, power, x, y, x AS x1, y AS y1, CASE power WHEN 'line' THEN x + power_id * 37 % 6001 - 3000 ELSE x END AS x2, CASE power WHEN 'line' THEN y + power_id * 53 % 6007 - 3000 ELSE y END AS y2
+        FROM (SELECT o_orderkey AS power_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'substation' WHEN '2-HIGH' THEN 'line' WHEN '3-MEDIUM' THEN 'pole' ELSE 'other' END AS power, {_xy("o_orderkey", 400009)} FROM orders)""",
     "places": f"""SELECT CAST(n_nationkey AS BIGINT) AS place_id, CASE WHEN n_nationkey = 12 THEN 'city' WHEN n_nationkey % 2 = 0 THEN 'town' ELSE 'village' END AS place, {_xy("n_nationkey", 500009)} FROM nation""",
     "districts": """SELECT CAST(n_nationkey AS BIGINT) AS district_id, n_name AS district, r_name AS province, CAST(r_regionkey AS BIGINT) AS province_id,
         CAST(n_nationkey % 5 AS DOUBLE) * 10005.0 AS x0, CAST(floor(n_nationkey / 5) AS DOUBLE) * 10005.0 AS y0, 100.1 + CAST(n_nationkey AS DOUBLE) AS area_km2
@@ -36,11 +38,18 @@ LAYERS: dict[str, str] = {
     "roads": f"""SELECT a.place_id AS road_id, CASE a.place_id % 3 WHEN 0 THEN 'trunk' WHEN 1 THEN 'primary' ELSE 'residential' END AS road_class, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
         FROM (SELECT CAST(n_nationkey AS BIGINT) AS place_id, {_xy("n_nationkey", 500009)} FROM nation) a
         JOIN (SELECT CAST(n_nationkey AS BIGINT) - 1 AS place_id, {_xy("n_nationkey", 500009)} FROM nation) b ON a.place_id = b.place_id""",
+    "streets": f"""SELECT street_id, CASE street_id % 5 WHEN 0 THEN 'residential' WHEN 1 THEN 'trunk' WHEN 2 THEN 'trunk' ELSE 'primary' END AS road_class,
+        CASE street_id % 3 WHEN 0 THEN 100 * floor(x / 100) WHEN 1 THEN 500 * floor(x / 500) ELSE x END AS x1, CASE street_id % 3 WHEN 0 THEN 500 * floor(y / 500) WHEN 1 THEN 100 * floor(y / 100) ELSE y END AS y1,
+        CASE street_id % 3 WHEN 0 THEN 100 * floor(x / 100) + 100 * (5 + street_id % 20) WHEN 1 THEN 500 * floor(x / 500) ELSE x + street_id * 37 % 4001 - 2000 END AS x2,
+        CASE street_id % 3 WHEN 0 THEN 500 * floor(y / 500) WHEN 1 THEN 100 * floor(y / 100) + 100 * (5 + street_id % 20) ELSE y + street_id * 53 % 4003 - 2000 END AS y2
+        FROM (SELECT CAST(c_custkey AS BIGINT) AS street_id, {_xy("c_custkey", 600011)} FROM customer)""",
+    "plots": f"""SELECT plot_id, plot_id % 5 AS zone, 100.0 * floor(x / 100) AS x, 100.0 * floor(y / 100) AS y, 100.0 * (3 + plot_id % 5) AS w, 100.0 * (3 + plot_id % 4) AS h, 100.0 * (1 + plot_id % 2) AS a, 100.0 * (1 + floor(plot_id / 2) % 2) AS b
+        FROM (SELECT CAST(p_partkey AS BIGINT) AS plot_id, {_xy("p_partkey", 700001)} FROM part)""",
     "chunks": """SELECT doc_id AS chunk_id, lang AS doc_type, source AS topic, text FROM documents WHERE text IS NOT NULL AND text <> ''""",
     "queries": """SELECT item_id AS query_id, text FROM benchmark""",
 }
 #: Tables each layer reads.
-TABLES = {"candidates": ("part",), "pois": ("customer",), "chargers": ("supplier",), "pixels": ("orders",), "power": ("orders",), "places": ("nation",), "districts": ("nation", "region"), "roads": ("nation",), "chunks": ("documents",), "queries": ("benchmark",)}
+TABLES = {"candidates": ("part",), "pois": ("customer",), "chargers": ("supplier",), "pixels": ("orders",), "power": ("orders",), "places": ("nation",), "districts": ("nation", "region"), "roads": ("nation",), "streets": ("customer",), "plots": ("part",), "chunks": ("documents",), "queries": ("benchmark",)}
 
 
 def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +57,7 @@ def layer(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = LAYERS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]}
     for t in tables:
-        text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
+        text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text, **tables)
 
 
