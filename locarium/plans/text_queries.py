@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locarium.functions import text as T
-from locarium.operators import answers, evidence, retrieval
+from locarium.operators import answers, evidence, markdown, retrieval
 from locarium.plans import world
 from locarium.storage import stored
 
@@ -101,11 +101,54 @@ def a19_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.retrieval_metrics(retrieval.rank(index, queries), gold)
 
 
-@query()
+def _manual(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown: a title, a decision with a list, a table and a fence, and the text without marks of its own."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null and doc_id is not null")
+    k = F.col("doc_id")
+    mark = lambda v, n: F.lpad((v % (10**n)).cast("string"), n, "0")
+    parts = [
+        F.lit("# Document "), k.cast("string"), F.lit("\n\nIn "), F.coalesce("lang", F.lit("none")), F.lit(".\n\n## D-"), mark(k, 3), F.lit(": kept\n- **Date:** Milestone "), (k % 7).cast("string"),
+        F.lit("\n* one\n\n  still one\n\nnone\n| a | b |\n| - | - |\n\n```\n# no heading\n\n```\n## Text of D-"), mark(k * 3, 3), F.lit("\n### Whole\n"), F.translate(F.replace(F.replace("text", F.lit("\r"), F.lit("\n")), F.lit("\n"), F.when(k % 4 == 0, "\n").otherwise("\n\n")), "#|`~", ""),
+    ]
+    return docs.select("doc_id", F.concat(F.lit("doc"), k.cast("string")).alias("slug"), F.coalesce("source", F.lit("none")).alias("topic"), F.concat(*parts).alias("text"))
+
+
+# A line goes on with the block before it, or opens one: kinds are handed on from line to line, then parts from block to block.
+_CHUNKS = """WITH RECURSIVE docs AS (SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || 'In ' || coalesce(lang, 'none') || '.' || chr(10) || chr(10) || '## D-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || ': kept' || chr(10) || '- **Date:** Milestone ' || (doc_id % 7) || chr(10)
+        || '* one' || chr(10) || chr(10) || '  still one' || chr(10) || chr(10) || 'none' || chr(10) || '| a | b |' || chr(10) || '| - | - |' || chr(10) || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || chr(10) || '```' || chr(10) || '## Text of D-' || lpad(CAST(doc_id * 3 % 1000 AS VARCHAR), 3, '0')
+        || chr(10) || '### Whole' || chr(10) || translate(replace(replace(text, chr(13), chr(10)), chr(10), CASE WHEN doc_id % 4 = 0 THEN chr(10) ELSE chr(10) || chr(10) END), '#|`~', '') AS text, doc_id % 7 AS m, doc_id * 3 % 1000 AS other, coalesce(source, 'none') AS topic FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs), rows_ AS (SELECT doc_id, i, ls[i] AS line, length(ls[i]) AS size FROM cut, unnest(range(1, len(ls) + 1)) r(i)),
+    placed AS (SELECT *, sum(size + 1) OVER w - size - 1 AS start, sum(CAST(starts_with(line, '```') AS INT)) OVER w - CAST(starts_with(line, '```') AS INT) AS marks FROM rows_ WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    typed AS (SELECT *, marks % 2 = 1 OR starts_with(line, '```') AS fenced, NOT (marks % 2 = 1) AND regexp_matches(line, '^#{1,3} ') AS head, NOT regexp_matches(line, '[^ \t-\r]') AS blank, starts_with(line, '|') AS bar, regexp_matches(line, '^([-*+]|[0-9]{1,9}[.)])[ \t]') AS item FROM placed),
+    ahead AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS unit, coalesce(first_value(CASE WHEN NOT blank THEN regexp_matches(line, '^[ \t]') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS dented FROM typed),
+    states AS (SELECT *, CASE WHEN fenced THEN 'f' WHEN blank THEN CASE WHEN dented THEN 'd' ELSE 'b' END WHEN head THEN 'h' WHEN bar THEN 't' WHEN item THEN 'i' ELSE 'p' END AS s FROM ahead),
+    opened AS (SELECT doc_id, 1 AS i, CAST('p' AS VARCHAR) AS kind, CAST(1 AS BIGINT) AS block FROM cut UNION ALL
+        SELECT o.doc_id, o.i + 1, CASE WHEN s.s IN ('f', 't', 'i') THEN s.s WHEN s.s = 'h' THEN 'p' WHEN s.s = 'd' AND o.kind = 'i' THEN 'i' WHEN s.s IN ('b', 'd') THEN '' WHEN o.kind IN ('i', 'p') THEN o.kind ELSE 'p' END,
+            o.block + CAST(CASE WHEN s.s IN ('b', 'd') THEN false WHEN s.s IN ('h', 'i') THEN true WHEN s.s = 'f' THEN o.kind <> 'f' WHEN s.s = 't' THEN o.kind <> 't' ELSE o.kind NOT IN ('i', 'p') END AS INT)
+        FROM opened o JOIN states s ON s.doc_id = o.doc_id AND s.i = o.i + 1),
+    pieces AS (SELECT doc_id, unit, block, min(start) AS a, max(start + size) AS b, min(i) AS line FROM states JOIN opened USING (doc_id, i) WHERE NOT blank OR fenced GROUP BY 1, 2, 3),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY block) AS n, count(*) OVER (PARTITION BY doc_id, unit) AS of FROM pieces),
+    glued AS (SELECT p.doc_id, p.unit, greatest(p.n, 2) - 1 AS n, min(a) AS a, max(b) AS b, min(line) AS line FROM nth p GROUP BY 1, 2, 3),
+    packs AS (SELECT doc_id, unit, n, a, b, line, CAST(1 AS BIGINT) AS part FROM glued WHERE n = 1 UNION ALL
+        SELECT g.doc_id, g.unit, g.n, CASE WHEN g.b - p.a <= 1500 THEN p.a ELSE g.a END, g.b, CASE WHEN g.b - p.a <= 1500 THEN p.line ELSE g.line END, p.part + CAST(g.b - p.a > 1500 AS INT) FROM packs p JOIN glued g ON g.doc_id = p.doc_id AND g.unit = p.unit AND g.n = p.n + 1),
+    parts AS (SELECT doc_id, unit, part, any_value(a) AS a, max(b) AS b, any_value(line) AS line FROM packs GROUP BY 1, 2, 3),
+    merged AS (SELECT doc_id, unit, part, a, b, line, CAST(1 AS BIGINT) AS m FROM parts WHERE part = 1 UNION ALL
+        SELECT p.doc_id, p.unit, p.part, CASE WHEN q.b - q.a < 200 THEN q.a ELSE p.a END, p.b, CASE WHEN q.b - q.a < 200 THEN q.line ELSE p.line END, q.m + CAST(q.b - q.a >= 200 AS INT) FROM merged q JOIN parts p ON p.doc_id = q.doc_id AND p.unit = q.unit AND p.part = q.part + 1),
+    whole AS (SELECT doc_id, unit, m, any_value(a) AS a, max(b) AS b, any_value(line) AS line FROM merged GROUP BY 1, 2, 3), last AS (SELECT *, max(m) OVER (PARTITION BY doc_id, unit) AS top FROM whole),
+    ends AS (SELECT doc_id, unit, CASE WHEN m = top AND m > 1 AND b - a < 200 THEN m - 1 ELSE m END AS m, min(a) AS a, max(b) AS b, min(line) AS line FROM last GROUP BY 1, 2, 3),
+    sized AS (SELECT doc_id, unit, max(start + size) AS stop, count(*) FILTER (NOT blank) AS said FROM states GROUP BY 1, 2),
+    final AS (SELECT e.*, count(*) OVER (PARTITION BY doc_id, unit) AS parts, row_number() OVER (PARTITION BY doc_id, unit ORDER BY m) AS part FROM ends e JOIN sized USING (doc_id, unit) WHERE said > 1),
+    clipped AS (SELECT f.*, rtrim(substr(d.text, CAST(a + 1 AS INT), CAST(b - a AS INT)), ' ' || chr(9)) AS piece, d.m AS mile, d.other, d.topic FROM final f JOIN docs d USING (doc_id))
+    SELECT doc_id, 'kb/doc' || doc_id || '/' || CASE unit WHEN 1 THEN 'intro' WHEN 2 THEN 'd-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') ELSE 'text-of-d-' || lpad(CAST(other AS VARCHAR), 3, '0') || '/whole' END || CASE WHEN parts > 1 THEN '#' || part ELSE '' END AS chunk_id, CASE WHEN unit = 2 AND mile = 3 THEN 'three' ELSE topic END AS topic,
+        CASE unit WHEN 2 THEN 'D-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') END AS decision_id, CASE unit WHEN 2 THEN CAST(mile AS INT) END AS milestone, CAST(line AS INT) AS line_start, CAST(length(CASE WHEN part = parts THEN piece ELSE substr((SELECT text FROM docs d WHERE d.doc_id = c.doc_id), CAST(a + 1 AS INT), CAST(b - a AS INT)) END) AS INT) AS char_count,
+        sha256(CASE WHEN part = parts THEN piece ELSE substr((SELECT text FROM docs d WHERE d.doc_id = c.doc_id), CAST(a + 1 AS INT), CAST(b - a AS INT)) END) AS content_sha256 FROM clipped c"""
+
+
+@query(_CHUNKS)
 def t07_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks packed by a fold over each document; tests hold the fold by hand-made cases."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("doc_id", "text")
-    return retrieval.pack_blocks(retrieval.blocks(docs), 1500, 200)
+    """Chunks of all documents as Markdown, with ids, lines and digests."""
+    out = markdown.chunk_rows(_manual(spark, d), milestone_topics={3: "three"})
+    return out.select("doc_id", "chunk_id", "topic", "decision_id", "milestone", "line_start", "char_count", "content_sha256")
 
 
 @query("WITH heads AS (SELECT p_partkey AS doc_id, '# ' || p_name AS h1, '## ' || p_brand AS h2, '### ' || p_type AS h3 FROM part) SELECT doc_id, level, title, start, \"end\" FROM (SELECT doc_id, 1 AS level, substr(h1, 3) AS title, 0 AS start, length(h1) AS \"end\" FROM heads UNION ALL SELECT doc_id, 2, substr(h2, 4), length(h1) + 1, length(h1) + 1 + length(h2) + 5 FROM heads UNION ALL SELECT doc_id, 3, substr(h3, 5), length(h1) + length(h2) + 7, length(h1) + length(h2) + 7 + length(h3) + 14 FROM heads)")

@@ -46,15 +46,11 @@ def test_bm25_by_hand_and_bounds(spark):
             retrieval.search(index, queries, bad)
 
 
-def test_sections_blocks_and_parts(spark):
+def test_sections_outside_fences(spark):
     doc = "# T\nintro\n## A\none\n\ntwo\n```\n# no\n\nx\n```\n### B\n- i\n- j"
     docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
     got = retrieval.sections(docs).orderBy("start").collect()
     assert [(r["level"], r["title"], r["path"]) for r in got] == [(1, "T", ["T"]), (2, "A", ["T", "A"]), (3, "B", ["T", "A", "B"])]
-    pieces = [doc[r["start"] : r["end"]] for r in retrieval.blocks(docs).orderBy("start").collect()]
-    assert pieces == ["# T", "intro", "## A", "one", "two", "```\n# no\n\nx\n```", "### B", "- i", "- j"]
-    packed = retrieval.pack_blocks(spark.createDataFrame([(1, 0, 10), (1, 11, 20), (1, 21, 60), (1, 61, 63)], "doc_id long, start long, end long"), 25, 5)
-    assert [(r["start"], r["end"]) for r in packed.orderBy("part").collect()] == [(0, 20), (21, 63)]
 
 
 def test_answer_rules(spark):
@@ -74,3 +70,9 @@ def test_answer_rules(spark):
     assert got["fact"] == {"unknown_stated_as_fact", "land_available_claim"}
     assert got["quote"] == {"quote_not_in_cited_chunk"}
     assert got["nul"] == {"missing_citation"}
+
+
+def test_gold_of_short_and_long_queries(spark):
+    chunks = spark.createDataFrame([(1, "one red house on the hill by the old sea wall here"), (2, "redhouse hillside"), (3, "a red, house"), (4, "red"), (5, None)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "ed house on the hill by the old sea wa"), (2, "red house"), (3, "red"), (4, "he hill b"), (5, "..."), (6, "house")], "query_id long, text string")
+    assert sorted(tuple(r) for r in retrieval.holding(asked, chunks).collect()) == [(1, 1), (2, 1), (2, 3), (3, 1), (3, 3), (3, 4), (4, 1), (6, 1), (6, 3)]
