@@ -108,6 +108,12 @@ def check(statements: DataFrame, records: DataFrame, sites: DataFrame | None = N
     }
     beside = F.replace("text", F.lit(GRID_DISCLAIMER), F.lit(""))
     rules |= {name: beside.rlike(p) for name, p in CLAIMS.items()}
+    # numbers that any structured record shows may not come of documentation alone
+    owned = records.where(~known).select(F.explode(numbers).alias("token")).distinct()
+    bare = j.where((F.col("n_k") > 0) & (F.col("n_s") == 0)).select("statement_id", F.explode("said").alias("token"))
+    must = bare.join(owned, "token", "left_semi").select("statement_id").distinct().withColumn("owned", F.lit(True))
+    j = j.join(must, "statement_id", "left")
+    rules["number_must_cite_structured_record"] = F.coalesce("owned", F.lit(False))
     j = j.withColumn("named", F.array_distinct(sites_said))
     if sites is not None:
         named = j.select("statement_id", F.explode("named").alias("site")).join(sites.select("site"), "site", "left_anti").groupBy("statement_id").agg(F.lit(True).alias("stranger"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locarium.functions import text as T
-from locarium.operators import answers, evidence, markdown, retrieval
+from locarium.operators import answers, evidence, markdown, retrieval, runs
 from locarium.plans import world
 from locarium.storage import stored
 
@@ -185,13 +185,74 @@ def r03_number_grounding(spark: SparkSession, d: str) -> DataFrame:
     return rules.select("statement_id", has("unknown_evidence_id").alias("unknown_id"), has("unknown_must_state_absence").alias("absence_missing"), has("number_not_grounded").alias("ungrounded"))
 
 
-@query(_STATEMENTS + ", v AS (SELECT k, a IN (r, r * 3) AND b IN (r, r * 3) AND r < 6 AS expected, r < 7 AS accepted FROM st WHERE text IS NOT NULL) SELECT CASE k WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'CALCULATED' ELSE 'FACT' END AS category, count_if(accepted AND expected) AS true_accept, count_if(accepted AND NOT expected) AS false_accept, count_if(NOT accepted AND expected) AS false_reject, count_if(NOT accepted AND NOT expected) AS true_reject FROM v GROUP BY 1")
+@query("WITH st AS (SELECT conv_id || '-' || turn AS id, turn % 3 AS k, conv_id % 9 AS r, turn * 3 AS a, turn % 2 = 0 AS expected FROM conversations), v AS (SELECT k, expected, CASE k WHEN 0 THEN r < 7 AND conv_id_even ELSE r < 6 AND a IN (r, r * 3) END AS accepted FROM (SELECT *, CAST(split_part(id, '-', 1) AS BIGINT) % 2 = 0 AS conv_id_even FROM st)) SELECT CASE k WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'CALCULATED' ELSE 'FACT' END AS category, count_if(accepted AND expected) AS true_accept, count_if(accepted AND NOT expected) AS false_accept, count_if(NOT accepted AND expected) AS false_reject, count_if(NOT accepted AND NOT expected) AS true_reject FROM v GROUP BY 1")
 def a20_confusion(spark: SparkSession, d: str) -> DataFrame:
-    turns = spark.read.parquet(f"{d}/conversations.parquet").where("text is not null")
-    r, a, b = F.col("conv_id") % 9, F.col("turn") * 3, F.col("conv_id") % 7
-    shown = lambda x: (x == r) | (x == r * 3)
-    kind = F.when(F.col("turn") % 3 == 0, "UNKNOWN").when(F.col("turn") % 3 == 1, "CALCULATED").otherwise("FACT")
-    return answers.tally(turns.select(kind.alias("category"), (r < 7).alias("accepted"), (shown(a) & shown(b) & (r < 6)).alias("expected")))
+    """Verdicts of all answer rules over short statements, against what was expected of them."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn")
+    statements, records = _statements(spark, d)
+    of = turns.select(F.concat_ws("-", "conv_id", "turn").alias("statement_id"), "conv_id", "turn")
+    said = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("It is "), (F.col("turn") * 3).cast("string"), F.lit(" km away."))).when(F.col("conv_id") % 2 == 0, "It is unknown.").otherwise("It is far.")
+    short = statements.drop("text").join(of.select("statement_id", said.alias("text")), "statement_id")
+    verdicts = answers.check(short, records).join(of, "statement_id").join(short.select("statement_id", F.col("kind").alias("category")), "statement_id")
+    return answers.tally(verdicts.select("category", (F.size("rules") == 0).alias("accepted"), (F.col("turn") % 2 == 0).alias("expected")))
+
+
+@query("SELECT conv_id || '-' || turn AS statement_id, conv_id % 4 = 1 AS owned, conv_id % 4 IN (0, 1) AND conv_id % 3 <> 0 AS too_short, conv_id % 3 = 0 AND conv_id % 4 < 3 AS unquoted, conv_id % 4 = 2 AS mixed, turn % 2 = 1 AS about, turn % 5 = 0 AS word, turn % 7 = 3 AS sum FROM conversations")
+def r10_numbers_and_words(spark: SparkSession, d: str) -> DataFrame:
+    """Rules on where numbers come from, on quotes, vague words, number words and arithmetic, over all turns."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    k, t = F.col("conv_id"), F.col("turn")
+    text = F.concat(F.lit("Seen "), F.when(k % 4 == 0, "7").when(k % 4 == 1, "12").when(k % 4 == 2, "88").otherwise("12"), F.lit(" m"), F.when(t % 2 == 1, ", roughly").otherwise(""), F.when(t % 5 == 0, ", seven of them").otherwise(""), F.when(t % 7 == 3, " + more").otherwise(""))
+    ids = F.when(k % 4 < 2, F.array(F.lit("k"))).when(k % 4 == 2, F.array(F.lit("k"), F.lit("s"))).otherwise(F.array(F.lit("s")))
+    quotes = F.when((k % 3 != 0) & (k % 4 < 2), F.array(F.lit("7 m"))).when((k % 3 != 0) & (k % 4 == 2), F.array(F.lit("from 7 m and 88 m to 12 m on"))).otherwise(F.array().cast("array<string>"))
+    st = turns.select(F.concat_ws("-", k, t).alias("statement_id"), F.lit("FACT").alias("kind"), text.alias("text"), ids.alias("evidence_ids"), quotes.alias("quotes"))
+    records = spark.createDataFrame([("k", "FACT", "from 7 m and 88 m to 12 m on", True), ("s", "CALCULATED", "12 m", False)], "id string, type string, display string, knowledge boolean")
+    has = lambda r, name: F.array_contains("rules", r).alias(name)
+    return answers.check(st, records).select("statement_id", has("number_must_cite_structured_record", "owned"), has("quote_too_short", "too_short"), has("knowledge_quote_missing", "unquoted"), has("mixed_number_not_structured", "mixed"), has("approximation_language", "about"), has("number_word", "word"), has("arithmetic_expression", "sum"))
+
+
+@query("SELECT conv_id, 'record' AS shape, 'r' || turn % 3 AS id, md5(coalesce(arg_max(text, turn), 'none')) AS digest FROM conversations GROUP BY conv_id, turn % 3 UNION ALL SELECT conv_id, 'field', 'f' || conv_id, md5(CAST(max(turn) AS VARCHAR)) FROM conversations GROUP BY conv_id")
+def r12_harvest(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as records at three depths of each conversation's result, a field deeper still, and what only looks like either."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    record = F.struct(F.concat(F.lit("r"), F.col("turn") % 3).alias("id"), F.lit("FACT").alias("type"), F.coalesce("text", F.lit("none")).alias("display"))
+    near = F.struct(F.concat(F.lit("r"), F.col("turn") % 3).alias("id"), F.lit("no").alias("display"))
+    rows = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", record.alias("r"), near.alias("n")))), lambda x: F.struct(F.struct(x["r"].alias("deep"), x["n"].alias("near")).alias("in"), x["turn"].alias("turn"))).alias("items"), F.max("turn").alias("last"))
+    field = F.array(F.array(F.struct(F.concat(F.lit("f"), F.col("conv_id")).alias("id"), F.col("last").alias("a"), F.lit(1).alias("b"))))
+    nested = rows.select("conv_id", F.to_json(F.struct(F.struct(F.col("items").alias("list")).alias("result"), field.alias("fields"), F.lit("x").alias("note"))).alias("json"))
+    out = runs.harvest(nested, "conv_id", "json", {"record": ("id", "type", "display"), "field": ("id", "a", "b")})
+    said = F.when(F.col("shape") == "record", F.get_json_object("value", "$.display")).otherwise(F.get_json_object("value", "$.a"))
+    return out.select("conv_id", "shape", "id", F.md5(said.cast("binary")).alias("digest"))
+
+
+@query("WITH st AS (SELECT o_orderkey AS statement_id, o_custkey AS a, o_custkey % 97 + 1 AS b FROM orders), v AS (SELECT statement_id, x.c_acctbal AS va, y.c_acctbal AS vb FROM st JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b WHERE a <> b), d AS (SELECT statement_id, va, vb, CASE statement_id % 3 WHEN 0 THEN va - vb WHEN 1 THEN CASE WHEN vb <> 0 THEN 100 * (va - vb) / vb END ELSE (va + vb) / 2 END AS x FROM v) SELECT statement_id, CASE statement_id % 3 WHEN 0 THEN 'difference' WHEN 1 THEN 'percent' ELSE 'mean' END AS kind FROM d WHERE x IS NOT NULL")
+def l08_trap_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every order states a number that only arithmetic over two customers' balances gives."""
+    orders, customers = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
+    records = customers.select(F.col("c_custkey").cast("string").alias("id"), F.lit("balance").alias("field"), F.col("c_acctbal").cast("double").alias("value"))
+    k = F.col("o_orderkey")
+    two = orders.select(k.alias("statement_id"), F.col("o_custkey").cast("string").alias("a"), (F.col("o_custkey") % 97 + 1).cast("string").alias("b"))
+    v = two.join(records.select(F.col("id").alias("a"), F.col("value").alias("va")), "a").join(records.select(F.col("id").alias("b"), F.col("value").alias("vb")), "b")
+    s = F.col("statement_id") % 3
+    number = F.when(s == 0, F.format_number(F.col("va") - F.col("vb"), 2)).when(s == 1, F.concat(F.format_number(F.when(F.col("vb") != 0, 100 * (F.col("va") - F.col("vb")) / F.col("vb")), 1), F.lit("%"))).otherwise(F.format_number((F.col("va") + F.col("vb")) / 2, 2))
+    statements = v.select("statement_id", F.concat(F.lit("It comes to "), F.coalesce(number, F.lit("nothing")), F.lit(" in all.")).alias("text"), F.array("a", "b").alias("evidence_ids"))
+    kind = F.when(s == 0, "difference").when(s == 1, "percent").otherwise("mean")
+    return runs.trap_values(statements, records).where(F.col("kind") == kind).select("statement_id", "kind").distinct()
+
+
+_MARKS = "marks AS (SELECT user_id, event_id, event_type || CASE WHEN event_id % 11 = 0 THEN ':duplicate' WHEN event_id % 7 = 0 THEN ':error' ELSE '' END AS mark FROM events), paths AS (SELECT user_id, list(mark ORDER BY event_id) AS p FROM marks GROUP BY 1)"
+
+
+@query(f"WITH RECURSIVE {_MARKS}, firsts AS (SELECT user_id, p, list_position(p, 'click') AS c FROM paths), seconds AS (SELECT *, CASE WHEN c > 0 THEN c + list_position(p[c + 1:], 'view') END AS w FROM firsts), seen AS (SELECT *, CASE WHEN w > c AND list_position(p[w + 1:], 'error') > 0 THEN true ELSE false END AS ok FROM seconds) SELECT user_id, array_to_string(list_filter([CASE WHEN NOT coalesce(ok, false) THEN 'steps' END, CASE WHEN list_contains(p, 'purchase:error') THEN 'never' END, CASE WHEN len(list_filter(p, lambda m: m = 'view:duplicate')) <> user_id % 4 THEN 'counts' END], lambda x: x IS NOT NULL), ' ') AS failures FROM seen")
+def l11_trajectories(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a run: three steps in order, a mark that may not occur, and a count."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    k = F.col("event_id")
+    calls = events.select("user_id", "event_id", F.col("event_type").alias("tool"), (k % 11 == 0).alias("repeated"), (k % 7 == 0).alias("failed"))
+    found = runs.trajectories(calls, "user_id", "event_id").withColumns({"status": F.lit("answered"), "rules": F.array().cast("array<string>"), "cited": F.array().cast("array<string>"), "texts": F.array().cast("array<string>")})
+    words = lambda *w: F.array(*map(F.lit, w))
+    expected = events.select("user_id").distinct().select("user_id", words("click", "view", "error").alias("steps"), words("purchase:error").alias("never"), F.create_map(F.lit("view:duplicate"), F.col("user_id") % 4).alias("counts"))
+    return runs.check_cases(found, expected, "user_id").withColumn("failures", F.array_join("failures", " "))
 
 
 @query(r"WITH st AS (SELECT doc_id, text, doc_id % 50 AS n FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, regexp_extract_all(text, '\d+(?:[.,]\d+)*') AS said, [CAST(n AS VARCHAR), CAST(2024 AS VARCHAR)] AS shown FROM st) SELECT doc_id AS statement_id, len(said) AS numbers, len(list_filter(said, lambda x: list_contains(shown, x))) AS grounded FROM t")
