@@ -35,10 +35,16 @@ def projection(seed: int = SEED, hashed: int = HASHED, dimensions: int = DIMENSI
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (hashed, dimensions))
 
 
-def hashed_vector(ids: np.ndarray, hashed: int = HASHED) -> np.ndarray:
-    """Square roots of the counts of hashed ids, of length 1; no ids give zeros."""
-    counts = np.bincount((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % hashed, minlength=hashed)
-    return np.sqrt(counts / max(counts.sum(), 1)).astype(np.float32)
+def slots(vocabulary: int, hashed: int = HASHED) -> np.ndarray:
+    """The entry of a hashed vector for each token id."""
+    return (np.arange(vocabulary, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % hashed
+
+
+def hashed_vectors(entries: np.ndarray, sizes: np.ndarray, hashed: int = HASHED) -> np.ndarray:
+    """Square roots of the shares of each entry in each document, vectors of length 1; ``entries`` come document by document."""
+    of = np.repeat(np.arange(len(sizes)) * hashed, sizes)
+    counts = np.bincount(of + entries, minlength=len(sizes) * hashed).reshape(len(sizes), hashed)
+    return np.sqrt(counts / sizes[:, None]).astype(np.float32)
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -77,14 +83,18 @@ def vectors(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_path)
-        signs, wide = projection(seed, HASHED, dimensions), _wide(tokenizer_path, end_id)
+        signs, wide, end = projection(seed, HASHED, dimensions), _wide(tokenizer_path, end_id), np.asarray([end_id], "<u4").tobytes()
+        slot = slots(max(e.tokenizer.get_vocab_size(), end_id + 1))
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
                 part = b.slice(lo, BATCH)
-                ids = [np.frombuffer(e.ids(t.as_py() or ""), "<u4") for t in part.column("text")]
-                place = np.stack([hashed_vector(x) for x in ids]) @ signs
-                tokens = [np.append(x, np.uint32(end_id)).astype("<u4" if wide else "<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(tokens, pa.binary()), pa.array(place.tolist(), pa.list_(pa.float32()))], ["id", "row", "tokens", "place"])
+                ids = [e.ids(t.as_py() or "") + end for t in part.column("text")]
+                sizes, flat = np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4")
+                place = hashed_vectors(slot[flat], sizes) @ signs
+                if not wide:
+                    ends, narrow = (2 * np.cumsum(sizes)).tolist(), flat.astype("<u2").tobytes()
+                    ids = [narrow[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(ids, pa.binary()), pa.array(place.tolist(), pa.list_(pa.float32()))], ["id", "row", "tokens", "place"])
 
     source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("row", T.LongType())]).add("tokens", "binary").add("place", T.ArrayType(T.FloatType()))
