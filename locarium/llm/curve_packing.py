@@ -24,7 +24,7 @@ from .packing import encoder
 
 CAPACITY = 1024
 #: Entries of a hashed vector, dimensions of its projection, bits of each dimension on the curve.
-HASHED, DIMENSIONS, BITS = 1024, 4, 12
+HASHED, DIMENSIONS, BITS = 256, 4, 12
 SEED = 7
 #: Documents, or pieces, that a task hands on together.
 BATCH = 512
@@ -40,11 +40,9 @@ def slots(vocabulary: int, hashed: int = HASHED) -> np.ndarray:
     return (np.arange(vocabulary, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % hashed
 
 
-def hashed_vectors(entries: np.ndarray, sizes: np.ndarray, hashed: int = HASHED) -> np.ndarray:
-    """Square roots of the shares of each entry in each document, vectors of length 1; ``entries`` come document by document."""
-    of = np.repeat(np.arange(len(sizes)) * hashed, sizes)
-    counts = np.bincount(of + entries, minlength=len(sizes) * hashed).reshape(len(sizes), hashed)
-    return np.sqrt(counts / sizes[:, None]).astype(np.float32)
+def hashed_vector(entries: np.ndarray, hashed: int = HASHED) -> np.ndarray:
+    """Square roots of the shares of each entry in a document, a vector of length 1."""
+    return np.sqrt(np.bincount(entries, minlength=hashed) / len(entries))
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -89,11 +87,10 @@ def vectors(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, en
             for lo in range(0, b.num_rows, BATCH):
                 part = b.slice(lo, BATCH)
                 ids = [e.ids(t.as_py() or "") + end for t in part.column("text")]
-                sizes, flat = np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4")
-                place = hashed_vectors(slot[flat], sizes) @ signs
+                flat = [np.frombuffer(x, "<u4") for x in ids]
+                place = np.stack([hashed_vector(slot[x]) for x in flat]) @ signs
                 if not wide:
-                    ends, narrow = (2 * np.cumsum(sizes)).tolist(), flat.astype("<u2").tobytes()
-                    ids = [narrow[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+                    ids = [x.astype("<u2").tobytes() for x in flat]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(ids, pa.binary()), pa.array(place.tolist(), pa.list_(pa.float32()))], ["id", "row", "tokens", "place"])
 
     source = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
