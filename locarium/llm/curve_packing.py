@@ -9,7 +9,9 @@ which need no padding either.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
-from .packing import encoder
+from .packing import Encoder
 
 CAPACITY = 1024
 #: Entries of a hashed vector, dimensions of its projection, bits of each dimension on the curve.
@@ -30,6 +32,63 @@ SEED = 7
 BATCH = 512
 
 
+#: Characters below this are in the same classes of letters, digits and space for both libraries.
+_SHARED = "\u0250"
+
+
+class MergingEncoder(Encoder):
+    """An :class:`Encoder` that learns words by the tokenizer's own merges in a second library, which takes a sixth of the time.
+
+    Only words of Latin letters and the like are learned so, and only if the
+    file is a byte-level BPE whose tokens are numbered in the order of its
+    merges, so that the least id is the first merge. All else, and every text
+    that isn't taken word by word, goes the tokenizer's own way; both give the
+    same ids.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        vocabulary, merges = model["model"].get("vocab", {}), model["model"].get("merges", [])
+        ids = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in merges]
+        plain = (model.get("normalizer") is None) and (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space")
+        self.merging = None
+        if plain and model["model"]["type"] == "BPE" and ids and ids == sorted(ids) and ids[0] == 256:
+            letters = {chr(b): b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+            rest = [b for b in range(256) if b not in letters.values()]
+            letters |= {chr(256 + k): b for k, b in enumerate(rest)}  # bytes that print nothing are written by letters from 256 on
+            special = set(self.special)
+            ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+            self.merging = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _learn(self, words: list[str]) -> None:
+        if self.merging is None:
+            return super()._learn(words)
+        near = [w for w in words if w.isascii() or max(w) < _SHARED]
+        if len(near) < len(words):
+            super()._learn([w for w in words if not (w.isascii() or max(w) < _SHARED)])
+        if near:
+            ids = array("I", self.merging.encode_ordinary(" " + " ".join(near)))
+            ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in near])
+            cuts = [0, *((np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(ids, np.uint32)]), ends) + 1) * 4).tolist()]
+            said = ids.tobytes()
+            self.known.update(zip(near, [said[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+
+_ENCODERS: dict[str, MergingEncoder] = {}
+
+
+def encoder(path: str) -> MergingEncoder:
+    """This process's encoder."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = MergingEncoder(path)
+    return _ENCODERS[path]
+
+
 def projection(seed: int = SEED, hashed: int = HASHED, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Seeded signs: what each entry of a hashed vector adds to each dimension."""
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (hashed, dimensions))

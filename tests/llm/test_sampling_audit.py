@@ -180,3 +180,17 @@ def test_the_trie_makes_each_unordered_state_once(spark):
     rows = spark.createDataFrame([("", False, False, True, False, True, False)], "part string, good boolean, toxic boolean, A boolean, B boolean, C boolean, D boolean")
     trie = filter_audit.Trie(rows, "ABCD").walk()
     assert len(trie.survivors) == 15 and len(trie.edges) == 15  # all but the one that no filter follows
+
+
+def test_words_by_merges_are_those_of_the_tokenizer():
+    e = curve_packing.MergingEncoder(tokenizer_path())
+    assert e.merging is not None
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCXYZ0123456789.,;:!?'-_()[]{}#$%&*|<>/\\\"éèñßüÆœ€²³½\t\n\u00a0\u0301\u4e2d\u0416\U0001f600")
+    for size in (3, 8, 20):
+        text = " ".join("".join(rng.choice(letters, rng.integers(1, size))) for _ in range(20_000))
+        assert e.ids(text) == e._encode([text])[0]
+        for part in (text[:500], text[777:9000], prose(size, 3000)):
+            assert e.ids(part) == e._encode([part])[0]
+    for text in ("", " lead", "trail ", "a  b", "x <|endoftext|> y", "it's don't we'll", "tab\tx y\n z"):
+        assert e.ids(text) == e._encode([text])[0] if text else e.ids(text) == b""
