@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locarium.functions.tags import selects
 from locarium.operators import arrangement, spatial
 from locarium.operators.graph import connected_components
+from locarium.operators.hosts import selects_any
 from locarium.settings import Settings
 from locarium.storage import stored
 
@@ -36,6 +38,44 @@ def merge_chargers(chargers: DataFrame, radius: float) -> DataFrame:
     return named.select("charger_id", "component").join(first, "component").select("charger_id", F.col("f.charger_id").alias("site_id"), F.col("f.x").alias("x"), F.col("f.y").alias("y"))
 
 
+#: Where known chargers come from; of a merged site the record of the first source stands for it.
+CHARGER_SOURCES = ("charging_stations", "fuel_with_sockets", "manual")
+
+
+def known_chargers(stations: DataFrame, places: DataFrame, manual: DataFrame | None, fuel: tuple[str, ...], radius: float, sockets_count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(source, record_id, site_id, x, y)`` of every known charger with its site, and a row of figures per source.
+
+    ``stations(id, access, x, y)`` count unless private; so do ``places(id,
+    tags, x, y)`` of a fuel selector with socket tags, if ``sockets_count``,
+    and all ``manual(id, x, y)`` rows, or none where that is missing. Records
+    at most ``radius`` apart, one to the next, are one site; ``site_id`` is its
+    first record's, by source, then id as text: the source's number, a slash, the id. The figures are ``records``,
+    ``excluded`` (by access, or not counted), ``sites`` that the source leads,
+    ``merged`` records that another leads, and ``status`` ('missing' or 'ok').
+    A record without a place is a site of its own; repeated rows are one.
+    """
+    spark = stations.sparkSession
+    text = lambda df: df.select(F.col("id").cast("string").alias("id"), "x", "y", *(c for c in ("access", "counts") if c in df.columns))
+    tags = F.col("tags")
+    sockets = places.where(selects_any(tags, fuel) & selects(tags, "socket:*")).withColumn("counts", F.lit(sockets_count))
+    open_ = stations.withColumn("counts", ~F.coalesce(F.col("access").isin("private", "no"), F.lit(False)))
+    parts = [text(open_), text(sockets)] + ([text(manual.withColumn("counts", F.lit(True)))] if manual is not None else [])
+    rows = None
+    for rank, (source, part) in enumerate(zip(CHARGER_SOURCES, parts, strict=False)):
+        one = part.where("id is not null").select(F.lit(source).alias("source"), F.lit(rank).alias("source_rank"), "id", F.concat(F.lit(f"{rank}/"), "id").alias("charger_id"), "x", "y", "counts")
+        rows = one if rows is None else rows.unionByName(one)
+    first = stored(rows.groupBy("charger_id").agg(F.min(F.struct("source", "source_rank", "id", F.col("counts"), "x", "y")).alias("f")).select("charger_id", "f.*"))
+    merged = stored(merge_chargers(first.where("counts").drop("counts"), radius))
+    of = first.where("counts").select("charger_id", "source", "id").join(merged, "charger_id")
+    records = of.select("source", F.col("id").alias("record_id"), "charger_id", "site_id", "x", "y")
+    leads = records.select("charger_id", (F.col("charger_id") == F.col("site_id")).alias("leads"))
+    counts = first.join(leads, "charger_id", "left").groupBy("source").agg(F.count("*").alias("records"), F.count_if(~F.col("counts")).alias("excluded"), F.count_if("leads").alias("sites"), F.count_if(~F.col("leads")).alias("merged"))
+    names = spark.createDataFrame([(s, "missing" if i >= len(parts) else "ok") for i, s in enumerate(CHARGER_SOURCES)], "source string, status string")
+    zero = F.lit(0).cast("long")
+    figures = names.join(counts, "source", "left").select("source", *[F.coalesce(c, zero).alias(c) for c in ("records", "excluded", "sites", "merged")], "status")
+    return records.select("source", "record_id", "site_id", "x", "y"), figures
+
+
 def poi_counts(candidates: DataFrame, pois: DataFrame, radii: tuple[float, float], kinds: tuple[str, ...] = ()) -> DataFrame:
     """POIs within two radii, in all and by kind; a candidate's own host doesn't count.
 

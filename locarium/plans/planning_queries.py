@@ -54,6 +54,35 @@ def p05_host_classes(spark: SparkSession, d: str) -> DataFrame:
     return hosts.classify_hosts(_tagged(spark, d), _HOST_TAGS).select("poi_id", "host_type")
 
 
+_KNOWN = f"""WITH RECURSIVE {world.sql("chargers", "pois", "places")},
+    rows_ AS (SELECT 'charging_stations' AS source, 0 AS n, CAST(charger_id AS VARCHAR) AS id, x, y, access <> 'private' AS counts FROM chargers
+        UNION ALL SELECT 'fuel_with_sockets', 1, CAST(poi_id AS VARCHAR), x, y, true FROM pois WHERE kind = 'fuel' AND poi_id % 7 = 0
+        UNION ALL SELECT 'manual', 2, CAST(place_id AS VARCHAR), x, y, true FROM places),
+    records AS (SELECT *, n || '/' || id AS charger_id FROM rows_),
+    edges AS MATERIALIZED (SELECT a.charger_id AS u, b.charger_id AS v FROM records a JOIN records b ON abs(a.x - b.x) <= 1500 AND abs(a.y - b.y) <= 1500 WHERE a.counts AND b.counts AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1500),
+    reach AS (SELECT charger_id AS m, charger_id AS r FROM records WHERE counts UNION SELECT e.u, r.r FROM reach r JOIN edges e ON e.v = r.m),
+    sites AS (SELECT m AS charger_id, min(r) AS site_id FROM reach GROUP BY 1)
+"""
+
+
+def _known(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Chargers, fuel stations with sockets, and the places as rows that were added by hand."""
+    at = world.layer(spark, d, "pois").select(F.col("poi_id").alias("id"), "x", "y")
+    places = _tagged(spark, d).withColumnRenamed("poi_id", "id").join(at, "id")
+    stations, manual = world.layer(spark, d, "chargers").withColumnRenamed("charger_id", "id"), world.layer(spark, d, "places").withColumnRenamed("place_id", "id")
+    return features.known_chargers(stations, places, manual, ("amenity=fuel",), 1500)
+
+
+@query(_KNOWN + "SELECT source, id AS record_id, site_id FROM records JOIN sites USING (charger_id)")
+def h02_known_chargers(spark: SparkSession, d: str) -> DataFrame:
+    return _known(spark, d)[0].select("source", "record_id", "site_id")
+
+
+@query(_KNOWN + "SELECT source, count(*) AS records, CAST(count_if(NOT counts) AS BIGINT) AS excluded, CAST(count_if(charger_id = site_id) AS BIGINT) AS sites, CAST(count_if(charger_id <> site_id) AS BIGINT) AS merged, 'ok' AS status FROM records LEFT JOIN sites USING (charger_id) GROUP BY 1")
+def h02_charger_sources(spark: SparkSession, d: str) -> DataFrame:
+    return _known(spark, d)[1]
+
+
 @query("SELECT * FROM (SELECT c_custkey AS poi_id, c_mktsegment = 'AUTOMOBILE' AS fuel, c_custkey % 3 < 2 AS shop, c_custkey % 4 = 0 AS lodging FROM customer WHERE c_custkey % 13 <> 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)) WHERE fuel OR shop OR lodging")
 def p06_place_classes(spark: SparkSession, d: str) -> DataFrame:
     removed = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("poi_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,7 @@ def s16_layer_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A layer written, validated, read again and summed."""
     p = spark.read.parquet(f"{d}/part.parquet")
     wanted = [validation.Field(f.name, f.dataType.simpleString(), False) for f in p.schema]
-    where = f"{shared_folder(spark)}/layer-part"
+    where = f"{shared_folder(spark)}/layer-part-{uuid.uuid4().hex}"
     layers.write_layer(p, where, wanted, key="p_partkey")
     return layers.read_layer(spark, where, wanted).groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
 
@@ -87,7 +88,7 @@ def p03_area_length(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(2 AS BIGINT) AS files, CAST(3 AS BIGINT) AS rows_")
 def s09_geojson(spark: SparkSession, d: str) -> DataFrame:
     """Boundary features written as JSON text and read by Spark's reader."""
-    where = f"{shared_folder(spark)}/boundaries"
+    where = f"{shared_folder(spark)}/boundaries-{uuid.uuid4().hex}"
     feature = '{"type":"Feature","properties":{"name":"%s","id":"%d"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}'
     texts = [f'{{"type":"FeatureCollection","features":[{",".join(feature % (n, i) for n, i in part)}]}}' for part in ([("a", 1), ("b", 2)], [("c", 3)])]
     spark.createDataFrame([(t,) for t in texts], "value string").repartition(2).write.mode("overwrite").text(where)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locarium import settings as S
-from locarium.operators import answers, areas, briefs, evaluation, hosts, network, retrieval, scoring, validation
+from locarium.operators import answers, areas, briefs, evaluation, features, hosts, network, retrieval, scoring, validation
 from locarium.sources import export
 
 RING = "array<struct<x:double,y:double>>"
@@ -128,3 +128,18 @@ def test_export_is_compact_sorted_and_bounded(spark, tmp_path):
     assert (out / "data.js").read_text() == f"window.data={text};\n"
     with pytest.raises(ValueError, match="bytes"):
         export.export_document({"sites": (df, "id")}, {}, out, "data", 20)
+
+
+def test_known_chargers_by_source(spark):
+    stations = spark.createDataFrame([(2, "private", 0.0, 0.0), (3, None, 0.0, 0.0), (4, "yes", 900.0, 0.0), (10, "no", 1.0, 1.0), (3, None, 0.0, 0.0), (None, "yes", 0.0, 0.0), (5, "yes", None, None)], "id long, access string, x double, y double")
+    places = spark.createDataFrame([("f1", {"amenity": "fuel", "socket:type2": "1"}, 1800.0, 0.0), ("f2", {"amenity": "fuel"}, 0.0, 0.0), ("f3", {"socket:ccs": "1"}, 0.0, 0.0), ("f4", None, 0.0, 0.0)], "id string, tags map<string,string>, x double, y double")
+    manual = spark.createDataFrame([("3", 9000.0, 9000.0), ("m/1", 2700.0, 0.0)], "id string, x double, y double")
+    records, figures = features.known_chargers(stations, places, manual, ("amenity=fuel",), 900.0)
+    # a chain over three sources is one site; equal ids of two sources aren't
+    assert sorted((r["source"], r["record_id"], r["site_id"]) for r in records.collect()) == [
+        ("charging_stations", "3", "0/3"), ("charging_stations", "4", "0/3"), ("charging_stations", "5", "0/5"), ("fuel_with_sockets", "f1", "0/3"), ("manual", "3", "2/3"), ("manual", "m/1", "0/3"),
+    ]
+    assert {r["source"]: tuple(r)[1:] for r in figures.collect()} == {"charging_stations": (5, 2, 2, 1, "ok"), "fuel_with_sockets": (1, 0, 0, 1, "ok"), "manual": (2, 0, 1, 1, "ok")}
+    none, without = features.known_chargers(stations.limit(0), places, None, ("amenity=fuel",), 900.0, sockets_count=False)
+    assert none.count() == 0
+    assert {r["source"]: tuple(r)[1:] for r in without.collect()} == {"charging_stations": (0, 0, 0, 0, "ok"), "fuel_with_sockets": (1, 1, 0, 0, "ok"), "manual": (0, 0, 0, 0, "missing")}
