@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locarium.operators.ordered import spaced_top
 from locarium.operators.scoring import mid_rank
 from locarium.operators.spatial import pairs_within
 from locarium.storage import stored
@@ -226,6 +227,40 @@ def radius_robustness(sites: DataFrame, weights: DataFrame, radii: list[float],
     return rows.select("method", "radius", "sites", F.round(F.coalesce("demand", zero), 9).alias("demand"), F.round(F.coalesce(F.col("people") / F.col("all"), zero), 9).alias("people_share"), "provinces", "districts")
 
 
+def radius_study(sites: DataFrame, nodes: DataFrame, chargers: DataFrame, radii: list[float], base: float, n: int, spacings: list[float], spacing: float, factor: float, score_weight: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Every method at every radius, solved anew, and a check of what the weights' radius does.
+
+    The methods are 'greedy' (solved at each radius under ``spacing``), 'top'
+    (the best-ranked ``n``) and 'spaced <metres>' for each of ``spacings``.
+    Weights stay those of the ``base`` radius, so that only coverage varies;
+    the rows are those of :func:`radius_robustness`. The check has a row for
+    each other radius: how many sites greedy ``shared`` with greedy under
+    weights that follow the radius, and the people's share that either covers.
+    """
+    held = stored(demand_weights(nodes, chargers, base, factor))
+    clashes = stored(conflicts(sites, spacing))
+    fixed = {"top": stored(sites.select("candidate_id", "rank").orderBy("rank", "candidate_id").limit(n))}
+    fixed |= {f"spaced {s:g}": stored(spaced_top(sites, "candidate_id", s, n)) for s in spacings}
+    rows, checks = None, None
+    for radius in radii:
+        here = stored(greedy(stored(coverage(sites, held, radius)), held, clashes, sites, n, score_weight))
+        part = stored(radius_robustness(sites, held, [radius], {"greedy": here, **fixed}))
+        rows = part if rows is None else rows.unionByName(part)
+        if radius == base:
+            continue
+        follow = stored(demand_weights(nodes, chargers, radius, factor))
+        moved = stored(greedy(stored(coverage(sites, follow, radius)), follow, clashes, sites, n, score_weight))
+        shared = moved.join(here, "candidate_id", "left_semi").agg(F.count("*").alias("shared"))
+        then = radius_robustness(sites, follow, [radius], {"greedy": moved}).select(F.col("people_share").alias("share_follows"))
+        now = part.where("method = 'greedy'").select("radius", F.col("people_share").alias("share_fixed"))
+        # three tables of one row each
+        check = now.join(then, F.lit(True)).join(shared, F.lit(True)).select("radius", "shared", "share_fixed", "share_follows")
+        checks = check if checks is None else checks.unionByName(check)
+    if checks is None:
+        checks = sites.sparkSession.createDataFrame([], "radius double, shared long, share_fixed double, share_follows double")
+    return rows, checks
+
+
 def sensitivity(base: dict[str, float], varied: dict[str, list[float]], solve, summary) -> DataFrame:
     """``parameter, value, demand, people_share, provinces, overlap``: one parameter at a time off ``base``, its default left out.
 

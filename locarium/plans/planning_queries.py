@@ -498,6 +498,53 @@ def _unrolled_spacing(n: int, radius: float) -> str:
 sites.ORACLE_SQL["n05_spaced_top"] = sites._SCORES.rstrip().replace("scores AS (", "scores AS MATERIALIZED (") + ", " + _unrolled_spacing(20, 4000)
 
 
+_SPREAD = (3000.0, 6000.0)
+
+
+def _study_sql(n: int, more: str) -> str:
+    """Greedy, top and spaced selections at two radii, every place of every selection a table of its own."""
+    raw = sites._WEIGHTS.replace("<= 3000", "<= 2000").replace("raw AS (", "raw2 AS (", 1).replace("weights AS (", "weights2 AS (", 1).replace("FROM raw)", "FROM raw2)")
+    ctes = [raw, "shares AS MATERIALIZED (SELECT candidate_id, 0.01 * score / (SELECT sum(score) FROM eligible) AS bonus FROM eligible)"]
+    ctes.append(f"span AS MATERIALIZED (SELECT a.candidate_id, b.node_id, {sites._D} AS dist FROM {sites._within('eligible', 'weights', 3000)} WHERE {sites._D} <= 3000)")
+    ctes.append(f"clash AS MATERIALIZED (SELECT a.candidate_id AS a, b.candidate_id AS b FROM {sites._within('eligible', 'eligible', 2000)} WHERE {sites._D} < 2000)")
+    chosen = []
+    for method, name, radius, weights in (("greedy", "g", 2000, "weights"), ("greedy", "h", 3000, "weights"), ("follows", "f", 2000, "weights2")):
+        for i in range(1, n + 1):
+            before = " UNION ALL ".join(f"SELECT candidate_id FROM {name}{k}" for k in range(1, i))
+            free = f" WHERE b.candidate_id NOT IN ({before}) AND b.candidate_id NOT IN (SELECT b FROM clash WHERE a IN ({before}))" if before else ""
+            left = f" AND node_id NOT IN (SELECT node_id FROM span WHERE dist <= {radius} AND candidate_id IN ({before}))" if before else ""
+            ctes.append(f"{name}{i} AS MATERIALIZED (SELECT b.candidate_id FROM shares b LEFT JOIN (SELECT candidate_id, sum(weight) AS w FROM span JOIN {weights} USING (node_id) WHERE dist <= {radius}{left} GROUP BY 1) w USING (candidate_id){free} ORDER BY round(coalesce(w.w, 0) + b.bonus, 12) DESC, b.candidate_id LIMIT 1)")
+            chosen.append(f"SELECT '{method}' AS method, {radius}.0 AS radius, candidate_id FROM {name}{i}")
+    for spread in _SPREAD:
+        for i in range(1, n + 1):
+            before = " UNION ALL ".join(f"SELECT x, y FROM s{spread:g}_{k}" for k in range(1, i))
+            free = f" WHERE NOT EXISTS (SELECT 1 FROM ({before}) b WHERE {sites._D} < {spread})" if before else ""
+            ctes.append(f"s{spread:g}_{i} AS MATERIALIZED (SELECT a.candidate_id, a.x, a.y FROM eligible a{free} ORDER BY a.rank LIMIT 1)")
+            chosen += [f"SELECT 'spaced {spread:g}', {r}.0, candidate_id FROM s{spread:g}_{i}" for r in (2000, 3000)]
+    chosen += [f"SELECT 'top', {r}.0, candidate_id FROM (SELECT candidate_id FROM eligible ORDER BY rank LIMIT {n})" for r in (2000, 3000)]
+    ctes.append("picked AS MATERIALIZED (" + " UNION ALL ".join(chosen) + ")")
+    ctes.append("held AS (SELECT DISTINCT method, radius, node_id FROM picked JOIN span USING (candidate_id) WHERE dist <= radius), got AS (SELECT method, radius, sum(weight) AS demand, sum(people) / (SELECT sum(people) FROM weights) AS share FROM held JOIN weights USING (node_id) GROUP BY 1, 2)")
+    return sites._PROBLEM.rstrip() + ", " + ", ".join(ctes) + more
+
+
+def _study(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = sites._problem(spark, d)[0]
+    px, ch = (world.layer(spark, d, n) for n in ("pixels", "chargers"))
+    return network.radius_study(s, stored(network.demand_nodes(px, 2500)), features.production_chargers(ch), [2000.0, 3000.0], 3000.0, 4, list(_SPREAD), W.spacing_m, W.charger_factor, W.score_weight)
+
+
+@query(_study_sql(4, " SELECT p.method, CAST(p.radius AS DOUBLE) AS radius, count(*) AS sites, coalesce(round(any_value(demand), 9), 0.0) AS demand, coalesce(round(any_value(share), 9), 0.0) AS people_share, count(DISTINCT province_id) AS provinces, count(DISTINCT e.district_id) AS districts FROM picked p JOIN eligible e USING (candidate_id) JOIN districts d ON d.district_id = e.district_id LEFT JOIN got g ON g.method = p.method AND g.radius = p.radius WHERE p.method <> 'follows' GROUP BY 1, 2"))
+def n08_radius_study(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy solved anew at each radius, beside the best-ranked and spaced sites."""
+    return _study(spark, d)[0]
+
+
+@query(_study_sql(4, " SELECT CAST(2000 AS DOUBLE) AS radius, (SELECT count(*) FROM picked WHERE method = 'follows' AND candidate_id IN (SELECT candidate_id FROM picked WHERE method = 'greedy' AND radius = 2000)) AS shared, (SELECT round(share, 9) FROM got WHERE method = 'greedy' AND radius = 2000) AS share_fixed, (SELECT round(share, 9) FROM got WHERE method = 'follows') AS share_follows"))
+def n08_weight_check(spark: SparkSession, d: str) -> DataFrame:
+    """What weights that follow the radius change."""
+    return _study(spark, d)[1]
+
+
 # --- knowledge ----------------------------------------------------------------------------------------
 
 
