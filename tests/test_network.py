@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from locarium.operators import network, ordered
@@ -85,3 +86,44 @@ def test_spacing_takes_the_largest_radius_that_fits():
                 assert all(d[a, b] > radius for a, b in itertools.combinations(got, 2))
                 wider = [r for r in np.unique(d) if r > radius]
                 assert all(len(ordered.greedy_spacing(d, float(r), quota)) < quota for r in wider)
+
+
+def test_radius_study(spark):
+    """Against plain greedy passes over all sites, at each radius and with weights that follow it."""
+    rng = np.random.default_rng(7)
+    s = [(i, float(rng.integers(0, 60)), float(rng.integers(0, 60)), i % 3, i % 5, float(rng.random()), i + 1) for i in range(25)]
+    nodes = [(i, int(rng.integers(1, 90)), float(rng.integers(0, 60)), float(rng.integers(0, 60))) for i in range(40)]
+    ch = [(i, float(rng.integers(0, 60)), float(rng.integers(0, 60))) for i in range(3)]
+    sites = spark.createDataFrame(s, "candidate_id long, x double, y double, province_id long, district_id long, score double, rank long")
+    rows, checks = network.radius_study(sites, spark.createDataFrame(nodes, "node_id long, people long, x double, y double"), spark.createDataFrame(ch, "charger_id long, x double, y double"), [10.0, 15.0], 15.0, 3, [20.0], 12.0, 0.5, 0.01)
+    at = lambda t: np.array([r[-2:] for r in t])
+    p, q, c = np.array([r[1:3] for r in s]), at(nodes), at(ch)
+    d = lambda a, b: np.sqrt(((a[:, None] - b) ** 2).sum(-1))
+    people = np.array([n[1] for n in nodes])
+    bonus = 0.01 * np.array([r[5] for r in s]) / sum(r[5] for r in s)
+
+    def weights(radius):
+        raw = people * np.where((d(q, c) <= radius).any(1), 0.5, 1.0)
+        return raw / raw.sum()
+
+    def solve(radius, w):
+        cover, seen, out = d(p, q) <= radius, np.zeros(40, bool), []
+        for _ in range(3):
+            gain = [-1 if any(d(p[[i]], p[[k]])[0, 0] < 12 for k in out) or i in out else round(float(w[cover[i] & ~seen].sum() + bonus[i]), 12) for i in range(25)]
+            out.append(int(np.argmax(gain)))
+            seen |= cover[out[-1]]
+        return out
+
+    share = lambda chosen, radius: people[(d(p, q)[chosen] <= radius).any(0)].sum() / people.sum()
+    got = {(r["method"], r["radius"]): r["people_share"] for r in rows.collect()}
+    spaced = []
+    for i in range(25):
+        if len(spaced) < 3 and all(d(p[[i]], p[[k]])[0, 0] >= 20 for k in spaced):
+            spaced.append(i)
+    for radius in (10.0, 15.0):
+        for method, chosen in (("greedy", solve(radius, weights(15))), ("top", [0, 1, 2]), ("spaced 20", spaced)):
+            assert got.pop((method, radius)) == pytest.approx(share(chosen, radius), abs=1e-8)
+    assert not got
+    here, moved = solve(10, weights(15)), solve(10, weights(10))
+    (check,) = checks.collect()
+    assert tuple(check) == (10.0, len(set(here) & set(moved)), pytest.approx(share(here, 10), abs=1e-8), pytest.approx(share(moved, 10), abs=1e-8))
