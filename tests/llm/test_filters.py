@@ -66,7 +66,40 @@ def test_secret_spans_against_plain_patterns(spark, none, odd):
         assert got[i]["base"] == ",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in spans)
     assert [s["said"] for s in got[len(texts) - 2]["added"]] == [rand]
     assert not any(got[i]["added"] for i in range(len(texts)) if i != len(texts) - 2)
-    assert secret_scan.secret_scan(none).count() == 0 and secret_scan.secret_scan(odd).count() == odd.count()
+    assert secret_scan.secret_scan(none).count() == 0
+    rows = secret_scan.secret_scan(odd).collect()
+    assert sorted((r["id"] or 0) for r in rows) == sorted((r["doc_id"] or 0) for r in odd.collect())
+    assert all(r["base"] == [] and r["added"] == [] for r in rows)
+
+
+def test_secret_models_on_held_out_samples(spark, none):
+    rng = np.random.default_rng(7)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    rand = lambda n: "".join(rng.choice(letters, n))
+    joined = [prose(i, 4).replace(" ", "_") for i in range(300)]
+    texts = [f"{prose(i, 30)} {prose(i, 3).replace(' ', '')} {joined[i]} secret = {rand(32)}" for i in range(300)]
+    texts += [f"{w} {prose(i, 3).replace(' ', '')}" for i, w in enumerate(joined)]
+    # a word of one text alone has no label, a token that is a secret somewhere is one everywhere
+    texts += ["qwxzqwxzqwxzqwxz", "password: hunterhunterhunter", "hunterhunterhunter", "hunterhunterhunter again", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = secret_scan._spans(df, "doc_id", "text", ()).withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    samples = {r["said"]: r for r in secret_scan.labelled_samples(spans, df).collect()}
+    assert "qwxzqwxzqwxzqwxz" not in samples and not samples[joined[0]]["random"] and samples["hunterhunterhunter"]["random"]
+    wrong = {r["random"]: (r["tokens"], r["wrong"]) for r in secret_scan.held_out_errors(df).collect()}
+    print("held out", wrong)
+    assert all(n > 30 and bad <= 0.03 * n for n, bad in wrong.values()) and len(wrong) == 2
+    held = {s for s, r in samples.items() if r["held_out"]}
+    assert 0.15 * len(samples) < len(held) < 0.35 * len(samples)
+    assert secret_scan.held_out_errors(none).count() == 0
+
+
+def test_secret_spans_of_a_text_with_many(spark):
+    n = 5000
+    text = "é " + " ".join(f"token=abcdef{i:07d} {'xy' * 9} AKIA{i:020d}" for i in range(n))
+    got = secret_scan.secret_scan(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).where("id = 1").first()
+    want = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(KINDS) for m in p.finditer(text) if ok(m))
+    assert [(s["start"], s["kind"], s["end"]) for s in got["base"]] == want and len(want) == 2 * n
+    assert all(text[s["start"] : s["end"]] == s["said"] for s in got["added"])
 
 
 def test_toxicity_on_held_out_and_disguised_texts(spark, none, odd):
