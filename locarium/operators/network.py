@@ -283,6 +283,39 @@ def sensitivity(base: dict[str, float], varied: dict[str, list[float]], solve, s
     return out
 
 
+def solved_anew(sites: DataFrame, nodes: DataFrame, chargers: DataFrame, widest: float, n: int, spacing: float, exactly: bool = False):
+    """``solve, summary`` for :func:`sensitivity` over ``score_weight``, ``radius`` and ``factor``: each variant a network of its own.
+
+    Demand and coverage both follow the radius, as when the network is built.
+    Distances up to the ``widest`` radius are found once and weights once for
+    each radius and factor; conflicts don't depend on any. ``solve`` is the
+    greedy network, or the exact one, which refuses instances over its size.
+    """
+    sites = stored(sites)
+    far = stored(pairs_within(nodes.select("node_id", "x", "y"), sites.select("candidate_id", "x", "y"), widest).select("candidate_id", "node_id", "dist"))
+    clashes = stored(conflicts(sites, spacing))
+    made: dict[tuple[float, float], DataFrame] = {}
+
+    def parts(radius: float, factor: float) -> tuple[DataFrame, DataFrame]:
+        if radius > widest:
+            raise ValueError(f"radius {radius:g} above {widest:g}")
+        if (radius, factor) not in made:
+            made[radius, factor] = stored(demand_weights(nodes, chargers, radius, factor))
+        return far.where(F.col("dist") <= radius).select("candidate_id", "node_id"), made[radius, factor]
+
+    def solve(score_weight: float, radius: float, factor: float) -> DataFrame:
+        cover, weights = parts(radius, factor)
+        if not exactly:
+            return greedy(cover, weights, clashes, sites, n, score_weight)
+        chosen, _, _ = solve_exact(cover, weights, clashes, sites, n, score_weight)
+        return sites.sparkSession.createDataFrame([(c,) for c in chosen], "candidate_id long")
+
+    def summary(chosen: DataFrame, score_weight: float, radius: float, factor: float) -> DataFrame:
+        return summarise(chosen, *parts(radius, factor), sites)
+
+    return solve, summary
+
+
 def reconcile(here: DataFrame, stored_before: DataFrame) -> DataFrame:
     """``method, missing, added, same``: whether selections ``(method, candidate_id)`` are those stored before."""
     a = here.select("method", "candidate_id", F.lit(1).alias("now"))

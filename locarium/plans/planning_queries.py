@@ -545,6 +545,43 @@ def n08_weight_check(spark: SparkSession, d: str) -> DataFrame:
     return _study(spark, d)[1]
 
 
+_BASE = {"score_weight": W.score_weight, "radius": W.service_m, "factor": W.charger_factor}
+_VARIED = {"score_weight": [0.0, W.score_weight, 0.5], "radius": [2000.0, W.service_m], "factor": [0.25, W.charger_factor]}
+
+
+def _solved_sql(n: int) -> str:
+    """The greedy network of the base and of each variant, every place a table of its own, and each variant's figures."""
+    ctes = [f"span AS MATERIALIZED (SELECT a.candidate_id, b.node_id, {sites._D} AS dist FROM {sites._within('eligible', 'nodes', 3000)} WHERE {sites._D} <= 3000)"]
+    ctes.append(f"clash AS MATERIALIZED (SELECT a.candidate_id AS a, b.candidate_id AS b FROM {sites._within('eligible', 'eligible', W.spacing_m)} WHERE {sites._D} < {W.spacing_m})")
+    variants = [("base", 0.0, _BASE)] + [(k, v, _BASE | {k: v}) for k, values in _VARIED.items() for v in values if v != _BASE[k]]
+    figures = []
+    for i, (parameter, value, p) in enumerate(variants):
+        near = f"EXISTS (SELECT 1 FROM open_chargers b WHERE {sites._D} <= {p['radius']})"
+        ctes.append(f"raw{i} AS MATERIALIZED (SELECT a.node_id, a.people, a.people * CASE WHEN {near} THEN {p['factor']} ELSE 1.0 END::DOUBLE AS raw FROM nodes a)")
+        ctes.append(f"w{i} AS MATERIALIZED (SELECT node_id, people, raw / (SELECT sum(raw) FROM raw{i}) AS weight FROM raw{i})")
+        ctes.append(f"near{i} AS MATERIALIZED (SELECT candidate_id, node_id, weight, people FROM span JOIN w{i} USING (node_id) WHERE dist <= {p['radius']})")
+        for nth in range(1, n + 1):
+            before = " UNION ALL ".join(f"SELECT candidate_id FROM v{i}_{k}" for k in range(1, nth))
+            free = f" WHERE e.candidate_id NOT IN ({before}) AND e.candidate_id NOT IN (SELECT b FROM clash WHERE a IN ({before}))" if before else ""
+            left = f" WHERE node_id NOT IN (SELECT node_id FROM near{i} WHERE candidate_id IN ({before}))" if before else ""
+            ctes.append(f"v{i}_{nth} AS MATERIALIZED (SELECT e.candidate_id FROM eligible e LEFT JOIN (SELECT candidate_id, sum(weight) AS w FROM near{i}{left} GROUP BY 1) g USING (candidate_id){free} ORDER BY round(coalesce(w, 0) + CAST({p['score_weight']} AS DOUBLE) * e.score / (SELECT sum(score) FROM eligible), 12) DESC, e.candidate_id LIMIT 1)")
+        ctes.append(f"s{i} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT candidate_id FROM v{i}_{k}" for k in range(1, n + 1)) + ")")
+        if i:
+            got = f"(SELECT DISTINCT node_id, weight, people FROM near{i} WHERE candidate_id IN (FROM s{i}))"
+            figures.append(f"SELECT '{parameter}' AS parameter, CAST({value} AS DOUBLE) AS value, coalesce((SELECT round(sum(weight), 9) FROM {got}), 0.0) AS demand, round((SELECT coalesce(sum(people), 0) FROM {got}) / (SELECT sum(people) FROM nodes), 9) AS people_share, (SELECT count(DISTINCT province_id) FROM eligible JOIN districts USING (district_id) WHERE candidate_id IN (FROM s{i})) AS provinces, (SELECT count(*) FROM s{i} WHERE candidate_id IN (FROM s0)) AS overlap")
+    return sites._PROBLEM.rstrip() + ", " + ", ".join(ctes) + " " + " UNION ALL ".join(figures)
+
+
+@query(_solved_sql(4))
+def n07_solved_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """The network solved anew with each parameter off its default."""
+    s = sites._problem(spark, d)[0]
+    px, ch = (world.layer(spark, d, n) for n in ("pixels", "chargers"))
+    widest = max(_VARIED["radius"])
+    solve, summary = network.solved_anew(s, stored(network.demand_nodes(px, 2500)), stored(features.production_chargers(ch)), widest, 4, W.spacing_m)
+    return network.sensitivity(_BASE, _VARIED, solve, summary)
+
+
 # --- knowledge ----------------------------------------------------------------------------------------
 
 

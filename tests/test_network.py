@@ -127,3 +127,46 @@ def test_radius_study(spark):
     here, moved = solve(10, weights(15)), solve(10, weights(10))
     (check,) = checks.collect()
     assert tuple(check) == (10.0, len(set(here) & set(moved)), pytest.approx(share(here, 10), abs=1e-8), pytest.approx(share(moved, 10), abs=1e-8))
+
+
+@pytest.mark.parametrize("exactly", [False, True])
+def test_sensitivity_solves_each_variant(spark, exactly):
+    """Against plain passes (greedy) or all choices (exact) of small instances; demand and coverage follow the radius."""
+    rng = np.random.default_rng(11)
+    s = [(i, float(rng.integers(0, 60)), float(rng.integers(0, 60)), i % 3, i % 5, float(rng.random())) for i in range(14)]
+    nodes = [(i, int(rng.integers(1, 90)), float(rng.integers(0, 60)), float(rng.integers(0, 60))) for i in range(30)]
+    ch = [(i, float(rng.integers(0, 60)), float(rng.integers(0, 60))) for i in range(3)]
+    sites = spark.createDataFrame(s, "candidate_id long, x double, y double, province_id long, district_id long, score double")
+    base, varied = {"score_weight": 0.01, "radius": 15.0, "factor": 0.5}, {"score_weight": [0.0, 0.01, 3.0], "radius": [10.0, 15.0], "factor": [0.1]}
+    solve, summary = network.solved_anew(sites, spark.createDataFrame(nodes, "node_id long, people long, x double, y double"), spark.createDataFrame(ch, "charger_id long, x double, y double"), 15.0, 3, 12.0, exactly)
+    got = {(r["parameter"], r["value"]): r for r in network.sensitivity(base, varied, solve, summary).collect()}
+    with pytest.raises(ValueError, match="above"):
+        solve(0.01, 16.0, 0.5)
+    at = lambda t: np.array([r[-2:] for r in t])
+    p, q, c = np.array([r[1:3] for r in s]), at(nodes), at(ch)
+    d = lambda a, b: np.sqrt(((a[:, None] - b) ** 2).sum(-1))
+    people, clash = np.array([n[1] for n in nodes]), d(p, p) < 12
+    score = np.array([r[5] for r in s])
+
+    def best(score_weight, radius, factor):
+        raw = people * np.where((d(q, c) <= radius).any(1), factor, 1.0)
+        w, cover, bonus = raw / raw.sum(), d(p, q) <= radius, score_weight * score / score.sum()
+        value = lambda t: float(w[cover[list(t)].any(0)].sum() + bonus[list(t)].sum())
+        if exactly:
+            chosen = max((t for t in itertools.combinations(range(14), 3) if not any(clash[a, b] for a, b in itertools.combinations(t, 2))), key=value)
+        else:
+            chosen = []
+            for _ in range(3):
+                free = [i for i in range(14) if i not in chosen and not clash[i, chosen].any()]
+                chosen.append(max(free, key=lambda i: (round(value([*chosen, i]), 12), -i)))
+        seen = cover[list(chosen)].any(0)
+        return set(chosen), w[seen].sum(), people[seen].sum() / people.sum()
+
+    first = best(**base)[0]
+    want = [(k, v) for k, values in varied.items() for v in values if v != base[k]]
+    assert set(got) == set(want)
+    for k, v in want:
+        chosen, demand, share = best(**(base | {k: v}))
+        r = got[k, v]
+        assert (r["demand"], r["people_share"]) == (pytest.approx(demand, abs=1e-8), pytest.approx(share, abs=1e-8))
+        assert r["overlap"] == len(chosen & first) and r["provinces"] == len({i % 3 for i in chosen})
