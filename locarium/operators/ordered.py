@@ -134,5 +134,6 @@ def spaced_top(ranked: DataFrame, key: str, radius: float, n: int) -> DataFrame:
         if open_.isEmpty():
             break
         live = stored(live.join(gone.select(F.col("id").alias("a_id")), "a_id", "left_anti").join(open_.select(F.col("id").alias("b_id")), "b_id", "left_semi").join(open_.select(F.col("id").alias("a_id")), "a_id", "left_semi"))
-    out = table.join(taken, "id", "left_semi").withColumn("nth", F.row_number().over(Window.orderBy("rank")).cast("long"))
-    return out.where(F.col("nth") <= n).select(F.col("id").alias(key), "nth")
+    # cut first: no more than n rows are numbered in one task
+    out = table.join(taken, "id", "left_semi").orderBy("rank").limit(n)
+    return out.select(F.col("id").alias(key), F.row_number().over(Window.orderBy("rank")).cast("long").alias("nth"))

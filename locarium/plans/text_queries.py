@@ -75,7 +75,7 @@ def t11_index_terms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_RANKED} SELECT query_id, chunk_id, round(score, 6) AS score, nth, total FROM ranked WHERE nth <= 10")
 def t12_bm25(spark: SparkSession, d: str) -> DataFrame:
     index, _, queries = _index(spark, d)
-    return retrieval.rank(index, queries).where("nth <= 10").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "nth", "total")
+    return retrieval.rank(index, queries, most=10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "nth", "total")
 
 
 @query(f"{_RANKED}, kept AS (SELECT r.query_id, r.chunk_id, r.score FROM ranked r JOIN chunks c USING (chunk_id) JOIN queries q USING (query_id) WHERE c.doc_type = 'en' AND c.topic = 'src1' AND length(q.text) <= 500) SELECT query_id, chunk_id, round(score, 6) AS score, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS nth FROM kept) WHERE nth <= 5")

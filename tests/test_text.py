@@ -46,6 +46,21 @@ def test_bm25_by_hand_and_bounds(spark):
             retrieval.search(index, queries, bad)
 
 
+def test_best_of_each_query_without_all_of_them(spark):
+    """A cut ranking has the rows and totals of the whole one; ties go by chunk id, a query without matches has none."""
+    chunks = spark.createDataFrame([(i, "common " + "rare " * (i % 3 == 0) + f"w{i % 7}") for i in range(200)], "chunk_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(0, "common"), (1, "rare w3"), (2, "nothing"), (3, "w1")], "query_id long, text string")
+    index = retrieval.build_index(chunks)
+    key = lambda r: (r["query_id"], r["nth"], r["chunk_id"], r["score"], r["total"], tuple(r["matched_terms"]))
+    whole = sorted(map(key, retrieval.rank(index, queries).collect()))
+    for most in (1, 4, 500):
+        assert sorted(map(key, retrieval.rank(index, queries, most=most).collect())) == [r for r in whole if r[1] <= most]
+    assert [r[2] for r in whole if r[0] == 0][:3] != [] and {r[0]: r[4] for r in whole}.get(0) == 200 and 2 not in {r[0] for r in whole}
+    even = retrieval.search(index, queries.where("query_id < 2"), 3, F.col("chunk_id") % 2 == 0, chunks).collect()
+    by = {q: [r for r in whole if r[0] == q and r[2] % 2 == 0] for q in (0, 1)}
+    assert sorted((r["query_id"], r["nth"], r["chunk_id"], r["total"]) for r in even) == [(q, i + 1, r[2], len(by[q])) for q in by for i, r in enumerate(by[q][:3])]
+
+
 def test_sections_outside_fences(spark):
     doc = "# T\nintro\n## A\none\n\ntwo\n```\n# no\n\nx\n```\n### B\n- i\n- j"
     docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
