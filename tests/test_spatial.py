@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from locarium.functions import geo
@@ -52,3 +53,20 @@ def test_projection_control_point(spark):
     lon, lat = geo.unproject(F.lit(row["x"]), F.lit(row["y"]))
     back = spark.range(1).select(lon, lat).first()
     assert abs(back[0] - 30.06) < 1e-9 and abs(back[1] + 1.95) < 1e-9
+
+
+def test_disc_sums_form_no_pairs_and_hold_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    grid = lambda n: [(i, float(x), float(y), int(v)) for i, (x, y, v) in enumerate(rng.integers([0, 0, -50], [400, 400, 50], (n, 3)))]
+    p, s = grid(150), [*grid(900), (900, 10.0, 10.0, 2**62), (901, 10.0, 10.0, -(2**62)), (902, 500.0, 500.0, 7), (903, None, 1.0, 7), (904, float("nan"), 1.0, 7), (905, 20.0, 20.0, None)]
+    p += [(200, 500.0, 400.0, 0), (201, 430.0, 440.0, 0), (202, None, 1.0, 0), (203, -5000.0, 1.0, 0)]
+    points, src = spark.createDataFrame(p, "id long, x double, y double, v long"), spark.createDataFrame(s, "s long, x double, y double, v long")
+    monkeypatch.setattr(spatial, "pairs_within", None)
+    monkeypatch.setattr(spatial, "GROUP", 40)
+    near = lambda a, r: [b for b in s if b[1] is not None and a[1] is not None and np.hypot(a[1] - b[1], a[2] - b[2]) <= r]
+    got = {r["id"]: (r["a"], r["b"]) for r in spatial.sum_within(points, src, "id", "v", {"a": 30, "b": 100}).collect()}
+    assert got == {a[0]: tuple(sum(b[3] or 0 for b in near(a, r)) for r in (30, 100)) for a in p}
+    got = {r["id"]: (r["a"], r["b"]) for r in spatial.count_within(points, src, "id", {"a": 100, "b": 5}).collect()}
+    assert got == {a[0]: tuple(len(near(a, r)) for r in (100, 5)) for a in p}
+    got = {r["id"]: r["a"] for r in spatial.count_within(points, src, "id", {"a": 100}, inclusive=False).collect()}
+    assert got[200] == sum(np.hypot(500 - b[1], 400 - b[2]) < 100 for b in s if b[1] is not None) < len(near(p[150], 100))
