@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from locarium.functions import geo
-from locarium.operators import spatial
+from locarium.operators import features, spatial
 
 
 def points(spark, rows, key="id"):
@@ -70,3 +70,23 @@ def test_disc_sums_form_no_pairs_and_hold_against_all_pairs(spark, monkeypatch):
     assert got == {a[0]: tuple(len(near(a, r)) for r in (100, 5)) for a in p}
     got = {r["id"]: r["a"] for r in spatial.count_within(points, src, "id", {"a": 100}, inclusive=False).collect()}
     assert got[200] == sum(np.hypot(500 - b[1], 400 - b[2]) < 100 for b in s if b[1] is not None) < len(near(p[150], 100))
+
+
+def test_nearest_starts_small_among_dense_sources(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    b = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 100, (1500, 2)))] + [(9000, 4000.0, 0.0)]
+    a = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 300, (60, 2)))] + [(100, 9000.0, 0.0), (101, None, 0.0)]
+    radii, join = [], spatial.pairs_within
+    monkeypatch.setattr(spatial, "pairs_within", lambda left, right, radius: radii.append(radius) or join(left, right, radius))
+    got = {r["id"]: (r["dist"], r["s"]) for r in spatial.nearest(points(spark, a), points(spark, b, "s"), "id", "s", 2000).collect()}
+    assert got.pop(101) == (None, None)
+    assert got == {p[0]: min((float(np.sqrt((p[1] - s[1]) ** 2 + (p[2] - s[2]) ** 2)), s[0]) for s in b) for p in a if p[1] is not None}
+    assert radii[0] < 20
+
+
+def test_poi_counts_form_no_pairs_and_leave_out_the_own_host(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "pairs_within", None)
+    pois = spark.createDataFrame([(1, "food", 0.0, 0.0), (1, "food", 0.0, 5.0), (2, None, 50.0, 0.0), (3, "food", 0.0, 80.0), (None, "food", 10.0, 0.0), (4, "fuel", 500.0, 0.0)], "poi_id long, kind string, x double, y double")
+    cand = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, None, 0.0, 0.0), (3, 4, 0.0, 0.0), (4, 3, 900.0, 900.0)], "candidate_id long, host_poi_id long, x double, y double")
+    got = {r[0]: tuple(r)[1:] for r in features.poi_counts(cand, pois, (20, 100), ("food",)).collect()}
+    assert got == {1: (1, 3, 1, 2), 2: (2, 4, 2, 3), 3: (3, 5, 3, 4), 4: (0, 0, 0, 0)}
