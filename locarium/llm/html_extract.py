@@ -1,15 +1,14 @@
-"""Main text of web pages: suffix arrays of each host's pages, with the markup as a hint.
+"""Main text of web pages: runs of words that recur on a host's pages, with the markup as a hint.
 
 A page's markup gives blocks of text in three zones: chrome (menus, headers,
 footers, forms, adverts, comments ...), content (inside an article or main
-element) and the rest. Chrome never counts. The pages of a host, dealt into
-chunks of bounded size, are concatenated into one token stream whose suffixes,
-sorted by their first ``RUN`` tokens, show the runs that recur on pages of
-distinct text; whole blocks that recur anywhere on the host are counted
-besides over all its pages. What such runs cover is taken out of a block: in
-the rest, where a page has no content element, every run that recurs; in
-content only runs that surely stand on most pages, since articles may well
-share passages. The unique runs stay.
+element) and the rest. Chrome never counts. Over the pages of a host that have
+distinct text, the runs of ``RUN`` tokens and whole blocks are counted by
+their hashes, chunk by chunk, and the counts summed over the host. What such
+runs cover is taken out of a block: in the rest, where a page has no content
+element, every run that recurs; in content only runs that surely stand on most
+pages, since articles may well share passages. The unique runs stay.
+``host_texts`` does the same for pages in memory by suffix arrays.
 """
 
 from __future__ import annotations
@@ -307,55 +306,178 @@ def block_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def window_hashes(tokens: list[str], run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of every run of ``run`` tokens, in order."""
+    n = len(tokens) - run + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    known = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(tokens)}
+    h = np.array([known[w] for w in tokens], np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(run):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    return out.view(np.int64)
+
+
+def _covering(windows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int, run: int) -> np.ndarray:
+    """For each of ``n`` tokens the largest count of the windows over it; windows that aren't among ``hashes`` count as 0."""
+    most = np.zeros(n, np.int64)
+    if len(hashes) and len(windows):
+        order = np.argsort(hashes)
+        at = np.minimum(np.searchsorted(hashes[order], windows), len(hashes) - 1)
+        found = np.where(hashes[order][at] == windows, counts[order][at], 0)
+        for k in range(run):
+            np.maximum(most[k : k + len(found)], found, out=most[k : k + len(found)])
+    return most
+
+
+def page_text(texts: list[str], zones: list[int], hashes: np.ndarray, counts: np.ndarray, gone_blocks: set[int], run: int = RUN) -> str:
+    """The main text of one page: ``hashes`` are the runs to be taken out, with the streams that have them, ``gone_blocks`` the whole blocks."""
+    at = [k for k, z in enumerate(zones) if z != CHROME]
+    said = [texts[k].split() for k in at]
+    tokens = [w for b in said for w in b]
+    most = _covering(window_hashes(tokens, run), hashes, counts, len(tokens), run)
+    has_content, stay, place = CONTENT in zones, [], 0
+    for k, words in zip(at, said, strict=True):
+        n = len(words)
+        here = most[place : place + n]
+        place += n
+        if (has_content and zones[k] != CONTENT) or (gone_blocks and block_hash(texts[k]) in gone_blocks) or (here > 0).all():
+            continue
+        gone = _stretches(here > 0, here, run)
+        stay.append(" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else texts[k])
+    return "\n\n".join(stay)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, chunk: int = CHUNK) -> DataFrame:
     """``id, url, text, n_chars`` for every page; text is empty if there is none.
 
-    A host's pages are dealt by their text's hash into chunks of some
-    ``chunk`` characters, so that copies meet; pages without a host (null or
-    odd urls) form one of their own. Null html is an empty page. Repeated rows
-    are all returned; columns beside the three named are not read. What recurs
-    is taken out of a block, and its unique words stay, however few.
+    A host's pages are dealt by their text's hash into chunks of some ``chunk``
+    characters, so that copies meet; results don't depend on it. A chunk gives
+    the counts of its blocks, and of the runs on ``WIDE`` of its streams: a run
+    on more than that share of a host's streams is one of these in some chunk.
+    Those that other chunks left out and that could be wide are counted again
+    over the host. Pages without content, of which every run that recurs is
+    taken, look their runs up among all of the host. Pages without a host (null
+    or odd urls) form one of their own. Null html is an empty page. Repeated
+    rows are all returned; columns beside the three named are not read. What
+    recurs is taken out of a block, and its unique words stay, however few.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     chunks = stored(rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0)) + 1) / chunk).cast("int").alias("chunks")))
+    empty = np.zeros(0, np.int64)
 
-    def heard(page: str | None) -> tuple[list[str], list[int], list[str], int]:
-        texts, zones = blocks(page)
-        said = [t for t, z in zip(texts, zones, strict=True) if z != CHROME]
-        return texts, zones, said, block_hash("\n".join(said))
+    def said_of(texts: list[str], zones: list[int]) -> str:
+        return "\n".join(t for t, z in zip(texts, zones, strict=True) if z != CHROME)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [heard(h) for h in b["html"]]
-            yield b.drop(columns="html").assign(stream=[g[3] for g in got], texts=[g[0] for g in got], zones=[g[1] for g in got])
+    def stream_of(said: str) -> int:
+        return block_hash(said.replace("\n", " "))
+
+    def long_blocks(said: str) -> set[int]:
+        return {block_hash(t) for t in said.split("\n") if t.count(" ") + 1 >= run}
+
+    def windows_of(said: str) -> np.ndarray:
+        return window_hashes(said.split(), run)
 
-    def long_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def heard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: list[tuple[str, int, int]] = []
-            for at, h in zip(b["host"], b["html"], strict=True):
-                _, _, said, stream = heard(h)
-                out += [(at, k, stream) for k in {block_hash(t) for t in said if len(t.split()) >= run}]
-            yield pd.DataFrame(out, columns=["host", "block", "stream"]).drop_duplicates()
-
-    held = stored(rows.mapInPandas(long_blocks, "host string, block long, stream long"))
-    # pages of equal text, of one stream, count as one
-    counts = held.groupBy("host", "block").agg(F.count_distinct("stream").alias("n")).where("n > 1")
-    of_host = chunks.join(held.groupBy("host").agg(F.count_distinct("stream").alias("streams")), "host")
-    told_of = counts.join(of_host, "host").select("host", "block", "chunks", _surely_wide(F.col("n"), F.col("streams")).alias("wide"))
-    flags = held.join(told_of, ["host", "block"]).groupBy("host", "stream", "chunks").agg(F.collect_set(F.struct("block", "wide")).alias("common"))
+            got = [blocks(h) for h in b["html"]]
+            said = [said_of(*g) for g in got]
+            yield pd.DataFrame({"host": b["host"], "stream": [stream_of(t) for t in said], "said": said, "open": [CONTENT not in g[1] for g in got]}).drop_duplicates()
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        said = group["said"].unique().tolist()
+        held = [b for t in said if (b := long_blocks(t))]
+        streams = {t.replace("\n", " "): t for t in said}
+        seen = [np.unique(windows_of(t)) for t in streams.values()]
+        windows, n = np.unique(np.concatenate([empty, *seen]), return_counts=True)
+        # a host of one chunk is told here; of several, what is wide over all is so in a chunk
+        much = _surely_wide(n, len(streams)) if group["chunks"].iloc[0] == 1 else n >= WIDE * len(streams)
+        of_blocks, m = np.unique(np.array([k for b in held for k in b], np.int64), return_counts=True)
+        few = [(0, 0, len(streams)), (1, 0, len(held)), (2, 0, int(group["open"].sum()))]
+        out = [pd.DataFrame(few, columns=["kind", "hash", "n"]), pd.DataFrame({"kind": 3, "hash": of_blocks, "n": m}), pd.DataFrame({"kind": 4, "hash": windows[much], "n": n[much]})]
+        return pd.concat(out, ignore_index=True).assign(host=group["host"].iloc[0], of=len(streams))[["host", "kind", "hash", "n", "of"]].astype({"kind": "int32", "hash": "int64", "n": "int64", "of": "int64"})
+
     deal = F.pmod("stream", "chunks").cast("int").alias("chunk")
+    said = rows.select("host", "html").mapInPandas(heard, "host string, stream long, said string, open boolean").join(chunks, "host").select("host", deal, "chunks", "said", "open")
+    told = stored(said.groupBy("host", "chunk").applyInPandas(count, "host string, kind int, hash long, n long, of long"))
+    total = lambda kind, name: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(name)
+    hosts = stored(told.where("kind < 3").groupBy("host").agg(total(0, "streams"), total(1, "long"), total(2, "open")))
+    summed = told.where("kind >= 3").groupBy("host", "kind", "hash").agg(F.sum("n").alias("n"), F.sum("of").alias("of")).join(hosts, "host")
+    common = summed.where("kind = 3 and n > 1").select("host", F.col("hash").alias("block"), _surely_wide(F.col("n"), F.col("long")).alias("wide"), "open")
+    wide_blocks = common.where("wide").groupBy("host").agg(F.collect_set("block").alias("blocks"))
+    could = stored(summed.where("kind = 4").where(_surely_wide(F.col("n") + WIDE * (F.col("streams") - F.col("of")), F.col("streams"))).select("host", "hash", "n", "streams", (F.col("of") < F.col("streams")).alias("unsure")))
+    listed = lambda df: df.groupBy("host").agg(F.collect_list("hash").alias("hashes"), F.collect_list("n").alias("counts"))
+    sure = could.where("not unsure").select("host", "hash", "n", "streams")
+    unsure = could.where("unsure")
+    if not unsure.isEmpty():
+
+        def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out: list[tuple[str, int, int]] = []
+                for at, h, wanted in zip(b["host"], b["html"], b["hashes"], strict=True):
+                    text = said_of(*blocks(h))
+                    out += [(at, int(k), stream_of(text)) for k in np.intersect1d(windows_of(text), wanted)]
+                yield pd.DataFrame(out, columns=["host", "hash", "stream"]).drop_duplicates()
+
+        where = rows.select("host", "html").join(listed(unsure).drop("counts"), "host").mapInPandas(again, "host string, hash long, stream long")
+        sure = sure.unionByName(where.groupBy("host", "hash").agg(F.count_distinct("stream").alias("n")).join(hosts.select("host", "streams"), "host"))
+    wide = listed(sure.where(_surely_wide(F.col("n"), F.col("streams"))))
     kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
-    parsed = rows.mapInPandas(parse, f"id {kind}, url {url_kind}, host string, stream long, texts array<string>, zones array<int>").join(chunks, "host")
-    none = F.lit(None)
-    given = parsed.select("host", deal, "id", "url", "stream", "texts", "zones", none.cast("array<bigint>").alias("blocks"), none.cast("array<boolean>").alias("wide"))
-    told = flags.select("host", deal, none.cast(kind).alias("id"), none.cast(url_kind).alias("url"), "stream", none.cast("array<string>").alias("texts"), none.cast("array<int>").alias("zones"), F.col("common.block").alias("blocks"), F.col("common.wide").alias("wide"))
-
-    def main(group: pd.DataFrame) -> pd.DataFrame:
-        there = group["texts"].notna()
-        common = {p: dict(zip(b.tolist(), w.tolist(), strict=True)) for p, b, w in group.loc[~there, ["stream", "blocks", "wide"]].itertuples(index=False)}
-        group = group[there].sort_values(["stream"], kind="stable")
-        said = host_texts([(list(t), list(z)) for t, z in zip(group["texts"], group["zones"], strict=True)], run, [common.get(p, {}) for p in group["stream"]])
-        return pd.DataFrame({"id": group["id"], "url": group["url"], "text": pd.Series(said, index=group.index, dtype=object), "n_chars": [len(s) for s in said]})
-
-    return given.unionByName(told).groupBy("host", "chunk").applyInPandas(main, f"id {kind}, url {url_kind}, text string, n_chars long")
+    shape = f"id {kind}, url {url_kind}, text string, n_chars long"
+
+    def given(b: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, set[int]]]:
+        some = lambda v: empty if v is None else np.asarray(v, np.int64)
+        return [(some(h), some(n), set(some(k).tolist())) for h, n, k in zip(b["hashes"], b["counts"], b["blocks"], strict=True)]
+
+    def result(b: pd.DataFrame, texts: list[str], at: list[int]) -> pd.DataFrame:
+        b = b.iloc[at]
+        return pd.DataFrame({"id": b["id"], "url": b["url"], "text": pd.Series(texts, index=b.index, dtype=object), "n_chars": [len(t) for t in texts]})
+
+    def of_content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [blocks(h) for h in b["html"]]
+            at = [i for i, g in enumerate(got) if CONTENT in g[1]]
+            facts = given(b)
+            yield result(b, [page_text(*got[i], *facts[i], run) for i in at], at)
+
+    # stored, so that Spark knows how small it is and leaves the pages where they lie
+    facts = stored(wide.join(wide_blocks, "host", "full"))
+    out = rows.join(facts, "host", "left").mapInPandas(of_content, shape)
+    loose = stored(hosts.where("open > 0").select("host"))
+    if loose.isEmpty():
+        return out
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pieces = []
+            for at, h in zip(b["host"], b["html"], strict=True):
+                texts, zones = blocks(h)
+                text, is_open = said_of(texts, zones), CONTENT not in zones
+                hashes = [np.unique(windows_of(text)), np.array(sorted(long_blocks(text)) if is_open else [], np.int64)]
+                pieces += [pd.DataFrame({"host": at, "stream": stream_of(text), "block": k == 1, "hash": v, "open": is_open}) for k, v in enumerate(hashes)]
+            yield pd.concat(pieces, ignore_index=True) if pieces else pd.DataFrame({"host": [], "stream": [], "block": [], "hash": [], "open": []})
+
+    whole = rows.join(loose, "host", "left_semi")
+    held = stored(whole.select("host", "html").mapInPandas(parts, "host string, stream long, block boolean, hash long, open boolean"))
+    again_n = held.where("not block").groupBy("host", "hash").agg(F.count_distinct("stream").alias("n"), F.max("open").alias("open")).where("open and n > 1").select("host", "hash", "n")
+    mine = held.where("open").select("host", "stream", "block", "hash").distinct()
+    runs = mine.where("not block").join(again_n, ["host", "hash"]).groupBy("host", "stream").agg(F.collect_list(F.struct("hash", "n")).alias("runs")).select("host", "stream", F.col("runs.hash").alias("hashes"), F.col("runs.n").alias("counts"))
+    gone = mine.where("block").join(common.select("host", F.col("block").alias("hash")), ["host", "hash"]).groupBy("host", "stream").agg(F.collect_set("hash").alias("blocks"))
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [blocks(h) for h in b["html"]]
+            at = [i for i, g in enumerate(got) if CONTENT not in g[1]]
+            said = [[(t, z) for t, z in zip(*got[i], strict=True) if z != CHROME] for i in at]
+            of = [stream_of("\n".join(t for t, _ in s)) for s in said]
+            yield b.iloc[at].drop(columns="html").assign(stream=of, texts=pd.Series([[t for t, _ in s] for s in said], index=b.index[at], dtype=object))
+
+    def of_open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [page_text(list(t), [OPEN] * len(t), *f, run) for t, f in zip(b["texts"], given(b), strict=True)]
+            yield result(b, texts, list(range(len(b))))
+
+    bare = whole.mapInPandas(opened, f"id {kind}, url {url_kind}, host string, stream long, texts array<string>")
+    return out.unionByName(bare.join(runs, ["host", "stream"], "left").join(gone, ["host", "stream"], "left").mapInPandas(of_open, shape))

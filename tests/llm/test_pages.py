@@ -115,3 +115,22 @@ def test_names_of_chrome_as_wholes():
         assert html_extract.blocks(f'<article><div class="x {name}">gone</div><p>text</p></article>')[1] == [html_extract.CHROME, html_extract.CONTENT], name
     for name in ("social-history", "search-theory", "notice-board-article", "adverb", "shared"):
         assert html_extract.blocks(f'<article><div class="{name}">stays</div></article>')[1] == [html_extract.CONTENT], name
+
+
+def test_chunks_change_nothing(spark):
+    """Runs inside blocks that only pages of different chunks share, and runs of content on about the share that counts as most pages."""
+    rng = random.Random(11)
+    rare, often, seldom, pages = prose(700, 12), prose(710, 15), prose(720, 15), []
+    for i in range(90):
+        own = f"{prose(1000 + i, 12)} {rare if i in (3, 77) else prose(7000 + i, 9)} {prose(2000 + i, 12)}"
+        more = [f"{prose(3000 + i, 20)} {often}"] * (rng.random() < 0.75) + [f"{seldom} {prose(4000 + i, 20)}"] * (rng.random() < 0.6)
+        pages.append((i, "http://a.example/", "".join(f"<p>{t}</p>" for t in (own, prose(5000 + i // 2, 9)))))
+        pages.append((100 + i, "http://b.example/", "<article>" + "".join(f"<p>{t}</p>" for t in [own, *more]) + "</article>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {}
+    for host in "ab":
+        mine = [p for p in pages if host + ".ex" in p[1]]
+        want |= dict(zip([p[0] for p in mine], html_extract.host_texts([html_extract.blocks(p[2]) for p in mine]), strict=True))
+    assert rare not in want[3] and rare in want[103] and not any(often in t for t in want.values())
+    for chunk in (html_extract.CHUNK, 6000):
+        assert {r["id"]: r["text"] for r in html_extract.extract(df, chunk=chunk).collect()} == want
