@@ -143,3 +143,36 @@ def test_known_chargers_by_source(spark):
     none, without = features.known_chargers(stations.limit(0), places, None, ("amenity=fuel",), 900.0, sockets_count=False)
     assert none.count() == 0
     assert {r["source"]: tuple(r)[1:] for r in without.collect()} == {"charging_stations": (0, 0, 0, 0, "ok"), "fuel_with_sockets": (1, 1, 0, 0, "ok"), "manual": (0, 0, 0, 0, "missing")}
+
+
+def test_dense_chargers_chain_without_their_pairs(spark, monkeypatch):
+    """Chains of a dense town, of a thin line and of gaps about the radius, against all pairs; the town's pairs aren't formed."""
+    import random
+
+    from locarium.operators import features, spatial
+
+    rng = random.Random(7)
+    xy = [(rng.randrange(300), rng.randrange(300)) for _ in range(900)] + [(400 + 100 * i, 0) for i in range(5)] + [(3000 + 101 * i, 0) for i in range(4)] + [(6000 + rng.randrange(900), rng.randrange(900)) for _ in range(60)]
+    rows = [(i, i % 3, float(x), float(y)) for i, (x, y) in enumerate(rng.sample(xy, len(xy)))]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(rows):
+        for j in range(i):
+            if (a[2] - rows[j][2]) ** 2 + (a[3] - rows[j][3]) ** 2 <= 100**2:
+                u, v = sorted((find(i), find(j)))
+                root[v] = u
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        first.setdefault(find(r[0]), r[0])
+    seen, join = [], spatial.pairs_within
+    monkeypatch.setattr(spatial, "pairs_within", lambda a, b, radius: seen.append(a.count()) or join(a, b, radius))
+    df = spark.createDataFrame([*rows, (5000, 0, None, None)], "charger_id long, source_rank int, x double, y double")
+    got = {r["charger_id"]: r["site_id"] for r in features.merge_chargers(df, 100).collect()}
+    assert got.pop(5000) == 5000
+    assert got == {r[0]: first[find(r[0])] for r in rows}
+    assert all(n < 200 for n in seen)
