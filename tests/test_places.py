@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -176,3 +177,25 @@ def test_dense_chargers_chain_without_their_pairs(spark, monkeypatch):
     assert got.pop(5000) == 5000
     assert got == {r[0]: first[find(r[0])] for r in rows}
     assert all(n < 200 for n in seen)
+
+
+def test_resampling_of_the_best_alone_loses_nothing(spark):
+    n, runs, ks = 90, 20, (5, 10)
+    rows = [(i, i % 7 == 0, float(i * 37 % 90), float(-i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "candidate_id long, hit boolean, a double, b double")
+    md5 = lambda *v: hashlib.md5(":".join(map(str, v)).encode()).hexdigest()
+    share = lambda hits, k: sum(hits[:k]) / k
+    found = {m: {k: [] for k in ks} for m in ("random", "a", "b")}
+    for run in range(runs):
+        order = [h for _, h in sorted((md5(7, run, i), h) for i, h, _, _ in rows)]
+        drawn = [(p, rows[int(md5(7, run, p)[:8], 16) % n]) for p in range(1, n + 1)]
+        best = {m: [r[1] for _, r in sorted(drawn, key=lambda d, c=c: (-d[1][c], d[1][0], d[0]))] for m, c in (("a", 2), ("b", 3))}
+        for m, hits in {"random": order, **best}.items():
+            for k in ks:
+                found[m][k].append(share(hits, k))
+    low = lambda v: round(float(np.quantile(v, 0.025)), 9)
+    for near in (None, 1, 12):  # too few in every run, in some, in none
+        base = {r["k"]: r["low"] for r in evaluation.random_baseline(df, ks, 7, runs, near).collect()}
+        assert base == {k: low(v) for k, v in found["random"].items()}
+        got = {(r["method"], r["k"]): r["low"] for r in evaluation.bootstrap(df, ("a", "b"), ks, 7, runs, near).collect()}
+        assert all(got[m, k] == low(found[m][k]) for m in "ab" for k in ks)
