@@ -239,3 +239,23 @@ def test_outlines_stay_joined_and_never_cross(spark):
             x, y = (o[0] * s[1] - o[1] * s[0]) / det, (o[0] * r[1] - o[1] * r[0]) / det
             assert not (1e-6 < x < 1 - 1e-6 and 1e-6 < y < 1 - 1e-6)
     assert got[4]["label"] is not None and arrangement._holds(as_array(got[1]["polygons"][0][0]), np.array(tuple(got[1]["label"])))
+
+
+def test_contacts_of_long_segments_and_of_far_boxes(spark):
+    rng = np.random.default_rng(3)
+    lines = [(i, *map(float, rng.integers(-20, 20, 4))) for i in range(30)] + [(30, -20.0, -20.0, 20.0, 20.0), (31, -10.0, -10.0, 15.0, 15.0)]
+    df = spark.createDataFrame(lines, "seg int, x1 double, y1 double, x2 double, y2 double")
+    b = df.withColumnsRenamed({"seg": "other", "x1": "u1", "y1": "v1", "x2": "u2", "y2": "v2"})
+    found = []
+    for cell in (1.5, 100.0):
+        rows = arrangement.contacts(df, b, cell, where=F.col("seg") < F.col("other")).collect()
+        assert len(rows) == len({(r["seg"], r["other"]) for r in rows})  # once, in however many cells they meet
+        found.append({(r["seg"], r["other"], r["kind"], tuple(map(tuple, r["points"]))) for r in rows})
+    assert found[0] == found[1] and (30, 31, "overlap", ((-10.0, -10.0), (15.0, 15.0))) in found[0]
+
+
+def test_points_inside_step_by_step(spark):
+    shapes = {1: ring((0, 0), (10, 0), (10, 10), (8, 10), (8, 2), (2, 2), (2, 10), (0, 10)), 2: ring((0, 0), (4, 0), (2, 9)), 3: ring((1, 1), (5, 1))}
+    df = spark.createDataFrame(list(shapes.items()), f"id int, ring {RING}")
+    rows = arrangement.with_point_inside(df, "ring", "p").withColumn("q", arrangement.point_inside(F.col("ring"))).collect()
+    assert len(rows) == 3 and all(r["p"] == r["q"] for r in rows) and set(rows[0].asDict()) == {"id", "ring", "p", "q"}
