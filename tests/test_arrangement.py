@@ -259,3 +259,16 @@ def test_points_inside_step_by_step(spark):
     df = spark.createDataFrame(list(shapes.items()), f"id int, ring {RING}")
     rows = arrangement.with_point_inside(df, "ring", "p").withColumn("q", arrangement.point_inside(F.col("ring"))).collect()
     assert len(rows) == 3 and all(r["p"] == r["q"] for r in rows) and set(rows[0].asDict()) == {"id", "ring", "p", "q"}
+
+
+def test_chains_go_on_from_batch_to_batch(spark):
+    corners = [(float(10 * i), float(i % 3)) for i in range(12)]
+    rows = [(*a, *b, "trunk") for a, b in itertools.pairwise(corners)] + [(0.0, 50.0, 90.0, 50.0, "trunk"), (0.0, 60.0, 1.0, 60.0, "trunk")]
+    roads = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, road_class string")
+    found, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for size in ("2", before):
+        spark.conf.set(name, size)
+        found.append(sorted(map(tuple, hosts.corridor_points(roads, ("trunk",), 8, 25).select("from.x", "from.y", "to.x", "nth", "x", "y").collect())))
+    spark.conf.set(name, before)
+    assert found[0] == found[1] and {r[:3] for r in found[0]} == {(0.0, 0.0, 110.0), (0.0, 50.0, 90.0)}
