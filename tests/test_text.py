@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from locarium.functions import display, tags, text
 from locarium.operators import answers, retrieval
+from locarium.storage import stored
 
 
 def one(spark, column, **values):
@@ -61,6 +62,40 @@ def test_best_of_each_query_without_all_of_them(spark):
     assert sorted((r["query_id"], r["nth"], r["chunk_id"], r["total"]) for r in even) == [(q, i + 1, r[2], len(by[q])) for q in by for i, r in enumerate(by[q][:3])]
 
 
+def test_matches_of_a_query_never_become_rows(spark, monkeypatch):
+    """A cut ranking writes terms and the best of each group, never a row per query and match; groups and blocks change no result."""
+    chunks = spark.createDataFrame([(i, f"common word w{i % 5} x{i % 3}") for i in range(400)], "chunk_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(q, f"common word w{q % 5}") for q in range(30)], "query_id long, text string").coalesce(1)
+    gold = spark.createDataFrame([(0, 399), (0, 398), (1, 1)], "query_id long, chunk_id long").coalesce(1)
+    sizes: list[int] = []
+
+    def counted(df):
+        out = stored(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "stored", counted)
+    monkeypatch.setattr(retrieval, "GROUP", 600)
+    monkeypatch.setattr(retrieval, "ASKED", 60)
+    got = sorted((r["query_id"], r["nth"], r["chunk_id"], r["total"]) for r in retrieval.rank(retrieval.build_index(chunks), queries, most=3, of=gold).collect())
+    assert max(sizes) < 1000  # there are 12,000 matches
+    # a query's own word tells, ties go by id; the first of query 0's pairs stands behind the 80 chunks with w0 and those before it without
+    first = [(q, i + 1, q % 5 + 5 * i, 400) for q in range(30) for i in range(3)]
+    assert got == sorted([*first, (0, 80 + sum(1 for i in range(399) if i % 5), 398, 400)])
+
+
+def test_chunks_of_one_id_are_one_chunk(spark):
+    """Rows that repeat an id count once in df and give their chunk each of their lengths; rows without an id count as one."""
+    chunks = spark.createDataFrame([(1, "a b"), (1, "a c c"), (2, "a"), (None, "a d"), (None, "d")], "chunk_id long, text string")
+    index = retrieval.build_index(chunks)
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == {"a": 3, "b": 1, "c": 1, "d": 1} == {r["term"]: r["df"] for r in retrieval.index_terms(chunks).collect()}
+    got = {r["chunk_id"]: r["score"] for r in retrieval.rank(index, spark.createDataFrame([(0, "a")], "query_id long, text string")).collect()}
+    import math
+
+    idf, norm = math.log(1 + (5 - 3 + 0.5) / 3.5), lambda n: 1.2 * (0.25 + 0.75 * n / 1.8)
+    assert got == {1: round(sum(idf * 2 * 2.2 / (2 + norm(n)) for n in (2, 3)), 9), 2: round(idf * 2.2 / (1 + norm(1)), 9)}
+
+
 def test_sections_outside_fences(spark):
     doc = "# T\nintro\n## A\none\n\ntwo\n```\n# no\n\nx\n```\n### B\n- i\n- j"
     docs = spark.createDataFrame([(1, doc)], "doc_id long, text string")
