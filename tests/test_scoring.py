@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from locarium.operators import evaluation, ordered, scoring
+from locarium import settings as S
+from locarium.operators import evaluation, features, ordered, scoring, spatial
 
 
 def test_mid_rank(spark):
@@ -30,3 +31,22 @@ def test_precision_divides_by_k(spark):
     assert got == {1: (1, 1.0, 0.5), 10: (2, 0.2, 1.0)}
     none = df.withColumn("hit", F.lit(False))
     assert [r["recall"] for r in evaluation.at_k(none, (2,)).collect()] == [None]
+
+
+def test_features_are_gathered_without_a_join_for_each(spark, monkeypatch):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    far = lambda d: table([(1, 7, d), (3, None, None)], "candidate_id long, id long, dist double")
+    monkeypatch.setattr(spatial, "sum_within", lambda *a: table([(1, 5, 6, 7), (2, 0, 0, 0)], "candidate_id long, pop_1km long, pop_5km long, pop_10km long"))
+    monkeypatch.setattr(features, "poi_counts", lambda *a: table([(1, 2, 3), (2, 4, 5)], "candidate_id long, poi_1km long, poi_3km long"))
+    monkeypatch.setattr(spatial, "count_within", lambda *a: table([(2, 8, 9)], "candidate_id long, chargers_10km long, chargers_25km long"))
+    monkeypatch.setattr(spatial, "nearest", lambda *a: far(1.5))
+    monkeypatch.setattr(spatial, "nearest_segment", lambda *a, keep=(): table([(1, 7, 2.5, "trunk"), (2, 7, -0.5, None)], "candidate_id long, id long, dist double, road_class string"))
+    monkeypatch.setattr(features, "completeness", lambda *a: table([(4, 9, 0.5)], "district_id long, features long, grid_completeness_ratio double"))
+    layers = {"candidates": table([(1, 4, 0.0, 0.0), (2, 5, 1.0, 1.0)], "candidate_id long, district_id long, x double, y double")}
+    layers |= {n: table([], "power string, place string, road_class string, access string") for n in ("pixels", "pois", "chargers", "power", "places", "roads", "districts")}
+    out = features.build(layers, S.WORLD)
+    got = {r["candidate_id"]: r.asDict() for r in out.collect()}
+    names = ("district_id", "pop_5km", "poi_3km", "chargers_25km", "dist_charger_m", "dist_town_m", "dist_road_m", "road_class", "dist_trunk_m", "grid_completeness_ratio")
+    assert [got[1][n] for n in names] == [4, 6, 3, None, 1.5, 1.5, 2.5, "trunk", 2.5, 0.5] and len(got) == 2
+    assert [got[2][n] for n in names] == [5, 0, 5, 9, None, None, -0.5, None, -0.5, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
