@@ -50,3 +50,24 @@ def test_features_are_gathered_without_a_join_for_each(spark, monkeypatch):
     assert [got[1][n] for n in names] == [4, 6, 3, None, 1.5, 1.5, 2.5, "trunk", 2.5, 0.5] and len(got) == 2
     assert [got[2][n] for n in names] == [5, 0, 5, 9, None, None, -0.5, None, -0.5, None]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+
+
+def test_stability_is_compiled(spark):
+    names = [f"pct_{f}" for g in S.COMPONENTS.values() for f in g]
+    rows = [(i, 5 * (i % 3), 0, 100.0 * i, 4000.0, 9000.0 * (i % 3), 500.0, *[float((i * (k + 3) * 37) % 101) for k in range(len(names))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "candidate_id long, host_bonus long, road_bonus long, dist_substation_m double, dist_line_m double, dist_centre_m double, dist_town_m double, " + ", ".join(f"{n} double" for n in names))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    got = {r["variant"]: r["overlap"] for r in evaluation.stability(df, S.WORLD, 10).collect()}
+    spark.conf.unset("spark.sql.codegen.fallback")
+    top = {}
+    for variant, comps, profiles in [("base", S.COMPONENTS, S.PROFILES), *evaluation.variants()]:
+        score = {}
+        for r in (dict(zip(df.columns, row, strict=True)) for row in rows):
+            bonus = {"host_commercial": r["host_bonus"], "access": r["road_bonus"]}
+            part = {n: min(100.0, sum(w * r[f"pct_{f}"] for f, w in g.items()) + bonus.get(n, 0)) for n, g in comps.items()}
+            if r["dist_substation_m"] > 1500 and r["dist_line_m"] > 1500:
+                part["grid_evidence"] = 0.0
+            weights = profiles["urban" if r["dist_centre_m"] <= 10000 or r["dist_town_m"] <= 3000 else "corridor"]
+            score[r["candidate_id"]] = sum(w * part[c] for c, w in weights.items())
+        top[variant] = set(sorted(score, key=lambda c: (-round(score[c], 9), c))[:10])
+    assert got == {v: len(t & top["base"]) / 10 for v, t in top.items() if v != "base"}
