@@ -272,3 +272,37 @@ def test_chains_go_on_from_batch_to_batch(spark):
         found.append(sorted(map(tuple, hosts.corridor_points(roads, ("trunk",), 8, 25).select("from.x", "from.y", "to.x", "nth", "x", "y").collect())))
     spark.conf.set(name, before)
     assert found[0] == found[1] and {r[:3] for r in found[0]} == {(0.0, 0.0, 110.0), (0.0, 50.0, 90.0)}
+
+
+@pytest.mark.parametrize("most", [64, 5])
+def test_overlap_of_pairs_cuts_nothing(spark, shapes, monkeypatch, most):
+    monkeypatch.setattr(arrangement, "EDGES", most)
+    monkeypatch.setattr(arrangement, "GROUP", 5)
+    if most == 64:
+        monkeypatch.setattr(arrangement, "noded", None)
+    star = lambda x, y, n=9: [(x + r * float(np.cos(t)), y + r * float(np.sin(t))) for t, r in zip(np.arange(2 * n) * np.pi / n, [4.0, 1.5] * n, strict=True)]
+    shapes = {i: p for i, p in shapes.items() if i < 8} | {30: [(0, 0), (9, 0), (9, 9), (0, 9)], 31: [(9, 0), (12, 0), (12, 9), (9, 9)]}
+    some = {40: star(6, 6), 41: star(8.5, 7.25, 7), 42: [(1, 1), (14, 3), (5, 12)]}
+    rows = [(i, ring(*p), False) for i, p in (shapes | some).items()] + [(30, ring((2, 2), (4, 2), (4, 4), (2, 4)), True)]
+    df = spark.createDataFrame(rows, f"id int, ring {RING}, hole boolean")
+    got = {(r["id"], r["id2"]): r["shared"] for r in arrangement.overlap_areas(df, "id", df.withColumnRenamed("id", "id2"), "id2", 3.0, 1e-7, less=True).collect()}
+    assert all(i < j for i, j in got) and (30, 31) not in got
+    inside = {i: cells(p, 22) for i, p in shapes.items()}
+    inside[30] &= ~cells([(2, 2), (4, 2), (4, 4), (2, 4)], 22)
+    for i, j in itertools.combinations(inside, 2):
+        assert abs(got.get((i, j), 0) - (inside[i] & inside[j]).sum()) < 1e-4, (i, j)
+    m = (np.arange(400) + 0.5) / 20
+    x, y = np.meshgrid(m, m, indexing="ij")
+
+    def fine_cells(points):
+        out = np.zeros(x.shape, bool)
+        for (a, b), (c, d) in itertools.pairwise([*points, points[0]]):
+            if b != d:
+                out ^= ((b > y) != (d > y)) & (x < (c - a) * (y - b) / (d - b) + a)
+        return out
+
+    fine = {i: fine_cells(p) for i, p in (shapes | some).items()}
+    fine[30] &= ~fine_cells([(2, 2), (4, 2), (4, 4), (2, 4)])
+    for i, j in itertools.product(fine, some):
+        if i < j:
+            assert abs(got.get((i, j), 0) - (fine[i] & fine[j]).sum() / 400) < 0.3, (i, j)
