@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locarium.operators.spatial import pairs_within
+from locarium.operators.spatial import distance, pairs_within
 from locarium.settings import HOST_PRIORITY
 from locarium.storage import stored
 
@@ -23,34 +23,47 @@ def priority_dedup(points: DataFrame, key: str, order: Column, radius: float) ->
 
     Not transitive. Computed in rounds: a point is kept once all earlier
     neighbours are removed, and removed once an earlier neighbour is kept;
-    the result is that of the sequential pass. ``merged_into`` is the first
+    the result is that of the sequential pass. All points of a cell whose
+    diagonal is the radius are neighbours, so that only the first open one of
+    each can be kept next: a round compares these, and later the kept ones,
+    with the points about them, and no table of neighbours is made. ``merged_into`` is the first
     kept neighbour, ``merged_count`` the removed points that name this one.
     ``order`` must be a total order.
     """
-    table = stored(points.select(F.col(key).alias("id"), order.alias("ord"), "x", "y"))
-    a, b = (table.select(F.col("id").alias(f"{n}_id"), F.col("ord").alias(f"{n}_ord"), "x", "y") for n in "ab")
-    # edge: a comes before b
-    edges = stored(pairs_within(a, b, radius).where("a_ord < b_ord").select("a_id", "b_id", "a_ord"))
-    state: DataFrame | None = None  # (id, kept) of the decided
-    open_ = stored(table.select("id"))
-    live = edges
-    while True:
-        waits = live.select(F.col("b_id").alias("id")).distinct()
-        keep = stored(open_.join(waits, "id", "left_anti"))
-        gone = stored(live.join(keep.select(F.col("id").alias("a_id")), "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct())
-        new = keep.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False)))
-        state = stored(new if state is None else state.unionByName(new))
-        open_ = stored(open_.join(new.select("id"), "id", "left_anti"))
-        if open_.isEmpty():
-            break
-        done = state.select("id")
-        live = stored(live.join(done.select(F.col("id").alias("b_id")), "b_id", "left_anti").join(gone.select(F.col("id").alias("a_id")), "a_id", "left_anti"))
-    kept = state.where("kept").select(F.col("id").alias("a_id"))
-    into = edges.join(kept, "a_id", "left_semi").groupBy(F.col("b_id").alias("id")).agg(F.min(F.struct("a_ord", "a_id")).alias("m")).select("id", F.col("m.a_id").alias("merged_into"))
-    joined = stored(state.join(into, "id", "left").withColumn("merged_into", F.when(~F.col("kept"), F.col("merged_into"))))
+    placed = points.select(F.col(key).alias("id"), order.alias("ord"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    bare = "x is null or y is null or isnan(x) or isnan(y) or abs(x) = double('infinity') or abs(y) = double('infinity')"
+    table = stored(placed.withColumn("alone", F.expr(bare)))
+    # a hair less than the radius over the root of two: two points of a cell are surely within the radius
+    side = radius / 2**0.5 * (1 - 1e-9) if radius > 0 else 1.0
+    cell = {f"c{c}": F.floor(F.col(c) / side).cast("long") for c in "xy"} if radius > 0 else {"cx": F.col("x"), "cy": F.col("y")}
+    open_ = stored(table.where("not alone").select("id", "ord", "x", "y").withColumns(cell))
+    steps = F.array(*[F.lit(i) for i in ((-2, -1, 0, 1, 2) if radius > 0 else (0,))])
+
+    def near(few: DataFrame, many: DataFrame) -> DataFrame:
+        """Pairs within the radius of ``few(a_id, a_ord, ax, ay, cx, cy)`` and points."""
+        about = few.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
+        return many.join(about, ["cx", "cy"]).where(distance(F.col("ax"), F.col("ay"), F.col("x"), F.col("y")) <= radius)
+
+    named = [F.col("id").alias("a_id"), F.col("ord").alias("a_ord"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy"]
+    every, taken = open_, None
+    while not open_.isEmpty():
+        first = stored(open_.groupBy("cx", "cy").agg(F.min(F.struct("ord", "id", "x", "y")).alias("f")).select("f.*", "cx", "cy").select(*named))
+        blocked = near(first, open_).where("ord < a_ord").select("a_id").distinct()
+        keep = stored(first.join(blocked, "a_id", "left_anti"))
+        taken = keep if taken is None else stored(taken.unionByName(keep))
+        gone = near(keep, open_).select("id").distinct()
+        open_ = stored(open_.join(gone, "id", "left_anti"))
+    alone = table.where("alone").select("id", F.lit(None).cast(table.schema["id"].dataType).alias("a_id"))
+    if taken is None:
+        joined = alone
+    else:
+        # a kept point is its own first one: none before it is kept within the radius
+        into = near(taken, every).groupBy("id").agg(F.min(F.struct("a_ord", "a_id")).alias("m")).select("id", F.col("m.a_id").alias("a_id"))
+        joined = into.unionByName(alone)
+    kept = F.coalesce(F.col("a_id") == F.col("id"), F.lit(True))
+    joined = stored(joined.select("id", kept.alias("kept"), F.when(~kept, F.col("a_id")).alias("merged_into")))
     counts = joined.where("merged_into is not null").groupBy(F.col("merged_into").alias("id")).agg(F.count("*").alias("merged_count"))
-    out = joined.join(counts, "id", "left").select(F.col("id").alias(key), "kept", "merged_into", F.when(F.col("kept"), F.coalesce("merged_count", F.lit(0).cast("long"))).alias("merged_count"))
-    return out
+    return joined.join(counts, "id", "left").select(F.col("id").alias(key), "kept", "merged_into", F.when(F.col("kept"), F.coalesce("merged_count", F.lit(0).cast("long"))).alias("merged_count"))
 
 
 def allocate_quotas(counts: DataFrame, group: str, size: int) -> DataFrame:

@@ -170,3 +170,22 @@ def test_sensitivity_solves_each_variant(spark, exactly):
         r = got[k, v]
         assert (r["demand"], r["people_share"]) == (pytest.approx(demand, abs=1e-8), pytest.approx(share, abs=1e-8))
         assert r["overlap"] == len(chosen & first) and r["provinces"] == len({i % 3 for i in chosen})
+
+
+def test_priority_dedup_makes_no_table_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "pairs_within", None)
+    rng = np.random.default_rng(8)
+    p = [(i, float(x), float(y), int(o)) for i, ((x, y), o) in enumerate(zip(rng.integers(-40, 40, (300, 2)), rng.permutation(300), strict=True))]
+    p += [(300, None, 1.0, 400), (301, float("nan"), 1.0, 401), (302, 300.0, 300.0, 402), (303, 310.0, 300.0, 403), (304, 320.0, 300.0, 404), (305, 320.0, 300.0, 405)]
+    df = spark.createDataFrame(p, "id long, x double, y double, o long")
+    for radius in (10, 0):
+        kept, into = [], {}
+        for i, x, y, _ in sorted(p, key=lambda r: r[3]):
+            near = [k for k in kept if x is not None and p[k][1] is not None and np.hypot(x - p[k][1], y - p[k][2]) <= radius]
+            if near:
+                into[i] = near[0]
+            else:
+                kept.append(i)
+        got = {r["id"]: r for r in ordered.priority_dedup(df, "id", F.col("o"), radius).collect()}
+        assert len(got) == len(p) and {i for i in got if got[i]["kept"]} == set(kept) and {i: r["merged_into"] for i, r in got.items() if not r["kept"]} == into
+        assert {i: got[i]["merged_count"] for i in got} == {i: sum(v == i for v in into.values()) if i in kept else None for i in got}
