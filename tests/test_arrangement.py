@@ -306,3 +306,22 @@ def test_overlap_of_pairs_cuts_nothing(spark, shapes, monkeypatch, most):
     for i, j in itertools.product(fine, some):
         if i < j:
             assert abs(got.get((i, j), 0) - (fine[i] & fine[j]).sum() / 400) < 0.3, (i, j)
+
+
+@pytest.mark.parametrize("angle", [0.0, 0.3])
+def test_edges_inside_others_are_not_cut(spark, angle, monkeypatch):
+    rng = np.random.default_rng(6)
+    shapes = {}
+    for i in range(150):
+        x, y, w, h = rng.integers(0, 14), rng.integers(0, 14), rng.integers(3, 8), rng.integers(3, 8)
+        shapes[i] = el(x, y, w, h, rng.integers(1, w), rng.integers(1, h))
+    rows = [(i, i % 2, ring(*turned(p, angle, (0, 0)))) for i, p in shapes.items()]
+    df = spark.createDataFrame(rows, f"id int, k int, ring {RING}")
+    cut, noded = [], arrangement.noded
+    monkeypatch.setattr(arrangement, "noded", lambda s, *a: cut.append(s.count()) or noded(s, *a))
+    parts = {r["k"]: r for r in areas.dissolve(df, "id", "k", cell=4.0).collect()}
+    assert cut[0] < 700  # of 900
+    for k in range(2):
+        whole = np.logical_or.reduce([cells(p, 24) for i, p in shapes.items() if i % 2 == k])
+        assert abs(parts[k]["area"] - whole.sum()) < 1e-3 and parts[k]["n"] == 75
+        assert abs(parts[k]["boundary"] - sum(np.abs(np.diff(np.pad(whole, 1).astype(int), axis=a)).sum() for a in (0, 1))) < 1e-3
