@@ -90,3 +90,14 @@ def test_poi_counts_form_no_pairs_and_leave_out_the_own_host(spark, monkeypatch)
     cand = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, None, 0.0, 0.0), (3, 4, 0.0, 0.0), (4, 3, 900.0, 900.0)], "candidate_id long, host_poi_id long, x double, y double")
     got = {r[0]: tuple(r)[1:] for r in features.poi_counts(cand, pois, (20, 100), ("food",)).collect()}
     assert got == {1: (1, 3, 1, 2), 2: (2, 4, 2, 3), 3: (3, 5, 3, 4), 4: (0, 0, 0, 0)}
+
+
+def _broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_joined_without_a_broadcast(spark):
+    """The side that is repeated over cells is never sent to the driver, however small Spark takes it to be."""
+    a, b = (spark.range(50).select(F.col("id").alias(n), (F.col("id") * 3.0).alias("x"), F.lit(1.0).alias("y")) for n in "ab")
+    pairs = spatial.pairs_within(a, b, 5)
+    assert not _broadcasts(pairs) and pairs.count() == 50 + 2 * 49
