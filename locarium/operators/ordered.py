@@ -97,18 +97,75 @@ def spacing_select(x: np.ndarray, y: np.ndarray, quota: int) -> tuple[list[int],
     """The first ``quota`` places under the largest radius that still leaves so many; ``(places, radius)``.
 
     The number left doesn't fall steadily with the radius, so every distance
-    between two places is tried from the largest down, and 0 at last. A quota
-    of all places takes all at radius 0; a quota of 0 takes none.
+    between two places counts, from the largest down, and 0 at last; but those
+    down to the largest distance at which a place was passed over for another
+    leave the same places and are skipped. No table of distances is made. A
+    quota of all places takes all at radius 0; a quota of 0 takes none.
     """
     if quota <= 0:
         return [], None
     if quota >= len(x):
         return list(range(len(x))), 0.0
-    d = np.sqrt((x[:, None] - x[None, :]) ** 2 + (y[:, None] - y[None, :]) ** 2)
-    for radius in [*np.unique(d[np.triu_indices(len(x), 1)])[::-1], 0.0]:
-        if len(got := greedy_spacing(d, float(radius), quota)) == quota:
-            return got, float(radius)
-    return list(range(quota)), 0.0
+    with np.errstate(invalid="ignore", over="ignore"):
+        least = np.nan  # places as far apart as this are taken: none at first
+        while True:
+            got, apart = [0], np.full(len(x), np.nan)
+            while len(got) < quota:
+                i = got[-1]
+                d = np.sqrt((x[i + 1 :] - x[i]) ** 2 + (y[i + 1 :] - y[i]) ** 2)
+                apart[i] = np.nan
+                apart[i + 1 :] = d if i == 0 else np.minimum(apart[i + 1 :], d)
+                free = apart[i + 1 :] >= least
+                if not free.any():
+                    break
+                got.append(i + 1 + int(free.argmax()))
+            if len(got) == quota:
+                return got, _distance_below(x, y, least)
+            passed = apart[apart > 0]
+            if not len(passed):
+                return list(range(quota)), 0.0
+            least = passed.max()
+
+
+def _distance_below(x: np.ndarray, y: np.ndarray, limit: float, each: int = 16) -> float:
+    """The largest distance of two places that is below ``limit`` (NaN: the largest of all), 0 without any.
+
+    Places are put into boxes of some ``each``; only boxes so far apart that
+    they may have a larger one than that found already are compared.
+    """
+    some = np.isfinite(x) & np.isfinite(y)
+    odd = not some.all()
+    below = lambda d: d[~(d >= limit) & ~np.isnan(d)]
+    best = 0.0
+    if odd:  # places that aren't anywhere are compared with all
+        for i in np.flatnonzero(~some):
+            best = max(best, below(np.sqrt((x - x[i]) ** 2 + (y - y[i]) ** 2)).max(initial=0.0))
+        x, y = x[some], y[some]
+    if len(x) < 2:
+        return float(best)
+    k = max(1, round((len(x) / each) ** 0.5))
+    order = np.argsort(x, kind="stable")
+    strip = np.empty(len(x), np.int64)
+    strip[order] = np.arange(len(x)) * k // len(x)
+    order = np.lexsort((y, strip))
+    x, y = x[order], y[order]
+    begin = np.arange(0, len(x), max(1, len(x) // (k * k)))
+    end = np.append(begin[1:], len(x))
+    lx, hx, ly, hy = (f.reduceat(v, begin) for v in (x, y) for f in (np.minimum, np.maximum))
+    for i in range(len(begin)):
+        dx, dy = np.maximum(0, np.maximum(lx[i:] - hx[i], lx[i] - hx[i:])), np.maximum(0, np.maximum(ly[i:] - hy[i], ly[i] - hy[i:]))
+        fx, fy = np.maximum(hx[i:] - lx[i], hx[i] - lx[i:]), np.maximum(hy[i:] - ly[i], hy[i] - ly[i:])
+        # a hair of slack, as these distances are rounded too
+        may = (fx * fx + fy * fy) * (1 + 1e-12) > best * best
+        may &= ~((dx * dx + dy * dy) * (1 - 1e-12) >= limit * limit)
+        own = slice(begin[i], end[i])
+        js = i + np.flatnonzero(may)
+        for a in range(0, len(js), 4096):
+            b, e = begin[js[a : a + 4096]], end[js[a : a + 4096]]
+            at = np.repeat(b - np.concatenate(([0], np.cumsum(e - b)[:-1])), e - b) + np.arange(int((e - b).sum()))
+            d = np.sqrt((x[at] - x[own, None]) ** 2 + (y[at] - y[own, None]) ** 2)
+            best = max(best, below(d).max(initial=0.0))
+    return float(best)
 
 
 def apply_budget(points: DataFrame, key: str, group: str, order: list[Column], size: int) -> DataFrame:

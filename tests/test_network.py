@@ -189,3 +189,29 @@ def test_priority_dedup_makes_no_table_of_neighbours(spark, monkeypatch):
         got = {r["id"]: r for r in ordered.priority_dedup(df, "id", F.col("o"), radius).collect()}
         assert len(got) == len(p) and {i for i in got if got[i]["kept"]} == set(kept) and {i: r["merged_into"] for i, r in got.items() if not r["kept"]} == into
         assert {i: got[i]["merged_count"] for i in got} == {i: sum(v == i for v in into.values()) if i in kept else None for i in got}
+
+
+def test_spacing_makes_no_table_of_distances():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 5000, (2, 3000)).astype(float)
+    tracemalloc.start()
+    got, radius = ordered.spacing_select(x, y, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 6 and peak < 30e6  # 72 MB for all distances
+    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+    all_ = np.unique(d)
+    assert radius in all_ and ordered.greedy_spacing(d, radius, 6) == got
+    assert all(len(ordered.greedy_spacing(d, r, 6)) < 6 for r in all_[all_ > radius][:200])
+
+
+def test_spacing_against_every_radius():
+    rng = np.random.default_rng(12)
+    for n, high in [(int(rng.integers(2, 40)), int(rng.choice([3, 10, 1000]))) for _ in range(150)]:
+        x, y = rng.integers(0, high, (2, n)).astype(float)
+        quota = int(rng.integers(1, n))
+        d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+        want = next(((g, float(r)) for r in [*np.unique(d[np.triu_indices(n, 1)])[::-1], 0.0] if len(g := ordered.greedy_spacing(d, r, quota)) == quota), (list(range(quota)), 0.0))
+        assert ordered.spacing_select(x, y, quota) == want
