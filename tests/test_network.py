@@ -215,3 +215,23 @@ def test_spacing_against_every_radius():
         d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
         want = next(((g, float(r)) for r in [*np.unique(d[np.triu_indices(n, 1)])[::-1], 0.0] if len(g := ordered.greedy_spacing(d, r, quota)) == quota), (list(range(quota)), 0.0))
         assert ordered.spacing_select(x, y, quota) == want
+
+
+def test_nearest_sites_without_all_pairs(spark, monkeypatch):
+    """A dense town, ten sites at one place, lone ones and one without a place, against all pairs; few pairs are formed."""
+    rng = np.random.default_rng(9)
+    xy = [(float(x), float(y)) for x, y in rng.integers(0, 100, (400, 2))] + [(40.0, 40.0)] * 10 + [(200.0 + 60 * i, 0.0) for i in range(4)] + [(900.0, 900.0), (350.0, 50.0), (400.0, 50.0)]
+    ids = [int(i) for i in rng.permutation(len(xy))]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in zip(ids, xy, strict=True)] + [(9999, None, None)], "candidate_id long, x double, y double")
+    pairs, join = [], network.pairs_within
+    monkeypatch.setattr(network, "pairs_within", lambda a, b, *more: pairs.append(join(a, b, *more).count()) or join(a, b, *more))
+    got = {}
+    for r in network.nearby(df, 100, 3).collect():
+        got.setdefault(r["candidate_id"], {})[r["nth"]] = (r["other_id"], r["dist"], r["total"])
+    every = 0
+    for i, (x, y) in zip(ids, xy, strict=True):
+        near = sorted((float(np.sqrt((x - u) ** 2 + (y - v) ** 2)), j) for j, (u, v) in zip(ids, xy, strict=True) if j != i and np.sqrt((x - u) ** 2 + (y - v) ** 2) <= 100)
+        every += len(near)
+        want = {n: (j, round(d, 6), len(near)) for n, (d, j) in enumerate(near[:3], 1)}
+        assert got.pop(i, {}) == want
+    assert not got and sum(pairs) < every / 4
