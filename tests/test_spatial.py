@@ -97,7 +97,9 @@ def _broadcasts(df):
 
 
 def test_pairs_are_joined_without_a_broadcast(spark):
-    """The side that is repeated over cells is never sent to the driver, however small Spark takes it to be."""
-    a, b = (spark.range(50).select(F.col("id").alias(n), (F.col("id") * 3.0).alias("x"), F.lit(1.0).alias("y")) for n in "ab")
-    pairs = spatial.pairs_within(a, b, 5)
-    assert not _broadcasts(pairs) and pairs.count() == 50 + 2 * 49
+    """A side that is repeated over cells isn't sent to the driver where Spark takes it to be small; a really small one may be."""
+    far = lambda n: spark.range(20_000).select(F.col("id").alias(n), (F.col("id") * 3.0).alias("x"), F.lit(1.0).alias("y"))
+    pairs = spatial.pairs_within(far("a"), far("b"), 5)
+    assert not _broadcasts(pairs) and pairs.count() == 20_000 + 2 * 19_999
+    few = spatial.pairs_within(far("a"), far("b").where("b < 9").limit(9), 5)
+    assert few.count() == 9 + 2 * 8 + 1
