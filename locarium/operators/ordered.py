@@ -185,25 +185,35 @@ def apply_budget(points: DataFrame, key: str, group: str, order: list[Column], s
     return rows.groupBy(group).applyInPandas(choose, f"{key} {kind}, {group} {of}, selected boolean, radius double")
 
 
+#: Points that :func:`spaced_top` goes through at once.
+BLOCK = 10_000
+
+
 def spaced_top(ranked: DataFrame, key: str, radius: float, n: int) -> DataFrame:
-    """``key, nth``: down the ranking (``rank``), each point at least ``radius`` from all taken; maybe fewer than ``n``.
+    """``key, nth``: down the ranking (``rank``, then ``key``), each point at least ``radius`` from all taken; maybe fewer than ``n``.
 
-    Exactly at the distance is accepted. A round takes every point that no
-    open, better-ranked point is nearer to; so many rounds as chains are long.
+    Exactly at the distance is accepted. A round goes through the ``BLOCK``
+    best-ranked open points and then drops all that are too near to those
+    taken; no pairs of points are formed but those of points and taken ones.
     """
-    table = stored(ranked.select(F.col(key).alias("id"), "rank", "x", "y"))
-    a, b = (table.select(F.col("id").alias(f"{s}_id"), F.col("rank").alias(f"{s}_ord"), "x", "y") for s in "ab")
-    edges = stored(pairs_within(a, b, radius, inclusive=False).where("a_ord < b_ord").select("a_id", "b_id"))
-    taken: DataFrame | None = None
-    open_, live = table.select("id"), edges
-    while True:
-        keep = stored(open_.join(live.select(F.col("b_id").alias("id")).distinct(), "id", "left_anti"))
-        taken = keep if taken is None else stored(taken.unionByName(keep))
-        gone = stored(live.join(keep.select(F.col("id").alias("a_id")), "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct())
-        open_ = stored(open_.join(keep, "id", "left_anti").join(gone, "id", "left_anti"))
-        if open_.isEmpty():
-            break
-        live = stored(live.join(gone.select(F.col("id").alias("a_id")), "a_id", "left_anti").join(open_.select(F.col("id").alias("b_id")), "b_id", "left_semi").join(open_.select(F.col("id").alias("a_id")), "a_id", "left_semi"))
-    # cut first: no more than n rows are numbered in one task
-    out = table.join(taken, "id", "left_semi").orderBy("rank").limit(n)
-    return out.select(F.col("id").alias(key), F.row_number().over(Window.orderBy("rank")).cast("long").alias("nth"))
+    open_ = stored(ranked.select(F.col(key).alias("id"), "rank", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    spark, kind = ranked.sparkSession, open_.schema["id"].dataType.simpleString()
+    taken: list = []
+    while len(taken) < n and (block := open_.orderBy("rank", "id").limit(BLOCK).collect()):
+        x, y = (np.array([r[c] for r in block], float) for c in "xy")
+        new, free = [], np.ones(len(block), bool)
+        while len(taken) + len(new) < n and free.any():
+            i = int(free.argmax())
+            new.append(block[i])
+            with np.errstate(invalid="ignore"):
+                free &= ~(np.sqrt((x - x[i]) ** 2 + (y - y[i]) ** 2) < radius)
+            free[i] = False
+        taken += [r["id"] for r in new]
+        if len(taken) < n:
+            # every point of the block is among the new ones or too near to one of them
+            about = spark.createDataFrame([(r["id"], r["x"], r["y"]) for r in new], f"new {kind}, x double, y double")
+            gone = about.select(F.col("new").alias("id"))
+            if radius > 0:
+                gone = gone.unionByName(pairs_within(open_, about, radius, inclusive=False).select("id"))
+            open_ = stored(open_.join(gone.distinct(), "id", "left_anti"))
+    return spark.createDataFrame([(t, i) for i, t in enumerate(taken, 1)], f"{key} {kind}, nth long")

@@ -235,3 +235,20 @@ def test_nearest_sites_without_all_pairs(spark, monkeypatch):
         want = {n: (j, round(d, 6), len(near)) for n, (d, j) in enumerate(near[:3], 1)}
         assert got.pop(i, {}) == want
     assert not got and sum(pairs) < every / 4
+
+
+def test_spaced_points_pair_with_those_taken_alone(spark, monkeypatch, block):
+    rng = np.random.default_rng(6)
+    p = [(int(i), float(x), float(y), r) for r, (i, (x, y)) in enumerate(zip(rng.permutation(200), rng.integers(0, 60, (200, 2)), strict=True))]
+    p += [(900, None, 1.0, -1), (901, float("nan"), 1.0, 50)]
+    taken = []
+    for r in sorted(p, key=lambda r: (r[3], r[0])):
+        if all(r[1] is None or q[1] is None or not np.hypot(r[1] - q[1], r[2] - q[2]) < 15 for q in taken):
+            taken.append(r)
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    sizes, join = [], ordered.pairs_within
+    monkeypatch.setattr(ordered, "pairs_within", lambda a, b, *more, **named: sizes.append(b.count()) or join(a, b, *more, **named))
+    df = spark.createDataFrame(p, "id long, x double, y double, rank long")
+    for n in (4, 300):
+        assert [(r["id"], r["nth"]) for r in ordered.spaced_top(df, "id", 15, n).orderBy("nth").collect()] == [(r[0], i) for i, r in enumerate(taken[:n], 1)]
+    assert all(s <= len(taken) for s in sizes)
