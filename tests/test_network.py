@@ -252,3 +252,21 @@ def test_spaced_points_pair_with_those_taken_alone(spark, monkeypatch, block):
     for n in (4, 300):
         assert [(r["id"], r["nth"]) for r in ordered.spaced_top(df, "id", 15, n).orderBy("nth").collect()] == [(r[0], i) for i, r in enumerate(taken[:n], 1)]
     assert all(s <= len(taken) for s in sizes)
+
+
+def test_greedy_by_spacing_forms_no_pairs_of_sites(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    p = [(i, float(rng.integers(0, 50)), float(rng.integers(0, 50)), float(rng.random())) for i in range(40)] + [(40, None, None, 0.9), (41, 3.0, None, 0.8)]
+    sites = spark.createDataFrame(p, "candidate_id long, x double, y double, score double")
+    nodes = spark.createDataFrame([(i, 1 / 30, float(rng.integers(0, 50)), float(rng.integers(0, 50))) for i in range(30)], "node_id long, weight double, x double, y double")
+    cover = network.coverage(sites, nodes, 9)
+    want = network.greedy(cover, nodes, network.conflicts(sites, 12), sites, 5, 0.3).orderBy("nth").collect()
+    monkeypatch.setattr(network, "conflicts", None)
+    assert network.greedy(cover, nodes, 12, sites, 5, 0.3).orderBy("nth").collect() == want
+    about = sites.where("candidate_id < 40").withColumns({"province_id": F.lit(1), "district_id": F.lit(1), "rank": F.col("candidate_id")})
+    people = nodes.withColumn("people", F.lit(3))
+    chargers = spark.createDataFrame([(1, 5.0, 5.0)], "charger_id long, x double, y double")
+    rows, checks = network.radius_study(about, people, chargers, [6.0, 9.0], 9.0, 2, [10.0], 12.0, 0.5)
+    assert rows.count() == 6 and checks.count() == 1
+    solve, _ = network.solved_anew(about, people, chargers, 9.0, 2, 12.0)
+    assert solve(0.1, 9.0, 0.5).count() == 2
