@@ -270,3 +270,11 @@ def test_greedy_by_spacing_forms_no_pairs_of_sites(spark, monkeypatch):
     assert rows.count() == 6 and checks.count() == 1
     solve, _ = network.solved_anew(about, people, chargers, 9.0, 2, 12.0)
     assert solve(0.1, 9.0, 0.5).count() == 2
+
+
+def test_exact_search_gets_the_pairs_of_its_sites_alone(spark, monkeypatch):
+    cover, weights, _, sites = trap(spark)
+    clashes = spark.createDataFrame([(0, 1), (0, 7), (6, 1), (8, 9)], "a long, b long")
+    seen, search = [], network.exact
+    monkeypatch.setattr(network, "exact", lambda sets, scores, pairs, *more: seen.append(pairs) or search(sets, scores, pairs, *more))
+    assert network.solve_exact(cover, weights, clashes, sites, 2)[0] == [0, 2] and seen == [{(0, 1)}]
