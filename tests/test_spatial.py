@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from locarium.functions import geo
-from locarium.operators import features, spatial
+from locarium.operators import arrangement, features, spatial
 
 
 def points(spark, rows, key="id"):
@@ -103,3 +103,9 @@ def test_pairs_are_joined_without_a_broadcast(spark):
     assert not _broadcasts(pairs) and pairs.count() == 20_000 + 2 * 19_999
     few = spatial.pairs_within(far("a"), far("b").where("b < 9").limit(9), 5)
     assert few.count() == 9 + 2 * 8 + 1
+
+
+def test_contacts_are_joined_without_a_broadcast(spark):
+    lines = lambda n, *c: spark.range(5_000).select(F.col("id").alias(n), *[(F.col("id") * 7.0 + i).alias(name) for i, name in enumerate(c)])
+    met = arrangement.contacts(lines("seg", "x1", "y1", "x2", "y2"), lines("other", "u1", "v1", "u2", "v2"), 10)
+    assert not _broadcasts(met) and met.count() >= 5_000
